@@ -11,6 +11,8 @@ from metaloom.llm.html_extract import extract_pages
 from metaloom.llm.secret_scan import scan_secrets
 from metaloom.llm.shared import table
 from metaloom.llm.simhash_dedup import simhash_components
+from metaloom.llm.token_count import count_tokens, default_path
+from metaloom.llm.token_store import token_output
 from metaloom.llm.url_filter import judge_urls
 
 
@@ -26,16 +28,24 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op7_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op4_token_output, op7_html_extract, op8_token_count, op10_url_filter)}
 
 
 #: Every pair by cosine, then reachability: as independent of the operator as SQL allows.
