@@ -13,6 +13,7 @@ from metaloom.llm.shared import table
 from metaloom.llm.simhash_dedup import simhash_components
 from metaloom.llm.token_count import count_tokens, default_path
 from metaloom.llm.token_store import token_output
+from metaloom.llm.toxicity import score_documents
 from metaloom.llm.url_filter import judge_urls
 
 
@@ -32,6 +33,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -45,7 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op4_token_output, op7_html_extract, op8_token_count, op10_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op4_token_output, op5_toxicity, op7_html_extract, op8_token_count, op10_url_filter)}
 
 
 #: Every pair by cosine, then reachability: as independent of the operator as SQL allows.
