@@ -32,7 +32,9 @@ from metaloom.llm.shared import SLICE, new_dir
 
 END_ID, SHARD_IDS = 2, 2_000_000
 #: Words whose ids a Python worker remembers, at about 250 bytes each.
-MEMORY = 500_000
+MEMORY = 800_000
+#: ASCII marks; at a word's end a run of them is one piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC, SAMPLE = b"MLTOK\x01", 256
 HEAD, EF_HEAD = "<6sBxQQQII", "<QBxxxIQ"
 
@@ -157,25 +159,41 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
     plain = lambda texts: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     if not drops_white_space(path):
         return plain, width
+    is_end = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+    is_end[[i for t, i in tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
     kept = sys.modules.setdefault("_metaloom_words", types.ModuleType("_metaloom_words")).__dict__.setdefault(path, {})
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the tokenizer
-                out += plain([text])
+    def learn(words: set[str]) -> None:
+        """Letters make one piece with one closing id, so many go into one call and are cut apart at the closing ids."""
+        parts = {w: w.rstrip(MARKS) for w in words}
+        plainly = {c for w, c in parts.items() if c.isalpha() and c not in kept}
+        single = {x for x in (w[len(c) :] if c.isalpha() else w for w, c in parts.items()) if x and x not in kept}
+        row = list(plainly)
+        chunks = [row[i : i + 2000] for i in range(0, len(row), 2000)]
+        for chunk, e in zip(chunks, tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            stops = ((np.nonzero(is_end[ids])[0] + 1) * width).tolist()
+            if len(stops) != len(chunk):  # a letter that the normaliser turned into more than letters
+                single.update(chunk)
                 continue
-            words = text.split()
-            if fresh := [w for w in dict.fromkeys(words) if w not in kept]:
-                if len(kept) + len(fresh) > MEMORY:
-                    kept.clear()
-                    fresh = list(dict.fromkeys(words))
-                if len(fresh) > MEMORY:
-                    out += plain([text])
-                    continue
-                kept.update(zip(fresh, plain(fresh)))
-            out.append(b"".join(map(kept.__getitem__, words)))
-        return out
+            raw = ids.tobytes()
+            kept.update(zip(chunk, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+        row = list(single)
+        kept.update(zip(row, plain(row)))
+        kept.update((w, kept[c] + kept[w[len(c) :]]) for w, c in parts.items() if w not in kept)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        # U+001C to U+001F are white space for Python, not for the tokenizer
+        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        fresh = set().union(*(w for w in split if w is not None)).difference(kept)
+        if len(fresh) > MEMORY // 4:
+            return plain(texts) if len(texts) == 1 else [x for t in texts for x in encode([t])]
+        if fresh:
+            if len(kept) + 2 * len(fresh) > MEMORY:
+                kept.clear()
+                fresh = set().union(*(w for w in split if w is not None))
+            learn(fresh)
+        return [plain([t])[0] if w is None else b"".join(map(kept.__getitem__, w)) for t, w in zip(texts, split)]
 
     return encode, width
 
@@ -192,7 +210,7 @@ def drops_white_space(path: str) -> bool:
     norms = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
     added = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens") or [])
     known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    return split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert")) and pattern == known and set(norms) <= {"NFC", "Replace", "Lowercase"} and added and not spec.get("post_processor") and all(p.get("type") == "Split" or not (p.get("add_prefix_space") or p.get("use_regex")) for p in parts)
+    return (spec.get("model") or {}).get("end_of_word_suffix") == "</w>" and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert")) and pattern == known and set(norms) <= {"NFC", "Replace", "Lowercase"} and added and not spec.get("post_processor") and all(p.get("type") == "Split" or not (p.get("add_prefix_space") or p.get("use_regex")) for p in parts)
 
 
 def write_shards(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
