@@ -15,7 +15,7 @@ def _columns() -> list[tuple]:
         "Payment": [("PaymentID", "int", "integer", 1, 1, 0, 0), ("CustomerID", "int", "integer", 0, 1, 1, 0), ("card_number", "char(16)", "string", 0, 0, 0, 0), ("cvv", "int", "integer", 0, 1, 0, 0), ("amount", "money", "decimal", 0, 0, 0, 0), ("is_deleted", "bit", "boolean", 0, 0, 0, 0)],
         "AuditTrail": [("entry", "int", "integer", 0, 0, 0, 0), ("ip_address", "varchar(40)", "string", 0, 1, 0, 0), ("deleted_at", "datetime", "datetime", 0, 1, 0, 0), ("is_active", "bit", "boolean", 0, 0, 0, 0), ("retention_date", "date", "date", 0, 1, 0, 0)],
         "Order": [("OrderID", "bigint", "integer", 1, 0, 0, 1), ("CustomerID", "int", "integer", 0, 0, 1, 0), ("order_date", "datetime2", "datetime", 0, 1, 0, 0), ("ShipName", "nvarchar(40)", "string", 0, 1, 0, 0), ("order_state", "int", "integer", 0, 1, 0, 0), ("remark", "text", "string", 0, 1, 0, 0), ("modified_by", "varchar(30)", "string", 0, 1, 0, 0)],
-        "OrderLine": [("OrderID", "bigint", "integer", 1, 0, 1, 0), ("ProductID", "int", "integer", 1, 0, 1, 0), ("qty", "smallint", "integer", 0, 0, 0, 0), ("remark", "text", "string", 0, 1, 0, 0), ("UnitPrice", "money", "decimal", 0, 0, 0, 0)],
+        "OrderLine": [("OrderID", "bigint", "integer", 1, 0, 1, 0), ("ProductID", "int", "integer", 1, 0, 1, 0), ("qty", "smallint", "integer", 0, 0, 0, 0), ("remark", "text", "string", 0, 1, 0, 0), ("UnitPrice", "money", "decimal", 0, 0, 0, 0), ("SupplierID", "int", "integer", 0, 1, 0, 0)],
         "Product": [("ProductID", "int", "integer", 1, 0, 0, 1), ("sku", "varchar(20)", "string", 0, 0, 0, 0), ("barcode", "varchar(20)", "string", 0, 1, 0, 1), ("SupplierID", "int", "integer", 0, 1, 1, 0), ("remark", "text", "string", 0, 1, 0, 0), ("list_price", "decimal(10,2)", "decimal", 0, 1, 0, 0), ("UnitsInStock", "smallint unsigned", "integer", 0, 1, 0, 0)],
         "Supplier": [("SupplierID", "int", "integer", 1, 0, 0, 1), ("name", "nvarchar(40)", "string", 0, 1, 0, 0), ("fax", "varchar(20)", "string", 0, 1, 0, 0), ("remark", "text", "string", 0, 1, 0, 0), ("secret", "varbinary(32)", "bytes", 0, 1, 0, 0)],
         "Setting": [("code", "varchar(8)", "string", 0, 1, 0, 0), ("value", "sql_variant", "any", 0, 1, 0, 0), ("api_key", "uniqueidentifier", "uuid", 0, 1, 0, 0)],
