@@ -62,7 +62,7 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[fits])
     owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
     order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], np.bincount(owners, minlength=len(words))
+    return np.concatenate(found)[order] if found else np.empty(0, np.int64), np.bincount(owners, minlength=len(words))
 
 
 def _misspelt(word: str, rng: np.random.Generator) -> str:
@@ -76,25 +76,37 @@ def _misspelt(word: str, rng: np.random.Generator) -> str:
 class Bags:
     """Words of a sample with their n-grams; word k's are gram[start[k]:start[k] + size[k]]."""
 
-    def __init__(self, texts: list[str], rng: np.random.Generator) -> None:
+    def __init__(self, texts: list[str]) -> None:
         number: dict[str, int] = {}
-        self.docs = [np.array([number.setdefault(w, len(number)) for w in words_in(t)], np.int64) for t in texts]
-        words = list(number)
-        self.plain = len(words)
-        self.gram, self.size = grams_of(words + [_misspelt(w, rng) for w in words]) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in words_in(t)], np.int32) for t in texts]
+        self.words = list(number)
+        parts = [grams_of(self.words[i : i + 20_000]) for i in range(0, len(self.words), 20_000)]
+        self.gram = np.concatenate([g.astype(np.int32) for g, _ in parts] or [np.empty(0, np.int32)])
+        self.size = np.concatenate([n for _, n in parts] or [np.empty(0, np.int64)])
         self.start = np.cumsum(self.size) - self.size
 
-    def take(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, which of the words each belongs to)."""
-        size = self.size[words]
-        owner = np.repeat(np.arange(len(words)), size)
+    def take(self, words: np.ndarray, misspelt: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, which of the words each belongs to); those marked are misspelt anew."""
+        plain = np.nonzero(~misspelt)[0]
+        size = self.size[words[plain]]
+        owner = np.repeat(np.arange(len(plain)), size)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        return self.gram[self.start[words][owner] + inside], owner
+        found = self.gram[self.start[words[plain]][owner] + inside]
+        other = np.nonzero(misspelt)[0]
+        if not len(other):
+            return found, plain[owner]
+        gram, n = grams_of([_misspelt(self.words[w], rng) for w in words[other].tolist()])
+        return np.concatenate((found, gram)), np.concatenate((plain[owner], np.repeat(other, n)))
 
     def word_sums(self, value: np.ndarray) -> np.ndarray:
-        """Sum of the n-grams' values for each plain word."""
-        total = np.concatenate((np.zeros(1), np.cumsum(value[self.gram])))
-        return total[(self.start + self.size)[: self.plain]] - total[self.start[: self.plain]]
+        """Sum of the n-grams' values for each word."""
+        out = np.zeros(len(self.size))
+        for i in range(0, len(self.size), 20_000):
+            a, b = self.start[i], self.start[min(i + 20_000, len(self.size)) - 1] + self.size[min(i + 20_000, len(self.size)) - 1]
+            total = np.concatenate((np.zeros(1), np.cumsum(value[self.gram[a:b]])))
+            at = self.start[i : i + 20_000] - a
+            out[i : i + 20_000] = total[at + self.size[i : i + 20_000]] - total[at]
+        return out
 
 
 def best_window(sums: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
@@ -112,14 +124,14 @@ def best_window(sums: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
 def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5) -> dict:
     """The model: value (each n-gram's share of the logit), bias, and the calibration a, c."""
     rng = np.random.default_rng(seed)
-    bags = Bags(texts, rng)
+    bags = Bags(texts)
     held = rng.random(len(texts)) < HELD_BACK
     fit = np.nonzero(~held)[0]
-    vectors = rng.normal(0, 0.05, (BUCKETS, DIM))
+    vectors = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
-    squares, soft_sq, bias_sq = np.full((BUCKETS, DIM), 1e-4), np.full((2, DIM), 1e-2), np.full(2, 1e-2)
+    squares, soft_sq, bias_sq = np.full((BUCKETS, DIM), 1e-4, np.float32), np.full((2, DIM), 1e-2), np.full(2, 1e-2)
 
-    seen = np.zeros((2, bags.plain))
+    seen = np.zeros((2, len(bags.words)))
     for i in fit:
         seen[int(toxic[i]), np.unique(bags.docs[i])] += 1
     group = np.maximum(np.array([(~toxic[fit]).sum(), toxic[fit].sum()]), 1)
@@ -127,9 +139,9 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5) -> d
 
     for turn in range(ROUNDS):
         if turn == 0:
-            sums, sizes = np.maximum(odds, 0) ** 2, np.ones(bags.plain)
+            sums, sizes = np.maximum(odds, 0) ** 2, np.ones(len(bags.words))
         else:
-            sums, sizes = bags.word_sums(vectors @ (soft[1] - soft[0])), bags.size[: bags.plain]
+            sums, sizes = bags.word_sums(vectors @ (soft[1] - soft[0])), bags.size
         windows, labels = [], []
         for i in fit:
             doc = bags.docs[i]
@@ -147,8 +159,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5) -> d
             batch = order[at : at + BATCH]
             size = np.array([len(windows[b]) for b in batch])
             words = np.concatenate([windows[b] for b in batch])
-            words = words + bags.plain * (rng.random(len(words)) < 0.25)
-            gram, owner = bags.take(words)
+            gram, owner = bags.take(words, rng.random(len(words)) < 0.25, rng)
             owner = np.repeat(np.arange(len(batch)), size)[owner]
             stay = rng.random(len(gram)) < 0.75
             gram, owner = gram[stay], owner[stay]
@@ -175,7 +186,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5) -> d
             bias_sq += g**2
             bias -= RATE * g / np.sqrt(bias_sq)
     model = {"value": (vectors @ (soft[1] - soft[0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
-    sums, sizes = bags.word_sums(model["value"].astype(np.float64)), bags.size[: bags.plain]
+    sums, sizes = bags.word_sums(model["value"].astype(np.float64)), bags.size
     check = np.nonzero(held)[0] if toxic[held].any() and not toxic[held].all() else np.arange(len(texts))
     z = np.array([best_window(sums[bags.docs[i]], sizes[bags.docs[i]])[1] for i in check]) + model["bias"]
     model["a"], model["c"] = calibrate(z, toxic[check], prior)
@@ -267,3 +278,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] =
     schema = rows.select(*names).schema.add("score", "double")
     held = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return rows.mapInArrow(run, schema).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT_OFF).cast("int").alias("predicted"), *extra)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    model = fit_model(docs, labels)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        score = scorer(model) if model else lambda texts: [0.0] * len(texts)
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                yield part.filter(pa.array([x < CUT_OFF for x in score(part.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
