@@ -1,4 +1,4 @@
 """Queries by name: importing this package registers all of them."""
 
-from metaloom.plans import ddl, governance, graph, models, procedures, relations  # noqa: F401
+from metaloom.plans import code, ddl, governance, graph, models, procedures, relations  # noqa: F401
 from metaloom.plans.registry import ORACLES, QUERIES  # noqa: F401
