@@ -1,8 +1,10 @@
 """Token counts, with overlap resynchronisation for huge documents.
 
-A text of up to HUGE code points is encoded at once. A longer one is encoded in chunks that overlap. Two neighbouring
-encodings are spliced at a boundary proven stable: a space between a letter or digit and a letter, where both encodings
-start a token, after which they agree token by token up to the end of the overlap. The pre-tokenizer's pattern has no
+A text of up to HUGE code points is cut at all such boundaries as named below, and a Python worker remembers the counts
+of the pieces between them, so the library encodes each distinct piece once. A longer one is encoded in chunks. Around each cut an overlap is encoded twice with
+offsets, once from before the cut and once from a boundary in it, and the chunks are spliced there if it is proven
+stable: a space with no white space beside it, where both encodings start a token, after which they agree token
+by token up to the end of the overlap. The pre-tokenizer's pattern has no
 look-behind and no alternative that runs from a non-space into a space, so such a space always starts a pre-token, and
 what follows depends on the text from there on only. Where no boundary lies in the overlap or the encodings disagree,
 the overlap is widened; at worst the document is encoded whole. Tokenizers with any other pre-tokenizer encode whole.
@@ -15,6 +17,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 256, 512
-BATCH = 64
+BATCH = 128
+#: Pieces whose counts a Python worker remembers, at about 150 bytes each.
+MEMORY = 1_000_000
+#: A space among white space may belong to a longer run; such texts are encoded whole.
+RUN = re.compile(r"\s \s")
 
 
 def default_path(name: str) -> str:
@@ -36,46 +45,42 @@ def _starts(tok, text: str) -> np.ndarray:
     return np.fromiter((a for a, _ in tok.encode(text, add_special_tokens=False).offsets), np.int64)
 
 
-def _boundary(text: str, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int:
-    """A stable boundary p with low < p < high, or -1. left, right: token starts as places in the text, ascending."""
-    if (np.diff(left) < 0).any() or (np.diff(right) < 0).any():
+def _boundary(tok, text: str, left: np.ndarray, high: int, after: int, tries: int = 4) -> int:
+    """A stable boundary p > after, or -1. left: token starts, as places in the text, of an encoding that ends at high
+    and began before. From p on, an encoding that begins at p has to agree with it, but for what the cut at high may
+    change."""
+    if not len(left) or (np.diff(left) < 0).any():
         return -1
-    high -= 32  # what the left chunk's cut end may have changed
-    mine, other = left[(left > low) & (left < high)], right[(right > low) & (right < high)]
-    same = 0
-    while same < min(len(mine), len(other)) and mine[-1 - same] == other[-1 - same]:
-        same += 1
-    for s in mine[len(mine) - same :].tolist() if same >= 8 else []:
-        p = s - 1
-        if p > low and text[p] == " " and text[p - 1].isalnum() and text[s].isalpha() and not (left == p).any() and not (right == p).any():
-            return p
+    for s in sorted(left.tolist(), key=lambda x: abs(x - (left[0] + high) // 2)):
+        p = s if text[s] == " " else s - 1  # with the space or, where offsets are trimmed, without
+        if p > after and p + 1 < high and text[p] == " " and not text[p - 1].isspace() and not text[p + 1].isspace():
+            right = _starts(tok, text[p:high]) + p
+            mine, other = left[(left >= s) & (left < high - 32)], right[right < high - 32]
+            if len(mine) >= 8 and np.array_equal(mine, other):
+                return p
+            tries -= 1
+            if not tries:
+                break
     return -1
 
 
 def count_in_chunks(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the whole text; equal to encoding it at once."""
-    n, total = len(text), 0
-    base, stop = 0, min(n, chunk)
-    left, since = _starts(tok, text[:stop]), 0  # tokens of left from place since on are not counted yet
-    while stop < n:
-        wide = overlap
-        while True:
-            start = stop - wide
-            if start <= since:
-                stop = min(n, stop + wide)
-                left = _starts(tok, text[base:stop]) + base
-                if stop == n:
-                    break
-                continue
-            ahead = min(n, start + max(chunk, 2 * wide))
-            right = _starts(tok, text[start:ahead]) + start
-            p = _boundary(text, left, right, start, stop)
-            if p >= 0:
-                total += int(((left > since) if since else (left >= 0)).sum() - (left > p).sum())
-                base, left, since, stop = start, right, p, ahead
+    n, base, parts = len(text), 0, []
+    while n - base > chunk + overlap:
+        p, wide = -1, overlap
+        while p < 0:
+            low, high = max(base, base + chunk - wide), min(n, base + chunk + wide)
+            p = _boundary(tok, text, _starts(tok, text[low:high]) + low, high, max(base, low))
+            if p < 0 and low == base and high == n:
                 break
             wide *= 4
-    return total + int((left > since).sum() if since else len(left))
+        if p < 0:
+            break
+        parts.append(text[base:p])
+        base = p
+    parts.append(text[base:])
+    return sum(len(e) for e in tok.encode_batch_fast(parts, add_special_tokens=False))
 
 
 def resynchronises(path: str) -> bool:
@@ -103,15 +108,26 @@ def counter(path: str, huge: int = HUGE) -> Callable[[list[str]], list[int]]:
     tok.no_padding()
     splits = resynchronises(path)
 
+    whole = lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    if not splits:
+        return whole
+    kept = sys.modules.setdefault("_metaloom_counts", types.ModuleType("_metaloom_counts")).__dict__.setdefault(path, {})
+
     def count(texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        short = [i for i, t in enumerate(texts) if not (splits and len(t) > huge)]
-        for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-            out[i] = len(e)
-        for i, t in enumerate(texts):
-            if splits and len(t) > huge:
-                out[i] = count_in_chunks(tok, t)
-        return out
+        """A space after a non-space, or before one, starts a pre-token: a text's count is the sum over the pieces that
+        begin at its spaces. kept has the counts of pieces by what follows their space."""
+        rows = [None if len(t) > huge or RUN.search(t) else t.split(" ") for t in texts]
+        fresh = set().union(*(r[1:] for r in rows if r)).difference(kept)
+        if len(fresh) > MEMORY // 4:
+            return whole(texts) if len(texts) == 1 else [n for t in texts for n in count([t])]
+        if len(kept) + len(fresh) > MEMORY:
+            kept.clear()
+            fresh = set().union(*(r[1:] for r in rows if r))
+        if fresh:
+            row = list(fresh)
+            kept.update(zip(row, whole([f" {w}" for w in row])))
+        heads = whole([r[0] if r else "" for r in rows])
+        return [count_in_chunks(tok, t) if len(t) > huge else whole([t])[0] if r is None else n + sum(map(kept.__getitem__, r[1:])) for t, r, n in zip(texts, rows, heads)]
 
     return count
 
