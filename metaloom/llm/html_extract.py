@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, SEED, TREES, DEPTH, RATE, BINS, COLUMNS = 1200, 7, 100, 4, 0.25, 32, 0.3
+TRAIN_PAGES, SEED, TREES, DEPTH, RATE, BINS, COLUMNS = 1600, 7, 100, 4, 0.25, 32, 0.5
 
 #: Elements by what they do to the text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -344,7 +344,7 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
         return f"<{tag}{attributes}>{inner}" + ("" if tag in ("p", "li") and rng.random() < 0.3 else f"</{tag}>")
 
     def named(*groups: str) -> str:
-        if rng.random() < 0.12:
+        if rng.random() < 0.04:
             return ""
         key = rng.choice(["class", "class", "id", "role"])
         tokens = [rng.choice(TOKENS[rng.choice(groups)].split()) for _ in range(rng.choice([1, 1, 2]))]
@@ -386,7 +386,7 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
         return f"<div{named('share') or ' class=share'}>{link_list(rng.randint(2, 5))}</div>"
 
     def article() -> str:
-        k = rng.choice([0, 1, 1, 1, 2, 2, 3, 4, 5, 8, 14])
+        k = rng.choice([0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 4, 5, 8, 14])
         parts = [of_main(rng.choice(["h1", "h1", "h2"]), 1, 10)] if rng.random() < 0.85 else []
         if parts and rng.random() < 0.2:
             parts = [f"<header>{parts[0]}</header>"]
@@ -410,7 +410,7 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
                 parts.append(f"<section>{of_main('h3', 1, 5)}{of_main('p', 5, 50)}</section>")
             else:
                 parts.append(f"<div>{of_main('p', 5, 50)}</div>")
-            if rng.random() < 0.06:
+            if rng.random() < 0.12:
                 parts.append(aside_part(rng.choice(["ad", "ad", "side", "share", "form", "notice"])))
         body = "".join(parts)
         shape = rng.random()
