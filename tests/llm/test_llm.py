@@ -183,6 +183,27 @@ def test_near_copies_equal_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_copies_with_passages_appended_or_cut_off(spark):
+    rng = random.Random(12)
+    words = [f"p{k}" for k in range(20_000)]
+    line = " ".join(words[:12])
+    texts = [line + " " + " ".join(rng.choice(words) for _ in range(3)) for _ in range(30)]
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([25, 80, 300]))]
+        more = [rng.choice(words) for _ in range(int(len(base) * rng.choice([0.1, 0.15, 0.2, 0.24, 0.27])))]
+        texts += [" ".join(base), " ".join([*base, *more] if k % 2 else [*more, *base])]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(links) > 30
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_components(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == reach(len(texts), links)
+
+
 def test_tile_finds_what_joins_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 200).astype(np.uint64)
