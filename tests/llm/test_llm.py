@@ -204,6 +204,17 @@ def test_near_copies_with_passages_appended_or_cut_off(spark):
     assert [got[i] for i in range(len(texts))] == reach(len(texts), links)
 
 
+def test_texts_with_a_repeated_doc_id_are_not_copies(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (7, a), (7, b + " end"), (3, c), (7, c), (9, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "k") for i, t in rows], DOC)
+    kept = near_copies.drop_copies(docs)
+    got = [(r.doc_id, r.text[0]) for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(got, key=repr) == sorted([(7, "a"), (7, "b"), (3, "c"), (None, "a")], key=repr)
+    found = near_copies.near_copy_components(docs.where("doc_id IS NOT NULL")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (7, 3), *[(7, 7)] * 4, (9, 7)]
+
+
 def test_tile_finds_what_joins_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 200).astype(np.uint64)
