@@ -1,11 +1,13 @@
 """Graph operators over edges (src, dst, kind, pos).
 
-Paths are bounded and unrolled as joins; closures run semi-naive rounds, each a written table, so a lost executor costs
+Chains are bounded and unrolled as joins; cycles and closures run rounds to their end, each a written table, so a lost executor costs
 no more than a round. Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +39,25 @@ def chains(edges: DataFrame, starts: int = START_TABLES, max_nodes: int = MAX_NO
     return out.select(F.array_join("path", "→").alias("path"), F.array_join("kinds", ",").alias("kinds"), (F.size("path") - 1).alias("depth"), write.alias("has_write"), F.when(write, "MEDIUM").otherwise("LOW").alias("risk"))
 
 
-def cycles(edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """Simple cycles of up to max_nodes nodes, each once, starting at its smallest node."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of any length, each once, starting at its smallest node. Rounds run until no path is left."""
     step = cut(edges.select("src", "dst").distinct()).select(F.col("src").alias("s"), F.col("dst").alias("d"))
-    paths = step.where("s <= d").select(F.array("s").alias("path"), "d")
+    paths = cut(step.where("s <= d").select(F.array("s").alias("path"), "d"))
     out = None
-    for n in range(1, max_nodes + 1):
+    while out is None or not paths.isEmpty():
         closed = paths.where(F.col("d") == F.element_at("path", 1)).select(F.array_join("path", "→").alias("cycle"), F.size("path").alias("length"))
         out = closed if out is None else out.union(closed)
-        if n < max_nodes:
-            open_ = paths.where((F.col("d") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("d")))
-            paths = open_.select(F.array_append("path", F.col("d")).alias("path")).join(step, F.element_at("path", -1) == F.col("s")).select("path", "d")
+        open_ = paths.where((F.col("d") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("d")))
+        paths = cut(open_.select(F.array_append("path", F.col("d")).alias("path")).join(step, F.element_at("path", -1) == F.col("s")).select("path", "d"))
     return out
 
 
-def distances(edges: DataFrame, limit: int = 64) -> DataFrame:
+def distances(edges: DataFrame) -> DataFrame:
     """Src, dst, distance (fewest edges) for each pair of different nodes that a path joins."""
     step = cut(edges.select("src", "dst").where("src <> dst").distinct())
     known = cut(step.withColumn("distance", F.lit(1)))
     front = known
-    for n in range(2, limit + 1):
+    for n in count(2):
         reach = front.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
         front = cut(reach.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(n)))
         if front.isEmpty():
@@ -102,12 +103,12 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, "node", "left_anti").select("node")
 
 
-def call_depths(procs: DataFrame, calls: DataFrame, limit: int = 32) -> DataFrame:
+def call_depths(procs: DataFrame, calls: DataFrame) -> DataFrame:
     """Fewest calls from an uncalled procedure, names case-insensitive; 0 where no such procedure leads."""
     step = cut(calls.select(F.lower("caller").alias("a"), F.lower("callee").alias("b")).distinct())
     front = cut(procs.select(F.lower("proc").alias("p")).distinct().join(step.select(F.col("b").alias("p")), "p", "left_anti").withColumn("depth", F.lit(0)))
     known = front
-    for n in range(1, limit + 1):
+    for n in count(1):
         after = front.join(step, F.col("p") == F.col("a")).select(F.col("b").alias("p")).distinct().join(known, "p", "left_anti")
         front = cut(after.withColumn("depth", F.lit(n)))
         if front.isEmpty():

@@ -91,3 +91,13 @@ def test_paths_equal_brute_force(spark):
                 seen |= set(front)
                 far |= {(a, y): n for y in front}
         assert {(r.src, r.dst): r.distance for r in distances(df).collect()} == far
+
+
+def test_cycles_and_call_depths_have_no_bound(spark):
+    from metaloom.operators.graph import call_depths, cycles
+
+    ring = spark.createDataFrame([(f"n{k}", f"n{(k + 1) % 9}") for k in range(9)], "src string, dst string")
+    assert [(r.cycle, r.length) for r in cycles(ring).collect()] == [("→".join(f"n{k}" for k in range(9)), 9)]
+    procs = spark.createDataFrame([(f"p{k}",) for k in range(36)], "proc string")
+    calls = spark.createDataFrame([(f"p{k}", f"p{k + 1}") for k in range(35)], "caller string, callee string")
+    assert {r.proc: r.call_depth for r in call_depths(procs, calls).collect()} == {f"p{k}": k for k in range(36)}
