@@ -51,6 +51,17 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of long integers that few() sends to every executor at most: some 30 MB there.
+SENT_ROWS = 1_000_000
+
+
+def few(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """df joined with ids on ids' only column, for a left_semi or left_anti join: by broadcast if a count shows that ids
+    has SENT_ROWS rows at most, by a shuffle otherwise."""
+    ids = cut(ids, "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, ids.columns[0], how)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, cut at space and U+0009 to U+000D only; null counts as empty."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
