@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -95,6 +97,15 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
+def memo(name: str) -> dict:
+    """What this Python worker remembers under a name from task to task. Workers serve one operator after another, so
+    what was remembered under other names goes."""
+    kept = sys.modules.setdefault("_metaloom_memo", types.ModuleType("_metaloom_memo")).__dict__
+    for other in [k for k, v in kept.items() if isinstance(v, dict) and k != name and not k.startswith("__")]:
+        del kept[other]
+    return kept.setdefault(name, {})
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import os
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,14 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.shared import SLICE, new_dir
+from metaloom.llm.shared import SLICE, memo, new_dir
 
 END_ID, SHARD_IDS = 2, 2_000_000
 #: Words whose ids a Python worker remembers, at about 250 bytes each.
-MEMORY = 800_000
+MEMORY = 600_000
 #: ASCII marks; at a word's end a run of them is one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC, SAMPLE = b"MLTOK\x01", 256
+#: Values whose low bits are packed at a time; a multiple of 8.
+PART = 1 << 16
 HEAD, EF_HEAD = "<6sBxQQQII", "<QBxxxIQ"
 
 
@@ -52,11 +52,17 @@ class EliasFano:
         if not n:
             return cls(0, 0, np.empty(0, np.uint8), np.empty(0, np.uint8), np.empty(0, "<u4"))
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1)
-        bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+        low = b"".join(cls._low_part(values[i : i + PART], low_bits) for i in range(0, n, PART)) if low_bits else b""
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1, np.uint8)
         unary[ones] = 1
-        return cls(n, low_bits, np.packbits(bits, bitorder="little"), np.packbits(unary, bitorder="little"), ones[::SAMPLE].astype("<u4"))
+        return cls(n, low_bits, np.frombuffer(low, np.uint8), np.packbits(unary, bitorder="little"), ones[::SAMPLE].astype("<u4"))
+
+    @staticmethod
+    def _low_part(values: np.ndarray, low_bits: int) -> bytes:
+        """The low bits of PART values (whole bytes) or of the last ones."""
+        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)).astype(np.uint8) & 1
+        return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
     def to_bytes(self) -> bytes:
         return struct.pack(EF_HEAD, self.n, self.low_bits, len(self.samples), len(self.high)) + self.samples.tobytes() + self.high.tobytes() + self.low.tobytes()
@@ -101,8 +107,11 @@ class EliasFano:
         high = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        for i in range(0, self.n, PART):
+            k = min(PART, self.n - i)
+            bits = np.unpackbits(self.low[i * self.low_bits // 8 :], count=k * self.low_bits, bitorder="little").reshape(k, self.low_bits).astype(np.uint64)
+            high[i : i + k] |= (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        return high
 
 
 def pack_shard(doc_ids: list[int], sizes: list[int], ids: bytes, width: int) -> bytes:
@@ -161,13 +170,25 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
         return plain, width
     is_end = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
     is_end[[i for t, i in tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
-    kept = sys.modules.setdefault("_metaloom_words", types.ModuleType("_metaloom_words")).__dict__.setdefault(path, {})
+    kept = memo(f"ids of {path}")
+
+    count = lambda x: len(tok.pre_tokenizer.pre_tokenize_str(x))
+    letters: dict[str, bool] = {}
+
+    def is_letter(c: str) -> bool:
+        """Whether the tokenizer takes c, normalised, for letters: they join one another and no mark after them."""
+        if c not in letters:
+            form = tok.normalizer.normalize_str(c) if tok.normalizer else c
+            letters[c] = (count(form), count(form + form), count(form + ".")) == (1, 1, 2)
+        return letters[c]
 
     def learn(words: set[str]) -> None:
-        """Letters make one piece with one closing id, so many go into one call and are cut apart at the closing ids."""
-        parts = {w: w.rstrip(MARKS) for w in words}
-        plainly = {c for w, c in parts.items() if c.isalpha() and c not in kept}
-        single = {x for x in (w[len(c) :] if c.isalpha() else w for w, c in parts.items()) if x and x not in kept}
+        """Letters make one piece with one closing id, so many go into one call and are cut apart at the closing ids.
+        Words of letters and marks at their end are two pieces; any other word is encoded on its own."""
+        heads = {w: w.rstrip(MARKS) for w in words}
+        heads = {w: c for w, c in heads.items() if c and all(map(is_letter, c))}
+        plainly = {c for c in heads.values() if c not in kept}
+        single = {x for x in (w[len(heads.get(w, "")) :] for w in words) if x and x not in kept}
         row = list(plainly)
         chunks = [row[i : i + 2000] for i in range(0, len(row), 2000)]
         for chunk, e in zip(chunks, tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
@@ -180,7 +201,7 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
             kept.update(zip(chunk, [raw[i:j] for i, j in zip([0, *stops], stops)]))
         row = list(single)
         kept.update(zip(row, plain(row)))
-        kept.update((w, kept[c] + kept[w[len(c) :]]) for w, c in parts.items() if w not in kept)
+        kept.update((w, kept[c] + kept[w[len(c) :]]) for w, c in heads.items() if w not in kept)
 
     def encode(texts: list[str]) -> list[bytes]:
         # U+001C to U+001F are white space for Python, not for the tokenizer
