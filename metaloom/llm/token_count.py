@@ -18,8 +18,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaloom.llm.shared import memo
+
 HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 256, 512
 BATCH = 128
 #: Pieces whose counts a Python worker remembers, at about 150 bytes each.
 MEMORY = 1_000_000
-#: A space among white space may belong to a longer run; such texts are encoded whole.
-RUN = re.compile(r"\s \s")
+#: A space among white space, or after it at the end, may belong to a longer run; such texts are encoded whole.
+RUN = re.compile(r"\s (?:\s|\Z)")
 
 
 def default_path(name: str) -> str:
@@ -111,7 +111,7 @@ def counter(path: str, huge: int = HUGE) -> Callable[[list[str]], list[int]]:
     whole = lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     if not splits:
         return whole
-    kept = sys.modules.setdefault("_metaloom_counts", types.ModuleType("_metaloom_counts")).__dict__.setdefault(path, {})
+    kept = memo(f"counts of {path}")
 
     def count(texts: list[str]) -> list[int]:
         """A space after a non-space, or before one, starts a pre-token: a text's count is the sum over the pieces that
