@@ -10,11 +10,13 @@ training keep the model from leaning on whole words. The logit is calibrated on
 fit, weighted to the share of toxic labels.
 
 Training is bounded: SAMPLE labelled documents of each class, by the smallest hashes of their doc_ids among the rows
-whose crc32 remainder allows it. Labels, lang, source and doc_id are never inputs of a score.
+whose crc32 remainder allows it, and SAMPLE_CHARS characters of each class; texts of more than a fiftieth of that are not
+trained on, but scored whole like any other. Labels, lang, source and doc_id are never inputs of a score.
 
 Texts without a word (null, empty, only marks) score 0. Labels that are null are ignored; a document with several
-labels counts as toxic if any says so. Without labels of both classes every score is 0. Repeated rows score alike.
-Extra columns are ignored.
+labels counts as toxic if any says so; of several texts with one doc_id training takes that with the smallest hash.
+Without labels of both classes every score is 0. Repeated rows score alike, equal scores stay equal. Empty tables give
+empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.shared import SLICE
+from metaloom.llm.shared import SLICE, memo
 
-SAMPLE, HELD_BACK = 3000, 0.2
+SAMPLE, SAMPLE_CHARS, HELD_BACK = 3000, 24_000_000, 0.2
 BUCKETS, DIM, WINDOW = 1 << 17, 16, 3
 GRAMS = (3, 4, 5, 6)
 ROUNDS, BATCH, RATE = 12, 256, 0.15
 CUT_OFF = 0.7
-MEMORY = 500_000
+MEMORY = 300_000
 EDGES = ".,;:!?|\"'()[]{}<>#$%&*-_=+/\\~`«»“”‘’…·"
 
 
@@ -220,12 +222,18 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    here = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
+    here = known.join(sizes, "doc_id")
     share = {r.toxic: r["count"] for r in here.groupBy("toxic").count().collect()}  # two rows
     if not share.get(0) or not share.get(1):
         return None
-    picks = [here.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = texts.join(F.broadcast(picks[0].union(picks[1])), "doc_id").dropDuplicates(["doc_id"]).collect()  # 2 * sample rows
+    picks = []
+    for k in (0, 1):
+        first = here.where((F.col("toxic") == k) & (F.col("size") <= SAMPLE_CHARS // 50)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over sample rows
+        picks.append(first.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("doc_id", "toxic"))
+    found = texts.join(F.broadcast(picks[0].union(picks[1])), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # 2 * sample rows, 2 * SAMPLE_CHARS characters
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return train([r.text for r in rows], np.array([r.toxic == 1 for r in rows]), share[1] / (share[0] + share[1]))
 
@@ -233,7 +241,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict
 def scorer(model: dict):
     """Scores of texts; remembers words."""
     value = model["value"].astype(np.float64)
-    kept: dict[str, tuple[float, int]] = {}
+    kept: dict[str, tuple[float, int]] = memo("toxicity")
+    kept.clear()  # another model's, maybe
 
     def score(texts: list[str | None]) -> list[float]:
         out = []
