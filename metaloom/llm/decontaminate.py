@@ -6,9 +6,11 @@ has weighted Jaccard similarity (sum of minima over sum of maxima of shingle cou
 
 1. Windows: only those that share a shingle with some item can be similar at all, so a window is looked at only where
    that can be: every placement that covers a shingle of the item. This loses nothing and keeps clean text cheap.
-2. A window's 64-bit SimHash is looked up in a multi-index: RADIUS + 1 blocks of bits, so any fingerprint within the
-   radius agrees with the item's on a whole block. A similarity of 0.8 differs in 10 bits on average with a standard
-   deviation of 3; the radius of 24 lies almost five deviations above.
+2. A window's 64-bit SimHash is looked up in the multi-index of the items of its size: RADIUS + 1 blocks of bits, so any
+   fingerprint within the radius agrees with the item's on a whole block. A similarity of 0.8 differs in 10 bits on
+   average with a standard deviation of 3; the radius of 24 lies almost five deviations above. At such a radius blocks
+   have two or three bits and do not select alone; what selects is that a window meets only items of its own size that
+   also own one of its shingles.
 3. Each candidate is verified by its exact weighted shingle similarity.
 
 The benchmark is read in slices of at most SLICE_ITEMS items, and a broadcast holds one slice, whatever the benchmark's
@@ -20,6 +22,7 @@ are ignored. An empty benchmark finds nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ from metaloom.llm.shared import SLICE, majority_bits, shingle_hashes, words_of
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 24
 SLICE_ITEMS = 20_000
+_NONE: frozenset[int] = frozenset()
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -40,34 +44,38 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 class Index:
-    """Items of one slice: their shingles, sizes in words, fingerprints and the multi-index over them."""
+    """Items of one slice: their shingles, sizes in words, fingerprints and, for each size, the multi-index over them."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, radius: int = RADIUS) -> None:
         self.width, self.radius, self.blocks = width, radius, _blocks(radius)
         self.ids, self.words, self.counts, self.prints = [], [], [], []
-        self.owners: dict[int, list[int]] = {}
-        self.table: list[dict[int, list[int]]] = [{} for _ in self.blocks]
+        self.owners: dict[int, dict[int, list[int]]] = {}
+        self.table: dict[tuple[int, int, int], set[int]] = {}
+        self.looked_up = 0
         for item, text in items:
             words = words_of(text)
             if not words:
                 continue
-            k = len(self.ids)
+            k, size = len(self.ids), len(words)
             hashes = shingle_hashes(words, width)
             self.ids.append(item)
-            self.words.append(len(words))
+            self.words.append(size)
             self.counts.append(dict(zip(*(x.tolist() for x in np.unique(hashes, return_counts=True)))))
             self.prints.append(majority_bits(hashes))
             for h in self.counts[-1]:
-                self.owners.setdefault(h, []).append(k)
-            for (o, n), cell in zip(self.blocks, self.table):
-                cell.setdefault(self.prints[-1] >> o & ((1 << n) - 1), []).append(k)
+                self.owners.setdefault(h, {}).setdefault(size, []).append(k)
+            for no, (o, n) in enumerate(self.blocks):
+                self.table.setdefault((size, no, self.prints[-1] >> o & ((1 << n) - 1)), set()).add(k)
         self.known = np.array(sorted(self.owners), np.uint64)
 
-    def near(self, fingerprint: int) -> set[int]:
-        """Items whose fingerprints differ in radius bits at most."""
+    def near(self, fingerprint: int, size: int, among: set[int]) -> set[int]:
+        """Of items of a size, those whose fingerprints differ in radius bits at most."""
         found: set[int] = set()
-        for (o, n), cell in zip(self.blocks, self.table):
-            found.update(cell.get(fingerprint >> o & ((1 << n) - 1), ()))
+        for no, (o, n) in enumerate(self.blocks):
+            found |= self.table.get((size, no, fingerprint >> o & ((1 << n) - 1)), _NONE) & among
+            if len(found) == len(among):
+                break
+        self.looked_up += len(found)
         return {k for k in found if (self.prints[k] ^ fingerprint).bit_count() <= self.radius}
 
     def similarity(self, k: int, hashes: np.ndarray) -> float:
@@ -80,26 +88,20 @@ class Index:
         """item -> best similarity of a window, for items with a window at the threshold or above."""
         if not len(self.known):
             return {}
-        words = words_of(text)
-        hashes = shingle_hashes(words, self.width)
+        hashes = shingle_hashes(words_of(text), self.width)
         if not len(hashes):
             return {}
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        hits = np.nonzero(self.known[at] == hashes)[0]
-        if not len(hits):
-            return {}
-        places: dict[int, set[int]] = {}
-        for p in hits.tolist():
-            for size in {self.words[k] for k in self.owners[int(hashes[p])]}:
-                span = max(1, size - self.width + 1)
-                last = max(0, len(hashes) - span)
-                places.setdefault(size, set()).update(range(max(0, min(p - span + 1, last)), min(p, last) + 1))
+        hits = np.nonzero(self.known[at] == hashes)[0].tolist()
+        sizes = {size for p in hits for size in self.owners[int(hashes[p])]}
         best: dict[int, float] = {}
-        for size, starts in places.items():
+        for size in sizes:
             span = max(1, size - self.width + 1)
-            order = np.array(sorted(starts))
-            for lo in range(0, len(order), 4096):
-                part = order[lo : lo + 4096]
+            last = max(0, len(hashes) - span)
+            mine = [p for p in hits if size in self.owners[int(hashes[p])]]
+            edge = np.unique(np.concatenate([np.arange(max(0, min(p - span + 1, last)), min(p, last) + 1) for p in mine]))
+            for lo in range(0, len(edge), 4096):
+                part = edge[lo : lo + 4096]
                 first = int(part[0])
                 reach = hashes[first : int(part[-1]) + span]
                 bits = np.unpackbits(reach.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -109,11 +111,11 @@ class Index:
                 prints = np.packbits(2 * (sums[b] - sums[a]) > (b - a)[:, None], axis=1)
                 for s, e, raw in zip(a.tolist(), b.tolist(), prints):
                     window = reach[s:e]
-                    for k in self.near(int.from_bytes(raw.tobytes(), "big")):
-                        if self.words[k] == size:
-                            x = self.similarity(k, window)
-                            if x >= threshold and x > best.get(k, 0):
-                                best[k] = x
+                    among = {k for p in mine[bisect_left(mine, first + s) : bisect_left(mine, first + e)] for k in self.owners[int(hashes[p])][size]}
+                    for k in self.near(int.from_bytes(raw.tobytes(), "big"), size, among):
+                        x = self.similarity(k, window)
+                        if x >= threshold and x > best.get(k, 0):
+                            best[k] = x
         out: dict[int, float] = {}
         for k, x in best.items():
             out[self.ids[k]] = max(x, out.get(self.ids[k], 0))
