@@ -7,8 +7,9 @@ above 1 are held at 1 and the rest is scaled up until the budget is met. A docum
 read as a number in [0, 1), lies below its probability, so the same documents are drawn on every run.
 
 Targets are shares over the values that a margin has; without given targets they are tempered token shares
-(share ** TEMPER, normed), so a source that holds a third of all tokens is cut and rare ones are raised. A topic is a
-rule over the text: table, symbols, notice or prose.
+(share ** TEMPER, normed), so a source that holds a third of all tokens is cut and rare ones are raised. A topic is any
+column or expression over docs that the caller gives (a classifier's labels, say); without one it is the kind of text, by
+a rule: table, symbols, notice or prose.
 
 Cells are summed by Spark over all rows, partial sums first. Their number is the product of the margins' sizes: up to
 MAX_CELLS the cells are raked on the driver, beyond that by the same passes over a DataFrame, cut at each pass.
@@ -29,6 +30,8 @@ from metaloom.llm.shared import cut
 MARGINS = ("source", "lang", "topic")
 BUDGET, TEMPER, PASSES, TOLERANCE = 0.5, 0.5, 60, 1e-9
 MAX_CELLS, SEED = 200_000, 2026
+#: Parts into which a cell's documents are dealt where cells are too many for a broadcast.
+SALTS = 64
 
 
 def topic_of(text: Column) -> Column:
@@ -42,10 +45,11 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """Adds _source, _lang, _topic and _tokens."""
+def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """The columns row (all of docs, so that no name can clash), _source, _lang, _topic and _tokens."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_lang": F.coalesce("lang", F.lit("?")), "_topic": topic_of(text), "_tokens": n_words(text)})
+    kind = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("?"))
+    return docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("?")).alias("_source"), F.coalesce("lang", F.lit("?")).alias("_lang"), kind.alias("_topic"), n_words(text).alias("_tokens"))
 
 
 def tempered(totals: dict[str, float], temper: float = TEMPER) -> dict[str, float]:
@@ -143,23 +147,25 @@ def drawn(doc_id: Column, p: Column, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id.cast("string")), F.lit(1 << 52)).cast("double") / float(1 << 52) < p
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _weight (of the cell, raked), _p and _drawn."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, max_cells: int = MAX_CELLS, topic: Column | None = None) -> DataFrame:
+    """A row per row of docs (doc_id, text, source, lang): row, _source, _lang, _topic, _tokens, _weight (of the cell,
+    raked), _p and _drawn."""
     spark, targets = docs.sparkSession, targets or {}
-    marked = with_cells(docs)
+    marked = with_cells(docs, topic)
     cells = cut(marked.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")), "cells")
     n = cells.count()
     if n <= max_cells:
         rows = _cells_on_driver(cells.collect(), targets, budget) if n else []
         raked = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _weight double, _p double")
-        raked = F.broadcast(raked) if n <= 10_000 else raked
+        joined = marked.join(F.broadcast(raked), ["_source", "_lang", "_topic"])  # max_cells rows at most
     else:
-        raked = _cells_by_spark(cells, targets, budget)
-    joined = marked.join(raked, ["_source", "_lang", "_topic"])
-    return joined.withColumn("_drawn", drawn(F.col("doc_id"), F.col("_p")))
+        raked = _cells_by_spark(cells, targets, budget).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = marked.withColumn("_salt", F.pmod(F.xxhash64("row.doc_id", "_tokens"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(raked, ["_source", "_lang", "_topic", "_salt"]).drop("_salt")
+    return joined.withColumn("_drawn", drawn(F.col("row.doc_id"), F.col("_p")))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, cell_weight, probability, sampled: a row per document."""
     mixed = mix(docs.select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("cell_weight"), F.col("_p").alias("probability"), F.col("_drawn").alias("sampled"))
+    return mixed.select("row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("cell_weight"), F.col("_p").alias("probability"), F.col("_drawn").alias("sampled"))
