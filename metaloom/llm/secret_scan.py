@@ -2,11 +2,17 @@
 
 Three base patterns report as they match. Further candidates (base64 and hex runs, PEM blocks, dotted tokens) are
 reported only after decoding confirms a structure: a DER private key whose nested lengths add up, an OpenSSH private key
-whose length-prefixed fields fit, or a signed token whose header is a JSON object that names its algorithm.
+whose length-prefixed fields fit, or a signed token whose header is a JSON object that names its algorithm. Base64 may be
+wrapped into lines, with line ends written as they are or escaped, and a key may begin and end inside a run: where it
+begins follows from its first bytes, where it ends from its length.
+
+DER keys: PKCS#1, PKCS#8 (plain, or encrypted under a password scheme), SEC1 and DSA. PEM blocks hold one of these or an
+OpenSSH key, or name a cipher in their header lines and hold whole blocks of it. Other encodings are not confirmed.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start, then kind as listed in KINDS, then end.
-Texts are scanned whole, as bytes; all patterns are ASCII. Null counts as empty: no span. Repeated rows each report.
-Extra columns are ignored.
+Texts of any length are scanned whole, as bytes; all patterns are ASCII. Null counts as empty: no span. Repeated rows each
+report; spans that begin together are ordered as above, so there are no ties. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +42,17 @@ HEX = re.compile(rb"[0-9a-f]{16,}")  # the maximal runs of [0-9a-f]+ with 16 cha
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: A JSON object's first byte is 0x7B, so its base64 begins with e and one of the last 16 digits.
 SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-RUN64 = re.compile(rb"[A-Za-z0-9+/]{44,}={0,2}")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s|\\[rn])*(?:[A-Za-z0-9-]{1,40}: [^\n\\]{0,200}(?:\n|\\[rn])+)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+ENCRYPTED = re.compile(rb"Proc-Type: 4,ENCRYPTED\b.*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}", re.S)
+LINE_END = rb"(?:\r?\n[ \t]*|(?:\\r)?\\n)"
+RUN64 = re.compile(rb"[A-Za-z0-9+/]{40,}(?:" + LINE_END + rb"[A-Za-z0-9+/]+)*={0,2}")
+DIGITS64 = re.compile(rb"(?:\\[rn])+|[^A-Za-z0-9+/]+")
 RUN16 = re.compile(rb"[0-9A-Fa-f]{64,}")
+#: How a SEQUENCE begins: byte 0x30, then a length of one to three bytes.
+START64, START16 = re.compile(rb"M[A-I]"), re.compile(rb"30")
+MAGIC64 = base64.b64encode(b"openssh-key-v1\0")
+#: Object identifiers of password-based encryption (PKCS#5 and PKCS#12), as far as they are alike.
+PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 OPENSSH = b"openssh-key-v1\0"
 
 
@@ -70,16 +84,24 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 or SEC1 private key: one SEQUENCE over all bytes with the fields of that kind, lengths nested."""
+    """PKCS#1, PKCS#8, SEC1 or DSA private key: one SEQUENCE over all bytes with the fields of that kind, lengths nested."""
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     parts = _children(data, top[1], top[2])
-    if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+    if not parts:
+        return False
+    tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:
+        algorithm = _children(data, parts[0][1], parts[0][2])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data.startswith(PASSWORD_SCHEMES, algorithm[0][1]) and parts[1][2] > parts[1][1]
+    if tags[0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
-    tags, version = [p[0] for p in parts], data[parts[0][1]]
+    version = data[parts[0][1]]
     if len(tags) >= 9 and set(tags[:9]) == {0x02} and version in (0, 1):
         return all(p[2] > p[1] for p in parts)
+    if tags == [0x02] * 6 and version == 0:
+        return parts[1][2] - parts[1][1] >= 64 and all(p[2] > p[1] for p in parts)
     if tags[1:3] == [0x30, 0x04] and version in (0, 1):
         algorithm = _children(data, parts[1][1], parts[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06 and parts[2][2] > parts[2][1]
@@ -88,10 +110,11 @@ def is_der_private_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_private_key(data: bytes) -> bool:
-    """The magic, then cipher, kdf and kdf options, a count, as many public keys and the private part, all by length."""
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key at the start: the magic, then cipher, kdf and kdf options, a count, as many public
+    keys and the private part, all by length; 0 if there is none."""
     if not data.startswith(OPENSSH):
-        return False
+        return 0
     at, fields = len(OPENSSH), []
 
     def string() -> bytes | None:
@@ -107,21 +130,50 @@ def is_openssh_private_key(data: bytes) -> bool:
     for _ in range(3):
         fields.append(string())
     if None in fields or at + 4 > len(data) or not fields[0] or not fields[1]:
-        return False
+        return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
-        return False
-    return all(string() for _ in range(keys + 1)) and at == len(data)
+        return 0
+    return at if all(string() for _ in range(keys + 1)) else 0
+
+
+def _sequence_size(head: bytes) -> int:
+    """Bytes of the SEQUENCE that begins here, if its first element may be that of a key; 0 if not."""
+    if len(head) < 8 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 3 or head[1] == 0x80:
+        return 0
+    size = int.from_bytes(head[2 : 2 + n], "big") if n else head[1]
+    first = head[2 + n : 4 + n]
+    return 2 + n + size if first == b"\x02\x01" or first[0] == 0x30 else 0
+
+
+def _keys(run: bytes, starts: re.Pattern, decode: Callable[[bytes], bytes], digits: Callable[[int], int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the DER keys in a run of digits."""
+    at = 0
+    while m := starts.search(run, at):
+        at = m.start() + 1
+        size = _sequence_size(decode(run[m.start() : m.start() + 16]))
+        end = m.start() + digits(size)
+        if size >= 24 and end <= len(run) and is_der_private_key(decode(run[m.start() : end])[:size]):
+            yield m.start(), end
+            at = end
 
 
 def _unbase64(run: bytes) -> bytes:
     body = run.rstrip(b"=")
+    body = body[:-1] if len(body) % 4 == 1 else body
     try:
         return base64.b64decode(body + b"=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return b""
 
 
+def _unhex(run: bytes) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2].decode())
+
+
 def is_signed_token(header: bytes, payload: bytes) -> bool:
     """The header decodes to a JSON object with a text alg; the payload decodes."""
     turn = bytes.maketrans(b"-_", b"+/")
@@ -132,8 +184,35 @@ def is_signed_token(header: bytes, payload: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and bool(_unbase64(payload.translate(turn)))
 
 
-def _key_kind(data: bytes) -> int:
-    return 5 if is_der_private_key(data) else 6 if is_openssh_private_key(data) else 0
+def _keys64(block: bytes) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of the keys in a base64 block, line ends within it left out of the decoding."""
+    run, places = block, None
+    if DIGITS64.search(block.rstrip(b"=")):
+        cuts = [(m.start(), m.end()) for m in DIGITS64.finditer(block)]
+        inside = np.ones(len(block), bool)
+        for a, b in cuts:
+            inside[a:b] = False
+        places = np.nonzero(inside)[0]
+        run = np.frombuffer(block, np.uint8)[places].tobytes()
+    found = [(a, b, 5) for a, b in _keys(run, START64, _unbase64, lambda n: -(-n * 4 // 3))]
+    at = run.find(MAGIC64)
+    while at >= 0:
+        name = int.from_bytes(_unbase64(run[at : at + 28])[15:19], "big")  # bytes of the cipher's name
+        if 1 <= name <= 64 and (size := openssh_size(_unbase64(run[at:]))):
+            found.append((at, at - (-size * 4 // 3), 6))
+        at = run.find(MAGIC64, at + 1)
+    for a, b, kind in found:
+        a, b = (a, b) if places is None else (int(places[a]), int(places[b - 1]) + 1)
+        while block[b : b + 1] == b"=":
+            b += 1
+        yield a, b, kind
+
+
+def _is_pem_key(header: bytes, body: bytes) -> bool:
+    data = _unbase64(DIGITS64.sub(b"", body))
+    if ENCRYPTED.search(header):
+        return len(data) >= 32 and len(data) % 8 == 0
+    return is_der_private_key(data) or openssh_size(data) == len(data) > 0
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -148,16 +227,15 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(raw)]
     if b"." in raw:
         found += [(m.start(), m.end(), 3) for m in SIGNED.finditer(raw) if is_signed_token(m[1], m[2])]
+    blocks = []
     if b"-----BEGIN " in raw:
-        for m in PEM.finditer(raw):
-            if _key_kind(_unbase64(b"".join(m[2].split()))):
-                found.append((m.start(), m.end(), 4))
+        blocks = [(m.start(), m.end()) for m in PEM.finditer(raw) if _is_pem_key(m[2], m[3])]
+        found += [(a, b, 4) for a, b in blocks]
     for m in RUN64.finditer(raw):
-        if kind := _key_kind(_unbase64(m[0])):
-            found.append((m.start(), m.end(), kind))
+        if not any(a <= m.start() < b for a, b in blocks):
+            found += [(m.start() + a, m.start() + b, kind) for a, b, kind in _keys64(m[0])]
     for m in RUN16.finditer(raw):
-        if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0].decode()))):
-            found.append((m.start(), m.end(), kind))
+        found += [(m.start() + a, m.start() + b, 5) for a, b in _keys(m[0], START16, _unhex, lambda n: 2 * n)]
     found = sorted(set(found), key=lambda s: (s[0], s[2], s[1]))
     if found and len(raw) != len(text or ""):
         points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
