@@ -5,13 +5,15 @@ attribute tokens and those of its ancestors, depth, position and siblings. The t
 its subtree holds main text. Decoding maximises the sum of log probabilities under one constraint, that nothing below a
 dropped node is kept, by one bottom-up and one top-down pass, so ancestors and descendants never contradict each other.
 
-The model is trained here, on pages that page_of() makes from a seed (articles with and without semantic tags among
-menus, headers, footers, sidebars, notices, adverts, forms and comments); no row of the input is used for it, so a page
-always gives the same text. Training is bounded by TRAIN_PAGES.
-
-Text: character references decoded, scripts, styles, comments and hidden raw text left out, white space within a block
-turned into one space, blocks trimmed and joined by two line feeds in page order, nothing else dropped or capped.
-Null and empty pages give an empty text. Broken markup is read as far as it goes. Extra columns are ignored.
+The model is trained here, on pages that page_of() makes from a seed (articles with and without semantic tags, in boxes
+or right in the body, alone or among menus, headers, footers, sidebars, notices, adverts, forms and comments); no row of
+the input is used for it, so a page always gives the same text. Training is bounded by TRAIN_PAGES.
+
+Text: character references decoded, scripts, styles and comments left out, white space within a block turned into one
+space, blocks trimmed and joined by two line feeds in page order, nothing else dropped or capped; text that an attribute
+hides from the eye is text like any other. Null and empty pages give an empty text, empty tables an empty result.
+Repeated rows each give their text, so there are no ties. Pages of any length are read whole, in time proportional to it,
+broken markup as far as it goes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, SEED, TREES, DEPTH, RATE, BINS, COLUMNS = 1600, 7, 100, 4, 0.25, 32, 0.5
+TRAIN_PAGES, SEED, TREES, DEPTH, RATE, BINS, COLUMNS = 1600, 7, 200, 4, 0.25, 32, 0.5
 
 #: Elements by what they do to the text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
+#: Where such an element has no end tag, what follows it is read on.
+OPEN_RAW = frozenset("svg template noscript iframe noembed noframes".split())
 CLOSES_P = BLOCKS - {"body", "html", "button", "label", "option", "select", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An opening tag ends an open element of the same group, up to its container.
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -53,9 +57,11 @@ TOKENS = {
     "share": "share sharing social follow tools meta byline author tags tagcloud pagination pager prev next rating print",
 }
 GROUP = {t: g for g, ts in enumerate(TOKENS.values()) for t in ts.split()}
-PIECE = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: The rest of a tag, with ">" inside quotes; a page in which it fails FAILURES times is read without regard to quotes.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+FAILURES = 8
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -63,19 +69,69 @@ SPACE = re.compile(r"\s+")
 class Page:
     """Block-level nodes in page order: a parent comes before its children. blocks: (node, text) in page order."""
 
-    __slots__ = ("tag", "parent", "groups", "blocks", "linked", "tags_in", "hidden")
+    __slots__ = ("tag", "parent", "groups", "blocks", "linked", "tags_in")
 
     def __init__(self) -> None:
         self.tag, self.parent, self.groups = ["#root"], [-1], [0]
         self.blocks: list[tuple[int, str]] = []
         self.linked: list[int] = []
         self.tags_in = [0]
-        self.hidden = [False]
+
+
+def pieces(source: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, name, attributes) of each tag in order, the name with / in end tags; empty names for comments and
+    the end. Each place of the source is looked at a bounded number of times."""
+    at, look, failed, last, endless = 0, 0, 0, source.rfind(">"), set()
+    while True:
+        start = source.find("<", look)
+        if start < 0 or start > last and not source.startswith("<!--", start):
+            yield source[at:], "", ""
+            return
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            yield source[at:start], "", ""
+            if end < 0:
+                return
+            at = look = end + 3
+            continue
+        if source.startswith("<![CDATA[", start):
+            yield source[at:start], "", ""
+            at = look = start + 9
+            continue
+        if source.startswith(("<!", "<?"), start):
+            yield source[at:start], "", ""
+            at = look = source.find(">", start) + 1
+            continue
+        name = NAME.match(source, start + 1)
+        if not name:
+            look = start + 1
+            continue
+        end = None
+        if failed < FAILURES:
+            end = REST.match(source, name.end())
+            failed += end is None
+        stop = end.end() if end else source.find(">", name.end()) + 1
+        if not stop:
+            yield source[at:], "", ""
+            return
+        tag = name[0].lower()
+        yield source[at:start], tag, source[name.end() : stop - 1]
+        at = look = stop
+        if tag in RAW and not source.endswith("/", name.end(), stop - 1):
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(source, at) if tag not in endless else None
+            if close:
+                at = look = close.end()
+            elif tag in OPEN_RAW:
+                endless.add(tag)
+            else:
+                return
 
 
 def parse(source: str | None) -> Page:
-    page, source = Page(), source or ""
+    page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]  # all open elements with their block node
+    places: dict[str, list[int]] = {}  # of each open name
+    blocks: list[int] = []  # places of open blocks
     run: list[str] = []
     link_chars, links = 0, 0
 
@@ -89,41 +145,36 @@ def parse(source: str | None) -> Page:
                 page.linked.append(min(link_chars, len(text)))
         link_chars = 0
 
-    def pop_to(depth: int) -> None:
+    def last(names) -> int:
+        """The innermost open element of these names; 0 if none is."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def pop_to(place: int) -> None:
         nonlocal links
-        if any(n in BLOCKS for n, _ in stack[depth:]):
+        if blocks and blocks[-1] >= place:
             flush()
-        links -= sum(n == "a" for n, _ in stack[depth:])
-        del stack[depth:]
-
-    at, size = 0, len(source)
-    while at < size:
-        m = PIECE.search(source, at)
-        stop = m.start() if m else size
-        if stop > at:
-            text = entities.unescape(source[at:stop])
+        for name, _ in stack[place:]:
+            places[name].pop()
+            links -= name == "a"
+        del stack[place:]
+        while blocks and blocks[-1] >= place:
+            blocks.pop()
+
+    for before, name, attributes in pieces(source or ""):
+        if before:
+            text = entities.unescape(before)
             run.append(text)
             if links:
                 link_chars += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        if m[1] or m[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in ("table", "body") and name not in BLOCKS:
-                    break
+        if name[0] == "/":
+            place = last((name[1:],))
+            if place and (name[1:] in BLOCKS or place > last(("table", "body"))):
+                pop_to(place)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else size
             continue
-        attributes = m[3] if m[2] else m[6]
         if name in VOID:
             if name == "hr":
                 flush()
@@ -131,40 +182,32 @@ def parse(source: str | None) -> Page:
                 run.append(" ")
             page.tags_in[stack[-1][1]] += 1
             continue
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in BLOCKS:
-                    break
+        if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            pop_to(blocks[-1])
         if name in SAME:
             same, within = SAME[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in same:
-                    pop_to(depth)
-                    if name != "tr":
-                        break
-                elif stack[depth][0] in within:
-                    break
+            outside, place = last(within), last(same)
+            while place > outside:
+                pop_to(place)
+                place = last(same) if name == "tr" else 0
         node = stack[-1][1]
         page.tags_in[node] += 1
         if name in BLOCKS:
             flush()
             mask = 0
-            if attributes:
-                for a in ATTRIBUTE.finditer(attributes):
-                    for token in WORD.findall((a[2] or a[3] or a[4] or "").lower()):
-                        if token in GROUP:
-                            mask |= 1 << GROUP[token]
+            for a in ATTRIBUTE.finditer(attributes):
+                for token in WORD.findall((a[2] or a[3] or a[4] or "").lower()):
+                    if token in GROUP:
+                        mask |= 1 << GROUP[token]
             page.tag.append(name)
             page.parent.append(node)
             page.groups.append(mask)
             page.tags_in.append(0)
-            page.hidden.append(bool(attributes) and bool(HIDDEN.search(attributes)))
             node = len(page.tag) - 1
+            blocks.append(len(stack))
         elif name == "a":
             links += 1
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, node))
     flush()
     return page
@@ -211,14 +254,16 @@ def features(page: Page) -> np.ndarray:
         depth[i] = depth[p] + 1
         up[i] = up[p] | page.groups[p]
         inside[i] = inside[p] | (1 << _INSIDE[page.tag[p]] if page.tag[p] in _INSIDE else 0)
-    scalar = np.zeros((n, 17), np.float32)
+    boxed = any(t in ("article", "main") or m & 1 for t, m in zip(page.tag, page.groups))  # content is the first group
+    aside = math.log1p(sum(t in ("nav", "header", "footer", "aside", "form") or m > 1 for t, m in zip(page.tag, page.groups)))
+    scalar = np.zeros((n, 18), np.float32)
     for i in range(n):
         p = max(parent[i], 0)
         c, k = chars[i], kids[p] or 1
         others = kid_chars[p] - c
         scalar[i] = (
             math.log1p(c), math.log1p(own[i]), linked[i] / (c + 1), math.log1p(tags[i]), c / (tags[i] + 1), marks[i] / (words[i] + 1), c / (words[i] + 1), math.log1p(parts[i]),
-            min(depth[i], 30), k, place[i] / k, others / (k - 1 or 1), (kid_links[p] - linked[i]) / (others + 1), c / total, (first[i] if first[i] < math.inf else total) / total, kids[i], page.hidden[i],
+            min(depth[i], 30), k, place[i] / k, others / (k - 1 or 1), (kid_links[p] - linked[i]) / (others + 1), c / total, (first[i] if first[i] < math.inf else total) / total, kids[i], boxed, aside,
         )
     tag = np.zeros((n, 2 * len(TAGS)), np.float32)
     for i, t in enumerate(page.tag):
@@ -312,7 +357,7 @@ def extract(sources: list[str | None], model: dict) -> list[str]:
     for page in pages:
         kept = decode(page.parent, odds[at : at + len(page.tag)])
         at += len(page.tag)
-        out.append("\n\n".join(text for node, text in page.blocks if kept[node] and not page.hidden[node]))
+        out.append("\n\n".join(text for node, text in page.blocks if kept[node]))
     return out
 
 
@@ -371,6 +416,9 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
         if kind == "side":
             tag = rng.choice(["aside", "div", "section"])
             return f"<{tag}{named('side') if tag != 'aside' else rng.choice(['', named('side')])}><h3>{words(1, 3)}</h3>{link_list(rng.randint(2, 6), 2, 6)}{prose(rng.randint(0, 2))}</{tag}>"
+        if kind == "note":
+            box = rng.choice(["aside", "aside", "div"])
+            return f"<{box}{named('side', 'notice') if box == 'aside' else named('notice') or ' class=note'}>{words(3, 30) if rng.random() < 0.4 else prose(rng.randint(1, 2))}</{box}>"
         if kind == "ad":
             tag = rng.choice(["div", "div", "aside", "section"])
             return f'<{tag} class="{rng.choice(TOKENS["ad"].split())}">{words(3, 25) if rng.random() < 0.6 else prose(rng.randint(1, 3))}</{tag}>'
@@ -410,26 +458,30 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
                 parts.append(f"<section>{of_main('h3', 1, 5)}{of_main('p', 5, 50)}</section>")
             else:
                 parts.append(f"<div>{of_main('p', 5, 50)}</div>")
-            if rng.random() < 0.12:
-                parts.append(aside_part(rng.choice(["ad", "ad", "side", "share", "form", "notice"])))
+            if rng.random() < 0.14:
+                parts.append(aside_part(rng.choice(["ad", "ad", "side", "share", "form", "notice", "note", "note"])))
         body = "".join(parts)
         shape = rng.random()
-        if shape < 0.45:
+        if shape < 0.4:
             return f"<article{rng.choice(['', named('content')])}>{body}</article>"
-        if shape < 0.65:
+        if shape < 0.58:
             return f"<main><{rng.choice(['article', 'div', 'section'])}{named('content')}>{body}</main>"
-        if shape < 0.93:
+        if shape < 0.8:
             named_box = f"<div{named('content') or ' class=content'}>{body}</div>"
             return named_box if rng.random() < 0.6 else f"<div><div>{named_box}</div></div>"
-        return f"<div>{body}</div>"
+        return f"<div>{body}</div>" if shape < 0.86 else body
 
     before = [aside_part(k) for k in ("notice", "header", "nav", "ad", "share", "form") if rng.random() < {"nav": 0.85, "header": 0.5, "ad": 0.5}.get(k, 0.2)]
     after = [aside_part(k) for k in ("share", "side", "ad", "form", "comment", "nav", "footer") if rng.random() < {"footer": 0.85, "comment": 0.35, "side": 0.4}.get(k, 0.2)]
     if rng.random() < 0.2:
         rng.shuffle(before)
+    if rng.random() < 0.2:  # the article and nothing else
+        before, after = [], []
     body = "".join([*before, article(), *after])
     if rng.random() < 0.3:
         body = f"<div{rng.choice(['', ' id=wrapper', ' class=container'])}>{body}</div>"
+    if rng.random() < 0.15:  # a fragment
+        return body, main
     return f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{body}" + rng.choice(["</body></html>", ""]), main
 
 
