@@ -7,12 +7,15 @@ matrix product); pairs whose bound misses the threshold stop there. The survivor
 get their cosine in double precision over the vectors as given. Tiles whose first-axis ranges lie further apart than two
 unit vectors of that cosine can be are never built.
 
-A tile returns counts and a spanning forest of its links, never the links themselves, so a group of any size costs a row
-per vector and tile. The work is n * n / 2 bounded products; the driver sees the d x d moments and the block borders.
+Blocks of neighbours form strips of up to STRIP blocks, and a task compares two whole strips, so a vector is shuffled once
+for each strip it meets and not for each block. A strip pair returns counts and a spanning forest of its links, never the
+links themselves, so a group of any size costs a row per vector and strip. The work is n * n / 2 bounded products; the
+driver sees the d x d moments and the block borders. Blocks that many equal places on the first axis would swell are
+split by a hash.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are components of their
-own. Vectors of different lengths do not link. Repeated rows (equal vectors) link with one another. Extra columns are
-ignored. Empty input gives an empty result.
+own. Vectors of different lengths do not link. Repeated rows (equal vectors) link with one another; a component's name is
+its smallest vec_id, so ties do not matter. Extra columns are ignored. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from metaloom.llm.shared import components, cut
 
@@ -30,6 +34,8 @@ BLOCK, THRESHOLD = 2048, 0.9
 #: What single precision may lose in a bound; exact decisions are made in double precision.
 SLACK = 1e-4
 SUB = 1024
+#: Blocks of a strip, at most, and bytes of vectors that one aims at.
+STRIP, STRIP_BYTES = 8, 32 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -122,8 +128,8 @@ def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return label
 
 
-def _pack(classes: DataFrame, axis: np.ndarray, borders: list[float]) -> DataFrame:
-    """One row per block: neighbours along the first axis with their ids, copies and vectors as bytes."""
+def _pack(classes: DataFrame, axis: np.ndarray, borders: list[float], kind: str) -> DataFrame:
+    """One row per block: neighbours along the first axis with their ids, copies and vectors (of a numpy kind) as bytes."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,29 +139,28 @@ def _pack(classes: DataFrame, axis: np.ndarray, borders: list[float]) -> DataFra
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(block)], ["embedding", "rep", "copies", "at", "block"])
 
     def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("at", "ascending"), ("rep", "ascending")]).combine_chunks()
-        at, out = group["at"].to_numpy(), []
-        for sub, i in enumerate(range(0, group.num_rows, BLOCK)):
-            part = group.slice(i, BLOCK)
-            x = _rows(part["embedding"].combine_chunks())
-            out.append((int(group["block"][0].as_py()) * 1_000_000 + sub, float(at[i]), float(at[i + part.num_rows - 1]), part["rep"].to_numpy().astype("<i8").tobytes(), part["copies"].to_numpy().astype("<i8").tobytes(), x.astype("<f8").tobytes()))
-        return pa.table([list(c) for c in zip(*out)], schema=pa.schema([("bid", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())]))
+        group = group.combine_chunks()
+        at, x = group["at"].to_numpy(), _rows(group["embedding"].combine_chunks())
+        row = (group["block"][0].as_py(), group["part"][0].as_py(), float(at.min()), float(at.max()), group["rep"].to_numpy().astype("<i8").tobytes(), group["copies"].to_numpy().astype("<i8").tobytes(), x.astype(kind).tobytes())
+        return pa.table([[c] for c in row], schema=pa.schema([("block", pa.int64()), ("part", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())]))
 
-    placed = classes.select("embedding", "rep", "copies").mapInArrow(place, "embedding array<double>, rep long, copies long, at double, block long")
-    return placed.groupBy("block").applyInArrow(pack, "bid long, lo double, hi double, ids binary, copies binary, vectors binary")
+    placed = cut(classes.select("embedding", "rep", "copies").mapInArrow(place, "embedding array<double>, rep long, copies long, at double, block long"), "placed")
+    parts = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
+    spread = placed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    return spread.groupBy("block", "part").applyInArrow(pack, "block long, part long, lo double, hi double, ids binary, copies binary, vectors binary")
 
 
-def _tiles(blocks: DataFrame, width: float) -> DataFrame:
-    """Pairs of blocks whose first-axis ranges come within width, found by equal cells of that axis."""
+def _near_strips(strips: DataFrame, width: float) -> DataFrame:
+    """Pairs of strips (a, b), a <= b, whose first-axis ranges come within width, found by equal cells of that axis."""
     cell = lambda c, by: F.floor(F.col(c) / F.lit(width)).cast("long") + F.lit(by)
-    a = blocks.select(F.col("bid").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo", 0), cell("hi", 0))).alias("cell"))
-    b = blocks.select(F.col("bid").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("cell"))
+    a = strips.select(F.col("strip").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo", 0), cell("hi", 0))).alias("cell"))
+    b = strips.select(F.col("strip").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(cell("lo", -1), cell("hi", 1))).alias("cell"))
     near = (F.col("a") <= F.col("b")) & (F.col("lo_b") - F.col("hi_a") <= width + SLACK) & (F.col("lo_a") - F.col("hi_b") <= width + SLACK)
     return a.join(b, "cell").where(near).select("a", "b").distinct()
 
 
-def _compare(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(x, y, n): for n >= 0 rep x has n links in a tile; for n = -1 x and y are linked (a spanning forest)."""
+def _compare(classes: DataFrame, dim: int, threshold: float, kind: str) -> DataFrame:
+    """(x, y, n): for n >= 0 rep x has n links in a pair of strips; for n = -1 x and y are linked (a spanning forest)."""
     spark = classes.sparkSession
     axes, stops = axes_of(_moments(classes, dim))
     n = classes.count()
@@ -168,38 +173,44 @@ def _compare(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_unit(_rows(batch.column(0))) @ axis)], ["at"])
 
     borders = classes.select("embedding").mapInArrow(along, "at double").approxQuantile("at", cuts, 1 / max(1000, 4 * len(cuts))) if cuts else []
-    blocks = cut(_pack(classes, axis, borders), "blocks")
+    each = max(1, min(STRIP, len(cuts) // 8, STRIP_BYTES // (BLOCK * dim * np.dtype(kind).itemsize)))
+    strip = F.floor(F.col("block") / each) * (1 << 24) + F.floor(F.col("part") / each)
+    blocks = cut(_pack(classes, axis, borders, kind).withColumn("strip", strip.cast("long")), "blocks")
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    sides = {s: blocks.select(F.col("bid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors"))) for s in "ab"}
-    tiles = _tiles(blocks.select("bid", "lo", "hi"), width).join(sides["a"], "a").join(sides["b"], "b")
+    pairs = cut(_near_strips(blocks.groupBy("strip").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), width), "pairs")
+    at = lambda s, where: pairs.where(where).join(blocks, F.col(s) == F.col("strip")).select("a", "b", F.lit(s).alias("side"), "block", "part", "lo", "hi", "ids", "copies", "vectors")
+    met = at("a", "true").union(at("b", "a < b"))
     shipped = spark.sparkContext.broadcast((axes, stops))  # dim * dim numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(group: pa.Table) -> pa.Table:
         axes, stops = shipped.value
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                same = get["a"] == get["b"]
-                ids, copies, unit = [], [], []
-                for s in "ab"[: 1 if same else 2]:
-                    ids.append(np.frombuffer(get[f"ids_{s}"], "<i8"))
-                    copies.append(np.frombuffer(get[f"copies_{s}"], "<i8"))
-                    unit.append(_unit(np.frombuffer(get[f"vectors_{s}"], "<f8").reshape(len(ids[-1]), dim)))
-                off = 0 if same else len(ids[0])
-                ids, copies = np.concatenate(ids), np.concatenate(copies)
-                counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                for i, j in tile_links(unit[0], unit[-1], same, axes, stops, threshold):
-                    j = j + off
+        group = group.sort_by([("side", "ascending"), ("block", "ascending"), ("part", "ascending")])
+        ids, copies, unit, span, side = [], [], [], [], group["side"].to_pylist()
+        for r in range(group.num_rows):
+            ids.append(np.frombuffer(group["ids"][r].as_buffer(), "<i8"))
+            copies.append(np.frombuffer(group["copies"][r].as_buffer(), "<i8"))
+            unit.append(_unit(np.frombuffer(group["vectors"][r].as_buffer(), kind).reshape(len(ids[-1]), dim)))
+            span.append((group["lo"][r].as_py(), group["hi"][r].as_py()))
+        first = np.cumsum([0, *map(len, ids)])
+        ids, copies = np.concatenate(ids), np.concatenate(copies)
+        counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        two = "b" in side
+        for p in range(len(unit)):
+            for q in range(p, len(unit)):
+                if two and side[p] == side[q] or span[q][0] - span[p][1] > width + SLACK or span[p][0] - span[q][1] > width + SLACK:
+                    continue
+                for i, j in tile_links(unit[p], unit[q], p == q, axes, stops, threshold):
+                    i, j = i + first[p], j + first[q]
                     counts += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
                     chain = np.nonzero(label != np.arange(len(ids)))[0]
                     label = _forest(len(ids), [(i, j), (chain, label[chain])])
-                linked, moved = np.nonzero(counts)[0], np.nonzero(label != np.arange(len(ids)))[0]
-                x = np.concatenate((ids[linked], ids[moved]))
-                y = np.concatenate((ids[linked], ids[label[moved]]))
-                k = np.concatenate((counts[linked], np.full(len(moved), -1)))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(k)], ["x", "y", "n"])
+        linked, moved = np.nonzero(counts)[0], np.nonzero(label != np.arange(len(ids)))[0]
+        x = np.concatenate((ids[linked], ids[moved]))
+        y = np.concatenate((ids[linked], ids[label[moved]]))
+        k = np.concatenate((counts[linked], np.full(len(moved), -1)))
+        return pa.table([pa.array(x), pa.array(y), pa.array(k)], ["x", "y", "n"])
 
-    return cut(tiles.mapInArrow(run, "x long, y long, n long"), "tiles")
+    return cut(met.groupBy("a", "b").applyInArrow(run, "x long, y long, n long"), "tiles")
 
 
 def vector_components(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,9 +220,11 @@ def vector_components(embeddings: DataFrame, threshold: float = THRESHOLD) -> Da
     good = given.where(F.coalesce(usable, F.lit(False)))
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     dims = [r[0] for r in classes.select(F.size("embedding").alias("d")).distinct().collect()]  # lengths of vectors, a handful
+    element = getattr(embeddings.schema["embedding"].dataType, "elementType", None)
+    kind = "<f4" if isinstance(element, FloatType) else "<f8"
     found = None
     for dim in sorted(dims):
-        part = _compare(classes.where(F.size("embedding") == dim), dim, threshold)
+        part = _compare(classes.where(F.size("embedding") == dim), dim, threshold, kind)
         found = part if found is None else found.union(part)
     if found is None:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
