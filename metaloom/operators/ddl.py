@@ -1,7 +1,8 @@
-"""SQL DDL text to catalog rows: tables, columns, keys, indexes, views, triggers, changes.
+"""SQL DDL text to catalog rows: tables, columns, keys, indexes, views, procedures, triggers.
 
-Comment stripping, file scans and single clauses are built-in expressions. Only the table body, whose commas and
-parentheses nest, is walked in Python, as an Arrow-batched function over whole scripts.
+Comment stripping, file scans and single clauses are built-in expressions. Only table bodies and ALTER TABLE ... ADD, whose
+commas and parentheses nest, are walked in Python, as an Arrow-batched function over whole scripts. Quoted text is text:
+neither comment marks nor parentheses count within it.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.scalar import column_risk, normalize_sql_type
 
 IDENT = r"(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\w+)"
 NAME = rf"(?:({IDENT})\s*\.\s*)?({IDENT})"
+KEPT_VIEW, KEPT_BODY, PARAMETER_TEXT = 2000, 3000, 500
 
 
 def bare(name: Column) -> Column:
@@ -30,13 +32,14 @@ def names(listing: Column) -> Column:
 
 
 def without_comments(text: Column) -> Column:
-    """P01."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", "")
+    """Block comments turned into a space, line comments dropped, outside quoted text."""
+    parts = F.regexp_extract_all(text, F.lit(r"""(?s)'[^']*'|"[^"]*"|`[^`]*`|\[[^\]]*\]|--[^\n]*|/\*.*?\*/|[^'"`\[/-]+|."""), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("--"), "").when(x.startswith("/*") & (F.length(x) > 3), " ").otherwise(x)), "")
 
 
-def scripts(spark, path: str) -> DataFrame:
-    """(source_file, text) of the .sql files below a folder."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter="*.sql", recursiveFileLookup=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("text"))
+def scripts(spark, path: str, pattern: str = "*.sql") -> DataFrame:
+    """(source_file, text) of the script files below a folder."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("text"))
 
 
 def _outside_quotes(text: str, at: int) -> Iterator[tuple[int, str]]:
@@ -71,7 +74,9 @@ def clauses(body: str) -> list[str]:
 
 
 _CREATE = re.compile(rf"\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\(", re.I)
-_KINDS = ((re.compile(r"^PRIMARY\s+KEY", re.I), "pk"), (re.compile(r"^UNIQUE", re.I), "unique"), (re.compile(r"^FOREIGN\s+KEY", re.I), "fk"), (re.compile(r"^(?:KEY|INDEX)\b", re.I), "index"), (re.compile(r"^CHECK", re.I), "check"))
+_ALTER = re.compile(rf"\bALTER\s+TABLE\s+(?:ONLY\s+)?{NAME}\s+(?:WITH\s+(?:NO)?CHECK\s+)?ADD\s+", re.I)
+_AFTER_ALTER = re.compile(r";|\bGO\b|\bALTER\s+TABLE\b|\bCREATE\b", re.I)
+_KINDS = ((re.compile(r"^PRIMARY\s+KEY", re.I), "pk"), (re.compile(r"^(?:FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\b", re.I), "index"), (re.compile(r"^UNIQUE", re.I), "unique"), (re.compile(r"^FOREIGN\s+KEY", re.I), "fk"), (re.compile(r"^CHECK", re.I), "check"))
 _CONSTRAINT = re.compile(rf"^CONSTRAINT\s+({IDENT})\s+", re.I)
 
 
@@ -79,13 +84,19 @@ def _plain(name: str | None, default: str) -> str:
     return name.strip("[]`\"") if name else default
 
 
-def _bodies(text: str, default_schema: str) -> Iterator[tuple]:
+def _statements(text: str, default_schema: str) -> Iterator[tuple]:
+    """(origin, schema, table, line, position, kind, constraint, clause) of each clause."""
+    found = []
     for m in _CREATE.finditer(text):
         end = closing(text, m.end() - 1)
-        if end < 0:
-            continue
-        where = (_plain(m[1], default_schema), _plain(m[2], ""), text.count("\n", 0, m.start()) + 1)
-        for pos, clause in enumerate(clauses(text[m.end() : end])):
+        if end >= 0:
+            found.append(("create", m, text[m.end() : end]))
+    for m in _ALTER.finditer(text):
+        stop = _AFTER_ALTER.search(text, m.end())
+        found.append(("alter", m, text[m.end() : stop.start() if stop else len(text)]))
+    for origin, m, body in found:
+        where = (origin, _plain(m[1], default_schema), _plain(m[2], ""), text.count("\n", 0, m.start()) + 1)
+        for pos, clause in enumerate(clauses(body)):
             named = _CONSTRAINT.match(clause)
             rest = clause[named.end() :] if named else clause
             kind = next((k for p, k in _KINDS if p.match(rest)), "column")
@@ -93,94 +104,160 @@ def _bodies(text: str, default_schema: str) -> Iterator[tuple]:
 
 
 def table_clauses(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
-    """(schema, tbl, line, pos, kind, constraint, clause) of every CREATE TABLE of (source_file, text)."""
+    """(source_file, origin, schema, tbl, line, pos, kind, constraint, clause) of every CREATE TABLE and
+    ALTER TABLE ... ADD of (source_file, text). line is that of the statement, without the lines of block comments."""
+    names_ = ["source_file", "origin", "schema", "tbl", "line", "pos", "kind", "constraint", "clause"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [(f, *r) for f, t in zip(batch.column("source_file").to_pylist(), batch.column("text").to_pylist()) for r in _bodies(t or "", default_schema)]
+            rows = [(f, *r) for f, t in zip(batch.column("source_file").to_pylist(), batch.column("text").to_pylist()) for r in _statements(t or "", default_schema)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["source_file", "schema", "tbl", "line", "pos", "kind", "constraint", "clause"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names_)
 
     clean = texts.select("source_file", without_comments(F.col("text")).alias("text"))
-    return clean.mapInArrow(run, "source_file string, schema string, tbl string, line int, pos int, kind string, constraint string, clause string")
+    return clean.mapInArrow(run, "source_file string, origin string, schema string, tbl string, line int, pos int, kind string, constraint string, clause string")
 
 
-def columns(parts: DataFrame) -> DataFrame:
-    """Name, type, length, flags and default of each column; the ordinal counts columns only."""
-    from pyspark.sql import Window
-
-    c = parts.where("kind = 'column'")
-    raw = F.trim(F.regexp_replace(F.regexp_extract("clause", rf"^{IDENT}\s+[\[\"`]?(\w+(?:\s+unsigned)?)[\]\"`]?", 1), r"\s+", " "))
-    size = F.regexp_extract("clause", rf"^{IDENT}\s+[\[\"`]?\w+[\]\"`]?\s*\(\s*(\w+)", 1)
-    has = lambda p: F.col("clause").rlike("(?i)" + p)
-    name = bare(F.regexp_extract("clause", rf"^({IDENT})", 1))
-    w = Window.partitionBy("source_file", "schema", "tbl").orderBy("pos")
-    out = c.select("source_file", "schema", "tbl", "pos", name.alias("name"), F.lower(raw).alias("raw_type"), F.lower(size).alias("size"), (~has(r"\bNOT\s+NULL\b")).alias("is_nullable"), has(r"\bPRIMARY\s+KEY\b").alias("is_pk"), has(r"\bUNIQUE\b").alias("is_unique"), has(r"\bIDENTITY\b|\bAUTO_INCREMENT\b|\bSERIAL\b").alias("is_identity"), F.trim(F.regexp_extract("clause", r"(?i)\bDEFAULT\s+(\([^)]*\)|'[^']*'|[\w.()]+)", 1)).alias("default_value"))
-    return out.withColumns({"ordinal": F.row_number().over(w) - 1, "norm_type": normalize_sql_type(F.col("raw_type")), "risk": column_risk(F.col("name"))}).drop("pos")
+def constraints(parts: DataFrame) -> DataFrame:
+    """(source_file, tbl, kind, name, cols, check) of PRIMARY KEY, UNIQUE and CHECK clauses of both statements."""
+    listed = names(F.regexp_extract("clause", r"\(([^)]*)\)", 1))
+    check = F.trim(F.regexp_extract("clause", r"(?is)^CHECK\s*\((.*)\)\s*$", 1))
+    return parts.where("kind IN ('pk', 'unique', 'check')").select("source_file", "tbl", "kind", F.col("constraint").alias("name"), F.when(F.col("kind") != "check", F.array_join(listed, ",")).otherwise("").alias("cols"), check.alias("check"))
 
 
 def key_columns(parts: DataFrame) -> DataFrame:
-    """(tbl, kind, pos, col) of PRIMARY KEY and UNIQUE clauses."""
-    return parts.where("kind IN ('pk', 'unique')").select("tbl", "kind", F.posexplode(names(F.regexp_extract("clause", r"\(([^)]*)\)", 1))).alias("p", "col"))
+    """(source_file, tbl, kind, n, p, col) of PRIMARY KEY and UNIQUE clauses; n columns in all."""
+    keys = constraints(parts).where("kind <> 'check'").withColumn("c", F.split("cols", ","))
+    return keys.select("source_file", "tbl", "kind", F.size("c").alias("n"), F.posexplode("c").alias("p", "col"))
+
 
+_TYPE_ENDS = r"(?=\s*(?:\bNOT\s+NULL\b|\bNULL\b|\bDEFAULT\b|\bIDENTITY\b|\bAUTO_INCREMENT\b|\bSERIAL\b|\bCONSTRAINT\b|\bPRIMARY\s+KEY\b|\bUNIQUE\b|\bREFERENCES\b|\bCHECK\b|\bGENERATED\b|\bCOLLATE\b|\bCOMMENT\b|$))"
 
-def foreign_keys(parts: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """Tbl, cols, ref_tbl, ref_cols, on_delete of clauses, inline REFERENCES and ALTER TABLE ... ADD."""
-    c = parts.where("kind = 'fk' OR (kind = 'column' AND clause RLIKE '(?i)\\\\bREFERENCES\\\\b')").select("tbl", "clause")
-    if changes is not None:
-        c = c.union(changes.where("clause RLIKE '(?i)FOREIGN\\\\s+KEY'").select("tbl", "clause"))
+
+def columns(parts: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
+    """Name, type, length, precision, scale, flags and default of each column of CREATE TABLE; the ordinal
+    counts columns only. Keys of table clauses and of ALTER TABLE mark their columns; so do the columns of indexes
+    (tbl, cols) for is_indexed."""
+    c = parts.where("kind = 'column' AND origin = 'create'")
+    raw = F.regexp_replace(F.regexp_extract("clause", rf"(?is)^{IDENT}\s+([\[\"`]?\w[\w ]*?[\]\"`]?(?:\s*\(\s*[\w, ]*\))?){_TYPE_ENDS}", 1), r"[\[\]\"`]", "")
+    raw = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    norm = normalize_sql_type(raw)
+    first, second = (F.regexp_extract(raw, r"\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)", k) for k in (1, 2))
+    number = lambda x: F.nullif(x, F.lit("")).cast("int")
+    has = lambda p: F.col("clause").rlike("(?i)" + p)
+    w = Window.partitionBy("source_file", "schema", "tbl").orderBy("pos")
+    out = c.select(
+        "source_file", "schema", "tbl", F.row_number().over(w).alias("ordinal"), bare(F.regexp_extract("clause", rf"^({IDENT})", 1)).alias("name"), raw.alias("raw_type"), norm.alias("norm_type"),
+        F.when(norm.isin("string", "bytes"), number(first)).alias("max_length"), F.when(norm == "decimal", number(first)).alias("precision"), F.when(norm == "decimal", number(second)).alias("scale"),
+        (~has(r"\bNOT\s+NULL\b")).alias("is_nullable"), has(r"\bPRIMARY\s+KEY\b").alias("own_pk"), has(r"\bUNIQUE\b").alias("own_unique"),
+        has(r"\bIDENTITY\b|\bAUTO_INCREMENT\b|\bSERIAL\b|\bGENERATED\s+(?:ALWAYS|BY\s+DEFAULT)").alias("is_identity"),
+        F.trim(F.regexp_extract("clause", r"(?i)\bDEFAULT\s+(\((?:[^()]|\([^()]*\))*\)|'[^']*'|[\w.]+(?:\(\))?)", 1)).alias("default_value"),
+    ).withColumns({"ordinal": F.col("ordinal") - 1, "risk": column_risk(F.col("name"))})
+    keys = key_columns(parts).groupBy("source_file", F.lower("tbl").alias("t"), F.col("col").alias("name")).agg(F.bool_or(F.col("kind") == "pk").alias("k_pk"), F.bool_or((F.col("kind") == "unique") & (F.col("n") == 1)).alias("k_unique"))
+    out = out.withColumn("t", F.lower("tbl")).join(keys, ["source_file", "t", "name"], "left")
+    yes = lambda *cs: sum((F.coalesce(F.col(x), F.lit(False)).cast("int") for x in cs), F.lit(0)) > 0
+    out = out.withColumns({"is_pk": yes("own_pk", "k_pk"), "is_unique": yes("own_unique", "k_unique")})
+    if indexes is None:
+        indexed = out.withColumn("is_indexed", F.col("is_pk"))
+    else:
+        listed = indexes.select(F.lower("tbl").alias("t"), F.explode(F.split("cols", ",")).alias("name")).distinct().withColumn("i", F.lit(True))
+        indexed = out.join(listed, ["t", "name"], "left").withColumn("is_indexed", yes("is_pk", "i"))
+    return indexed.drop("t", "own_pk", "own_unique", "k_pk", "k_unique", "i")
+
+
+def foreign_keys(parts: DataFrame) -> DataFrame:
+    """Name, tbl, cols, ref_tbl, ref_cols, on_delete and on_update of clauses, inline REFERENCES and ALTER TABLE."""
+    c = parts.where("kind = 'fk' OR (kind = 'column' AND origin = 'create' AND clause RLIKE '(?i)\\\\bREFERENCES\\\\b')")
     inline = bare(F.regexp_extract("clause", rf"^({IDENT})", 1))
     listed = F.array_join(names(F.regexp_extract("clause", r"(?i)FOREIGN\s+KEY\s*\(([^)]*)\)", 1)), ",")
     ref = bare(F.regexp_extract("clause", rf"(?i)REFERENCES\s+{NAME}", 2))
     ref_cols = F.array_join(names(F.regexp_extract("clause", rf"(?i)REFERENCES\s+{NAME}\s*\(([^)]*)\)", 3)), ",")
-    action = F.upper(F.regexp_replace(F.regexp_extract("clause", r"(?i)ON\s+DELETE\s+(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)", 1), r"\s+", " "))
-    return c.select("tbl", F.when(listed == "", inline).otherwise(listed).alias("cols"), ref.alias("ref_tbl"), ref_cols.alias("ref_cols"), F.when(action == "", "NO ACTION").otherwise(action).alias("on_delete"))
+
+    def action(event: str) -> Column:
+        found = F.upper(F.regexp_replace(F.regexp_extract("clause", rf"(?i)ON\s+{event}\s+(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)", 1), r"\s+", " "))
+        return F.when(found == "", "NO ACTION").otherwise(found)
+
+    return c.select("source_file", "tbl", F.when(F.col("kind") == "fk", F.col("constraint")).otherwise("").alias("name"), F.when(listed == "", inline).otherwise(listed).alias("cols"), ref.alias("ref_tbl"), ref_cols.alias("ref_cols"), action("DELETE").alias("on_delete"), action("UPDATE").alias("on_update"))
 
 
 def _all(texts: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
     text, p = without_comments(F.col("text")), F.lit(pattern)
     zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for n, g in groups.items()])
-    return texts.select(F.explode(zipped).alias("x")).select(*[F.col(f"x.{n}").alias(n) for n in groups])
+    return texts.select("source_file", F.explode(zipped).alias("x")).select("source_file", *[F.col(f"x.{n}").alias(n) for n in groups])
 
 
-def changes(texts: DataFrame) -> DataFrame:
-    """(tbl, clause) of ALTER TABLE ... ADD [CONSTRAINT name]."""
-    rows = _all(texts, rf"(?is)\bALTER\s+TABLE\s+(?:ONLY\s+)?{NAME}\s+(?:WITH\s+(?:NO)?CHECK\s+)?ADD\s+(?:CONSTRAINT\s+{IDENT}\s+)?((?:FOREIGN|PRIMARY|UNIQUE)[^;]*?)(?:;|\bGO\b|\z)", {"tbl": 2, "clause": 3})
-    return rows.select(bare(F.col("tbl")).alias("tbl"), F.trim(F.regexp_replace("clause", r"\s+", " ")).alias("clause"))
+def _schema(name: str, default: str) -> Column:
+    return F.when(F.coalesce(F.col(name), F.lit("")) == "", default).otherwise(bare(F.col(name)))
 
 
 def indexes(texts: DataFrame) -> DataFrame:
-    """P09."""
-    rows = _all(texts, rf"(?i)\bCREATE\s+(UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+)?INDEX\s+({IDENT})\s+ON\s+{NAME}\s*\(([^)]*)\)", {"u": 1, "idx": 2, "tbl": 4, "cols": 5})
-    return rows.select(bare(F.col("idx")).alias("idx"), bare(F.col("tbl")).alias("tbl"), F.array_join(names(F.col("cols")), ",").alias("cols"), (F.coalesce("u", F.lit("")) != "").alias("is_unique"))
+    """CREATE INDEX: idx, tbl, cols, is_unique."""
+    rows = _all(texts, rf"(?i)\bCREATE\s+(UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+|FULLTEXT\s+|SPATIAL\s+)?INDEX\s+({IDENT})\s+ON\s+{NAME}\s*\(([^)]*)\)", {"u": 1, "idx": 2, "tbl": 4, "cols": 5})
+    listed = F.transform(names(F.col("cols")), lambda x: bare(F.regexp_replace(x, r"(?i)\s+(?:ASC|DESC)$", "")))
+    return rows.select("source_file", bare(F.col("idx")).alias("idx"), bare(F.col("tbl")).alias("tbl"), F.array_join(listed, ",").alias("cols"), (F.coalesce("u", F.lit("")) != "").alias("is_unique"))
+
 
+def sources(body: Column) -> Column:
+    """The sorted names after FROM and JOIN, #temporary ones left out."""
+    read = F.transform(F.regexp_extract_all(body, F.lit(rf"(?i)\b(?:FROM|JOIN)\s+{NAME}"), F.lit(2)), bare)
+    return F.array_sort(F.array_distinct(F.filter(read, lambda x: ~F.upper(x).isin("SELECT", "WHERE"))))
 
-def views(texts: DataFrame) -> DataFrame:
-    """Views with the sorted tables that they read, #temporary ones left out."""
-    rows = _all(texts, rf"(?is)\bCREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+{NAME}\s+AS\s+(.*?)(?=\bGO\b|\bCREATE\b|;|\z)", {"view": 2, "body": 3})
-    read = F.regexp_extract_all("body", F.lit(rf"(?i)\b(?:FROM|JOIN)\s+{NAME}"), F.lit(2))
-    return rows.select(bare(F.col("view")).alias("view"), F.array_join(F.array_sort(F.array_distinct(F.transform(read, bare))), ",").alias("sources"))
+
+def views(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+    """Schema, view, definition (KEPT_VIEW characters) and the tables that it reads."""
+    rows = _all(texts, rf"(?is)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?VIEW\s+{NAME}\s+(?:\([^)]*\)\s+)?AS\s+(.*?)(?=\bGO\b|\bCREATE\b|\z)", {"s": 1, "view": 2, "body": 3})
+    return rows.select("source_file", _schema("s", default_schema).alias("schema"), bare(F.col("view")).alias("view"), F.substring(F.regexp_replace("body", r"^\s+|\s+$", ""), 1, KEPT_VIEW).alias("definition"), F.array_join(sources(F.col("body")), ",").alias("sources"))
 
 
 def triggers(texts: DataFrame) -> DataFrame:
     """Both orders, ON table AFTER event and AFTER event ON table."""
-    event = r"((?:INSERT|UPDATE|DELETE)(?:\s*(?:,|OR)\s*(?:INSERT|UPDATE|DELETE))*)"
-    a = _all(texts, rf"(?i)\bCREATE\s+TRIGGER\s+{NAME}\s+ON\s+{NAME}\s+(AFTER|BEFORE|INSTEAD\s+OF|FOR)\s+{event}", {"trg": 2, "tbl": 4, "timing": 5, "events": 6})
-    b = _all(texts, rf"(?i)\bCREATE\s+TRIGGER\s+{NAME}\s+(AFTER|BEFORE|INSTEAD\s+OF|FOR)\s+{event}\s+ON\s+{NAME}", {"trg": 2, "tbl": 6, "timing": 3, "events": 4})
+    event = r"((?:INSERT|UPDATE|DELETE)(?:\s*(?:,|\bOR\b)\s*(?:INSERT|UPDATE|DELETE))*)"
+    create, timing = rf"(?i)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?TRIGGER\s+{NAME}\s+", r"(AFTER|BEFORE|INSTEAD\s+OF|FOR)"
+    a = _all(texts, rf"{create}ON\s+{NAME}\s+{timing}\s+{event}", {"trg": 2, "tbl": 4, "timing": 5, "events": 6})
+    b = _all(texts, rf"{create}{timing}\s+{event}\s+ON\s+{NAME}", {"trg": 2, "tbl": 6, "timing": 3, "events": 4})
     ev = F.array_join(F.array_sort(F.split(F.upper(F.regexp_replace("events", r"(?i)\s*(?:,|\bOR\b)\s*", ",")), ",")), ",")
-    return a.unionByName(b).select(bare(F.col("trg")).alias("trg"), bare(F.col("tbl")).alias("tbl"), F.upper("timing").alias("timing"), ev.alias("events"))
+    return a.unionByName(b).select("source_file", bare(F.col("trg")).alias("trg"), bare(F.col("tbl")).alias("tbl"), F.upper(F.regexp_replace("timing", r"\s+", " ")).alias("timing"), ev.alias("events"))
 
 
-def parameters(procs: DataFrame) -> DataFrame:
-    """T-SQL parameters within the first 500 characters of a body."""
-    p = F.lit(r"(?i)(@\w+)\s+(\w+(?:\s*\([^)]*\))?)(?:\s*=\s*[^,\n)]+?)?\s*(OUTPUT|OUT)?\s*(?=[,\n)]|\bAS\b)")
-    head = F.substring("body", 1, 500)
-    zipped = F.arrays_zip(*[F.regexp_extract_all(head, p, F.lit(g)).alias(n) for n, g in (("name", 1), ("t", 2), ("d", 3))])
-    return procs.select("proc", F.posexplode(zipped).alias("pos", "x")).select("proc", "pos", F.col("x.name").alias("name"), F.lower("x.t").alias("raw_type"), F.when(F.coalesce("x.d", F.lit("")) == "", "IN").otherwise("OUT").alias("direction"))
+def procedures(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+    """Schema, name, kind and body of CREATE [OR ALTER | OR REPLACE] PROCEDURE and FUNCTION, up to a line's GO or the
+    next CREATE; KEPT_BODY characters of it."""
+    rows = _all(texts, rf"(?is)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(?:DEFINER\s*=\s*\S+\s+)?(PROC(?:EDURE)?|FUNCTION)\s+{NAME}(.*?)(?=\bGO\b\s*\n|\bGO\b\s*\z|\bCREATE\s|\z)", {"kind": 1, "s": 2, "proc": 3, "body": 4})
+    return rows.select("source_file", _schema("s", default_schema).alias("schema"), bare(F.col("proc")).alias("proc"), F.when(F.upper("kind").startswith("PROC"), "PROCEDURE").otherwise("FUNCTION").alias("proc_type"), F.substring("body", 1, KEPT_BODY).alias("body"))
 
 
-def procedures(texts: DataFrame) -> DataFrame:
-    """Name and body of CREATE PROCEDURE and FUNCTION, up to GO or the next CREATE, 3000 characters kept."""
-    rows = _all(texts, rf"(?is)\bCREATE\s+(PROC(?:EDURE)?|FUNCTION)\s+{NAME}(.*?)(?=\bGO\b|\bCREATE\b|\z)", {"kind": 1, "proc": 3, "body": 4})
-    return rows.select(bare(F.col("proc")).alias("proc"), F.when(F.upper("kind").startswith("PROC"), "PROCEDURE").otherwise("FUNCTION").alias("proc_type"), F.substring("body", 1, 3000).alias("body"))
+def parameters(procs: DataFrame) -> DataFrame:
+    """Parameters within the first PARAMETER_TEXT characters of a body: @name type [= default] [OUTPUT], or without
+    any of these [IN | OUT | INOUT] name type of the first parentheses. pos, name, raw_type, direction, default_value."""
+    head = F.substring("body", 1, PARAMETER_TEXT)
+
+    def zipped(text: Column, pattern: str, **groups: int) -> Column:
+        return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items()])
+
+    marked = zipped(head, r"(?i)(@\w+)\s+(\w+(?:\s*\([^)]*\))?)(?:\s*=\s*('[^']*'|[^,\n)\s]+))?\s*(OUTPUT|OUT|READONLY)?\s*(?=[,\n)]|\bAS\b)", name=1, type=2, default=3, way=4)
+    plain = zipped(F.regexp_extract(head, r"(?s)^\s*\(((?:[^()]|\([^()]*\))*)\)", 1), r"(?i)(?:^|,)\s*(?:(IN|OUT|INOUT)\s+)?(\w+)\s+(\w+(?:\s*\([^)]*\))?)\s*()(?=,|$)", way=1, name=2, type=3, default=4)
+    order = ("name", "type", "default", "way")
+    even = lambda a: F.transform(a, lambda x: F.struct(*[x.getField(n).alias(n) for n in order]))
+    rows = procs.select("proc", F.posexplode(F.when(F.size(marked) > 0, even(marked)).otherwise(even(plain))).alias("pos", "x"))
+    way = F.upper(F.coalesce("x.way", F.lit("")))
+    return rows.select("proc", "pos", F.col("x.name").alias("name"), F.lower("x.type").alias("raw_type"), F.when(way.isin("OUTPUT", "OUT"), "OUT").when(way == "INOUT", "INOUT").otherwise("IN").alias("direction"), F.coalesce("x.default", F.lit("")).alias("default_value"))
+
+
+def summary(texts: DataFrame) -> DataFrame:
+    """(kind, n): how many objects of each kind the scripts define."""
+    parts = table_clauses(texts)
+    each = [
+        parts.where("origin = 'create'").select("source_file", "schema", "tbl").distinct().select(F.lit("table").alias("kind")),
+        parts.where("origin = 'create' AND kind = 'column'").select(F.lit("column")),
+        constraints(parts).select(F.lit("constraint")),
+        foreign_keys(parts).select(F.lit("foreign_key")),
+        indexes(texts).select(F.lit("index")),
+        views(texts).select(F.lit("view")),
+        procedures(texts).select(F.lower("proc_type")),
+        triggers(texts).select(F.lit("trigger")),
+    ]
+    out = each[0]
+    for e in each[1:]:
+        out = out.union(e)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metaloom.operators import code as C
-from metaloom.plans.ddl import _values
 from metaloom.plans.registry import add
+from metaloom.plans.registry import values as _values
 
 FILES = [
     ("Api.cs", 'app.MapGet("/orders", H);\napp.MapPost( "/orders", H2);'),
