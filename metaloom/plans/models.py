@@ -69,4 +69,4 @@ add("T08_W09_layers", lambda s, d: T.layers(files(s)), f"{W}, g AS (SELECT folde
 _d = "CASE " + " ".join(f"WHEN regexp_matches(left(text, 4000), '(?i){p}') THEN '{n}'" for n, p in T.DIALECTS) + " ELSE 'sqlite' END"
 add("T09_S10_dialects", lambda s, d: T.dialects(files(s)), f"{W} SELECT path, {_d} AS dialect FROM f WHERE path LIKE '%.sql' ORDER BY path LIMIT 10")
 add("T07_tech_context", lambda s, d: T.tech_context(files(s)), f"{W}, {_LANG}, {_PACK}, {_FRAME}, k AS (SELECT (SELECT count(DISTINCT language) FROM l) AS languages, (SELECT count(*) FROM fr) AS frameworks) SELECT languages, frameworks, CAST(round(0.4 + 0.1 * least(languages, 4) + 0.1 * least(frameworks, 2), 2) AS DOUBLE) AS confidence FROM k")
-add("T01_document_buckets", lambda s, d: M.ranked_top(s.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.sum("n_chars").alias("chars")), "chars", "source", 10), "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(row_number() OVER (ORDER BY sum(n_chars) DESC, source) AS INTEGER) AS place FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10")
+add("documents_sources", lambda s, d: M.ranked_top(s.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.sum("n_chars").alias("chars")), "chars", "source", 10), "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(row_number() OVER (ORDER BY sum(n_chars) DESC, source) AS INTEGER) AS place FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10")

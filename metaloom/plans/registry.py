@@ -21,3 +21,11 @@ def values(schema: str, rows: list[tuple]) -> str:
     """A relation of literal rows."""
     lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({schema})"
+
+
+def per_part(schema: str, rows: list[tuple]) -> str:
+    """The literal rows once for each row of part, with ~k~ turned into its key."""
+    names = [n.strip() for n in schema.split(",")]
+    text = [any(isinstance(r[i], str) for r in rows) for i in range(len(names))]
+    inner = values(", ".join(f"c{i}" for i in range(len(names))), rows)
+    return "SELECT " + ", ".join(f"replace(c{i}, '~k~', CAST(p_partkey AS VARCHAR)) AS {n}" if t else f"c{i} AS {n}" for i, (n, t) in enumerate(zip(names, text))) + f" FROM part, ({inner}) AS v"
