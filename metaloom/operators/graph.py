@@ -141,11 +141,3 @@ def inheritance(entities: DataFrame, limit: int = 5) -> DataFrame:
         now = now.join(own.select(F.col("entity").alias("up"), "b"), "up").select("entity", F.lit(n).alias("level"), F.array_join("b", ",").alias("bases"), F.element_at("b", 1).alias("up"))
         out = out.union(now)
     return out.select("entity", "level", "bases")
-
-
-def access_impact(access: DataFrame) -> DataFrame:
-    """For each table its readers, writers and deleters (with repeats) and distinct consumers of reads and
-    writes. access: (proc, tbl, kind in read, write, delete); one aggregation over distinct rows and one over all."""
-    counts = access.groupBy("tbl").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("read", "write", "delete")])
-    users = access.where("kind <> 'delete'").select("tbl", "proc").distinct().groupBy("tbl").agg(F.count(F.lit(1)).alias("consumers"))
-    return counts.join(users, "tbl", "left").withColumn("consumers", F.coalesce("consumers", F.lit(0)))

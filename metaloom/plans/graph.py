@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metaloom.operators import ddl as D
 from metaloom.operators import graph as G
+from metaloom.operators import lineage as L
 from metaloom.operators import procedures as P
+from metaloom.plans import ddl
 from metaloom.plans.fixtures import CATALOGS, cte, frame
 from metaloom.plans.registry import add
 
@@ -50,32 +53,45 @@ add("G17_inheritance", lambda s, d: G.inheritance(frame(s, "fx_entities")), f"""
   SELECT entity, CAST(level AS INTEGER) AS level, bases FROM r""")
 
 
-def access(s, d):
-    """Accesses as events tell them: a user touches the table named in props.k."""
-    e = s.read.parquet(f"{d}/events.parquet")
-    kind = F.when(F.col("event_type").isin("view", "click"), "read").when(F.col("event_type").isin("purchase", "signup"), "write").otherwise("delete")
-    return e.select(F.col("user_id").alias("proc"), F.get_json_object("props", "$.k").alias("tbl"), kind.alias("kind"))
+#: What an event says of a procedure (a user) and a table (props.k): its statement in the procedure's body.
+_STATEMENTS = {"view": "SELECT * FROM T~", "click": "SELECT a FROM x.T~ WHERE a = 1", "purchase": "INSERT INTO T~ VALUES (1)", "signup": "UPDATE [T~] SET a = 1", "error": "DELETE FROM T~ WHERE a = 1"}
 
 
-_ACCESS = "a AS (SELECT user_id AS proc, props->>'$.k' AS tbl, CASE WHEN event_type IN ('view', 'click') THEN 'read' WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'delete' END AS kind FROM events)"
-add("A04_A08_impact", lambda s, d: G.access_impact(access(s, d)), f"WITH {_ACCESS} SELECT tbl, count(*) FILTER (kind = 'read') AS n_read, count(*) FILTER (kind = 'write') AS n_write, count(*) FILTER (kind = 'delete') AS n_delete, count(DISTINCT proc) FILTER (kind <> 'delete') AS consumers FROM a GROUP BY tbl")
-add("O02_O03_top_impact", lambda s, d: G.access_impact(access(s, d)).select("tbl", "consumers").orderBy(F.desc("consumers"), "tbl").limit(30), f"WITH {_ACCESS} SELECT tbl, count(DISTINCT proc) FILTER (kind <> 'delete') AS consumers FROM a GROUP BY tbl ORDER BY consumers DESC, tbl LIMIT 30")
-add("G01_lineage_edges", lambda s, d: access(s, d).groupBy("proc", "tbl", "kind").agg(F.count(F.lit(1)).alias("n")), f"WITH {_ACCESS} SELECT proc, tbl, kind, count(*) AS n FROM a GROUP BY proc, tbl, kind")
+def bodies(s, d):
+    """Procedures whose bodies hold a statement for each event of a user."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    known = F.create_map(*[F.lit(x) for kv in _STATEMENTS.items() for x in kv])
+    one = F.replace(F.try_element_at(known, F.col("event_type")), F.lit("~"), F.get_json_object("props", "$.k"))
+    return e.groupBy(F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("proc")).agg(F.array_join(F.sort_array(F.collect_list(one)), ";\n").alias("body"))
 
 
-def duplicate_readers(s, d):
-    """Tables with three reads or more, repeats counted, and their distinct readers."""
-    a = access(s, d).where("kind = 'read'")
-    return a.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("proc").alias("readers")).where("n >= 3")
+def catalog(s, d):
+    """Tables, views and keys of the part scripts, and the facts of the procedures."""
+    parts = ddl.parts(s, d)
+    views = D.views(ddl.texts(s, d)).select("view", F.explode(F.split("sources", ",")).alias("source"))
+    return parts.where("origin = 'create'").select("tbl").distinct(), views, P.tables(bodies(s, d)), D.foreign_keys(parts)
 
 
-add("A05_duplicate_transforms", duplicate_readers, f"WITH {_ACCESS} SELECT tbl, count(*) AS n, count(DISTINCT proc) AS readers FROM a WHERE kind = 'read' GROUP BY tbl HAVING count(*) >= 3")
+_ACCESS = "a AS (SELECT 'P' || user_id AS proc, 'T' || (props->>'$.k') AS tbl, CASE WHEN event_type IN ('view', 'click') THEN 'read' WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'delete' END AS kind FROM events), f AS (SELECT proc, tbl, bool_or(kind = 'read') AS r, bool_or(kind = 'write') AS w, bool_or(kind = 'delete') AS x FROM a GROUP BY proc, tbl)"
+_EDGES = f"""WITH {_ACCESS}, p AS (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part), e AS (
+  SELECT tbl AS src, 'PROC:' || proc AS dst, 'proc_reads' AS edge, proc AS via FROM f WHERE r AND NOT w AND NOT x UNION ALL SELECT 'PROC:' || proc, tbl, 'proc_writes', proc FROM f WHERE w UNION ALL SELECT 'PROC:' || proc, tbl, 'proc_deletes', proc FROM f WHERE x
+  UNION ALL SELECT 'T' || k, 'VIEW:V' || k, 'view_reads', 'V' || k FROM p UNION ALL SELECT 'U' || k, 'VIEW:V' || k, 'view_reads', 'V' || k FROM p UNION ALL SELECT 'T' || k, 'U' || k, 'fk_reference', 'other_id' FROM p UNION ALL SELECT 'U' || k, 'T' || k, 'fk_reference', 'No,Id' FROM p),
+  t AS (SELECT 'T' || k AS tbl FROM p UNION ALL SELECT 'U' || k FROM p),
+  i AS (SELECT src AS tbl, 'read_by' AS role, dst AS other FROM e WHERE edge IN ('view_reads', 'proc_reads') UNION ALL SELECT dst, 'written_by', src FROM e WHERE edge = 'proc_writes' UNION ALL SELECT dst, 'deleted_by', src FROM e WHERE edge = 'proc_deletes'
+    UNION ALL SELECT src, 'fk_parents', dst FROM e WHERE edge = 'fk_reference' UNION ALL SELECT dst, 'fk_children', src FROM e WHERE edge = 'fk_reference'), m AS (SELECT tbl, role, other, count(*) AS times FROM i SEMI JOIN t USING (tbl) GROUP BY ALL)"""
 
 
-def read_only(s, d):
-    """Tables that a procedure reads but neither writes nor deletes, counted."""
-    sets = access(s, d).groupBy("proc", "tbl").agg(F.bool_and(F.col("kind") == "read").alias("only"))
-    return sets.groupBy("proc").agg(F.count_if("only").alias("n_read_only"), F.count(F.lit(1)).alias("n_all"))
+def lineage(s, d):
+    tables, views, facts, fks = catalog(s, d)
+    return tables, L.edges(tables, views, facts, fks)
 
 
-add("U01_read_only_tables", read_only, f"WITH {_ACCESS}, t AS (SELECT proc, tbl, bool_and(kind = 'read') AS o FROM a GROUP BY proc, tbl) SELECT proc, count(*) FILTER (o) AS n_read_only, count(*) AS n_all FROM t GROUP BY proc")
+_COUNTS = "SELECT t.tbl, count(*) FILTER (role = 'read_by') AS n_read_by, count(*) FILTER (role = 'written_by') AS n_written_by, count(*) FILTER (role = 'deleted_by') AS n_deleted_by, count(*) FILTER (role = 'fk_parents') AS n_fk_parents, count(*) FILTER (role = 'fk_children') AS n_fk_children, count(DISTINCT other) FILTER (role IN ('read_by', 'written_by')) AS total_consumers FROM t LEFT JOIN m USING (tbl) GROUP BY t.tbl"
+add("G01_lineage_edges", lambda s, d: lineage(s, d)[1], f"{_EDGES} SELECT src, dst, edge, via FROM e")
+add("A04_table_impact", lambda s, d: L.impact(*lineage(s, d)), f"{_EDGES} SELECT * FROM m")
+add("A04_A08_impact", lambda s, d: L.impact_counts(*lineage(s, d)), f"{_EDGES} {_COUNTS}")
+add("O02_O03_top_impact", lambda s, d: L.impact_counts(*lineage(s, d)).select("tbl", "total_consumers").orderBy(F.desc("total_consumers"), "tbl").limit(30), f"{_EDGES} SELECT tbl, total_consumers FROM ({_COUNTS}) ORDER BY total_consumers DESC, tbl LIMIT 30")
+add("A05_duplicate_transforms", lambda s, d: L.duplicate_readers(lineage(s, d)[1]), f"{_EDGES}, q AS (SELECT src AS tbl, dst AS reader FROM e WHERE edge IN ('view_reads', 'proc_reads') UNION SELECT dst, src FROM e WHERE edge IN ('proc_writes', 'proc_deletes')) SELECT tbl, reader, count(*) OVER (PARTITION BY tbl) AS n_readers FROM q QUALIFY count(*) OVER (PARTITION BY tbl) >= 3")
+add("A03_lineage_totals", lambda s, d: (lambda c: L.totals(c[0], c[1], c[2], L.edges(*c)))(catalog(s, d)), f"{_EDGES} SELECT edge AS what, count(*) AS n FROM e GROUP BY edge UNION ALL SELECT 'tables', count(*) FROM t UNION ALL SELECT 'views', count(*) FROM p UNION ALL SELECT 'procedures', count(DISTINCT proc) FROM f")
+add("P14_U01_event_tables", lambda s, d: P.tables(bodies(s, d)).select("proc", "reads", "writes", "deletes", "tables", "crud"), f"WITH {_ACCESS} SELECT proc, coalesce(string_agg(tbl, ',' ORDER BY tbl) FILTER (r AND NOT w AND NOT x), '') AS reads, coalesce(string_agg(tbl, ',' ORDER BY tbl) FILTER (w), '') AS writes, coalesce(string_agg(tbl, ',' ORDER BY tbl) FILTER (x), '') AS deletes, string_agg(tbl, ',' ORDER BY tbl) AS tables, (SELECT string_agg(DISTINCT c, ',' ORDER BY c) FROM (SELECT unnest(CASE event_type WHEN 'purchase' THEN ['INSERT'] WHEN 'signup' THEN ['UPDATE'] WHEN 'error' THEN ['DELETE', 'SELECT'] ELSE ['SELECT'] END) AS c FROM events WHERE 'P' || user_id = f.proc)) AS crud FROM f GROUP BY proc")
+add("U01_read_only_tables", lambda s, d: P.tables(bodies(s, d)).select("proc", F.size(F.filter(F.split("reads", ","), lambda x: x != "")).cast("long").alias("n_read_only"), F.size(F.split("tables", ",")).cast("long").alias("n_all")), f"WITH {_ACCESS} SELECT proc, count(*) FILTER (r AND NOT w AND NOT x) AS n_read_only, count(*) AS n_all FROM f GROUP BY proc")

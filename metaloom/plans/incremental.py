@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from metaloom.operators import governance as G
 from metaloom.operators.report import markdown_table
-from metaloom.plans import graph
 from metaloom.plans.fixtures import cte, frame
 from metaloom.plans.registry import add
 from metaloom.streaming import incremental as I
@@ -19,5 +18,4 @@ def pages(s, d):
 add("S12_cache_keys", lambda s, d: I.keyed(pages(s, d)).groupBy("lang").agg(F.countDistinct("key").alias("n_keys")), "SELECT lang, count(DISTINCT substring(sha256(text), 1, 24)) AS n_keys FROM documents GROUP BY lang")
 add("S12_hit_rate", lambda s, d: I.hit_rate(pages(s, d), I.keyed(pages(s, d)).where("lang = 'en'")), "WITH k AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'en'), c AS (SELECT count(*) AS n_files, count(*) FILTER (sha256(text) IN (SELECT h FROM k)) AS n_hits FROM documents) SELECT n_files, n_hits, CAST(round(n_hits / n_files, 3) AS DOUBLE) AS hit_rate FROM c")
 add("S12_fresh", lambda s, d: I.fresh(pages(s, d), I.keyed(pages(s, d)).where("lang = 'en'")).agg(F.count(F.lit(1)).alias("n")), "SELECT count(DISTINCT text) AS n FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
-add("A03_lineage_totals", lambda s, d: graph.access(s, d).agg(F.countDistinct("proc", "tbl", "kind").alias("n_edges"), F.countDistinct("proc").alias("n_procs"), F.countDistinct("tbl").alias("n_tables")), f"WITH {graph._ACCESS} SELECT count(DISTINCT (proc, tbl, kind)) AS n_edges, count(DISTINCT proc) AS n_procs, count(DISTINCT tbl) AS n_tables FROM a")
 add("K05_report", lambda s, d: markdown_table(G.table_profile(frame(s, "fx_columns")).select("tbl", "n", "has_pk"), ["tbl", "n", "has_pk"], ["tbl"]), f"{cte('fx_columns')}, t AS (SELECT tbl, count(*) AS n, bool_or(is_pk) AS p FROM fx_columns GROUP BY tbl) SELECT '| tbl | n | has_pk |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || tbl || ' | ' || n || ' | ' || CASE WHEN p THEN 'true' ELSE 'false' END || ' |', chr(10) ORDER BY tbl) AS markdown FROM t")
