@@ -54,9 +54,16 @@ def missing_trails(entities: DataFrame, fields: DataFrame) -> DataFrame:
     return e.select("entity", F.explode(hits).alias("rule"))
 
 
-def finding_type(rule: Column, severity: Column, confidence: Column) -> Column:
-    """What a check's finding is worth."""
-    return F.when((severity == "CRITICAL") | (confidence == "HIGH"), "CONFIRMED").when(rule.startswith("missing"), "RECOMMENDED").otherwise("INFERRED")
+def finding_type(check: Column, severity: Column, confidence: Column, source_file: Column, line_number: Column) -> Column:
+    """What a check's finding is worth, by the first rule that holds."""
+    anchored = (F.coalesce(source_file, F.lit("")) != "") & (F.coalesce(line_number, F.lit(0)) != 0)
+    return (
+        F.when((severity == "NOTE") & F.lower(check).contains("recommendation"), "RECOMMENDED")
+        .when(check.isin("lineage_gap", "schema_conflict", "missing_nav_property"), "INFERRED")
+        .when((confidence == "HIGH") & check.isin("orphaned_fk", "unresolved_relationship_target", "circular_dependency", "pii_without_encryption"), "CONFIRMED")
+        .when(anchored, "CONFIRMED")
+        .otherwise("INFERRED")
+    )
 
 
 def flow_id(method: Column, route: Column) -> Column:

@@ -5,21 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.operators.graph import cycles
+
 EXTERNAL = ("Card", "AspNetUser", "IdentityUser")
 
 
+def orphaned_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
+    """Key fields XId whose X is neither an entity nor external."""
+    fk = fields.where("NOT is_nav").select("entity", "field", F.regexp_extract("field", "^(.+)Id$", 1).alias("target")).where("target <> ''")
+    known = entities.select(F.col("entity").alias("target")).distinct()
+    return fk.where(~F.col("target").isin(*EXTERNAL)).join(known, "target", "left_anti").select("entity", "field", "target")
+
+
 def unresolved_targets(rels: DataFrame, entities: DataFrame) -> DataFrame:
-    """V01, V03."""
+    """Relations to a target that is neither an entity nor external."""
     known = entities.select(F.col("entity").alias("target")).distinct()
     return rels.where(~F.col("target").isin(*EXTERNAL)).join(known, "target", "left_anti").select("source", "target", "via")
 
 
 def missing_navigation(fields: DataFrame, entities: DataFrame) -> DataFrame:
-    """A field XId to entity X of an entity without a navigation to X."""
+    """A key field XId to entity X in an entity without a single navigation to X."""
     fk = fields.where("NOT is_nav").select("entity", "field", F.regexp_extract("field", "^(.+)Id$", 1).alias("target")).where("target <> ''")
     known = fk.join(entities.select(F.col("entity").alias("target")).distinct(), "target", "left_semi")
-    navs = fields.where("is_nav").select("entity", F.regexp_extract("type", r"(\w+)>?$", 1).alias("target")).distinct()
-    return known.join(navs, ["entity", "target"], "left_anti").where("entity <> target").select("entity", "field", "target")
+    navs = fields.where("is_nav AND type NOT LIKE '%<%'").select("entity", F.regexp_extract("type", r"(\w+)\??$", 1).alias("target")).distinct()
+    return known.join(navs, ["entity", "target"], "left_anti").select("entity", "field", "target")
+
+
+def circular_dependencies(rels: DataFrame) -> DataFrame:
+    """Cycles of many_to_one, one_to_many and references relations, each once, as findings."""
+    edges = rels.where("kind IN ('many_to_one', 'one_to_many', 'references') AND source <> target").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return cycles(edges).select(F.lit("circular_dependency").alias("check"), F.lit("WARNING").alias("severity"), "cycle", "length")
 
 
 def lineage_gaps(entities: DataFrame, steps: DataFrame) -> DataFrame:
@@ -29,16 +44,16 @@ def lineage_gaps(entities: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def name_conflicts(entities: DataFrame) -> DataFrame:
-    """A name in several domains, null counted as root."""
-    d = F.coalesce("domain", F.lit("root"))
-    return entities.groupBy(F.lower(F.regexp_replace("entity", r"\d+$", "")).alias("name")).agg(F.countDistinct(d).alias("n")).where("n > 1")
+    """An entity's name in several aggregates, null counted as root."""
+    a = F.coalesce("aggregate", F.lit("root"))
+    return entities.groupBy("entity").agg(F.countDistinct(a).alias("n")).where("n > 1")
 
 
-def unencrypted(fields: DataFrame) -> DataFrame:
-    """Sensitive fields without a protected counterpart (here: no setter at all)."""
-    sensitive = fields.where("pii IN ('high', 'medium')").select("entity", "field")
-    safe = fields.where("setter = 'none'").select("entity", "field")
-    return sensitive.exceptAll(safe).distinct()
+def unencrypted(findings: DataFrame) -> DataFrame:
+    """(entity, field) with a finding of personal, card or credential data and none of encryption or sensitive data."""
+    rule = F.col("rule")
+    g = findings.groupBy("entity", "field").agg(F.bool_or(rule.isin("pii", "pci_dss", "credential")).alias("personal"), F.bool_or(rule.isin("encryption", "sensitive_data")).alias("safe"))
+    return g.where("personal AND NOT safe").select("entity", "field")
 
 
 def aggregate_roots(entities: DataFrame, fields: DataFrame, handlers: DataFrame) -> DataFrame:

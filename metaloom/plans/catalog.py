@@ -9,7 +9,7 @@ from metaloom.functions import rules as R
 from metaloom.operators import catalog as C
 from metaloom.plans import governance as GV
 from metaloom.plans.fixtures import cte, frame
-from metaloom.plans.registry import add
+from metaloom.plans.registry import add, values
 
 ents, fields, rels, cols, fks, views, idx, eps, repos = ((lambda n: (lambda s: frame(s, n)))(n) for n in ("fx_entities", "fx_fields", "fx_rels", "fx_columns", "fx_fks", "fx_views", "fx_indexes", "fx_endpoints", "fx_repos"))
 add("W01_W07_first_wins", lambda s, d: C.first_wins(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type"), ["user_id", "event_type"], "event_id"), "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -22,7 +22,8 @@ add("G03_property_graph", lambda s, d: C.property_graph(cols(s), fks(s), views(s
   SELECT *, dst NOT IN (SELECT {_T('tbl')} FROM fx_columns UNION SELECT 'COLUMN:' || tbl || '.' || name FROM fx_columns) AS dangling FROM e""")
 add("V08_severity_rollup", lambda s, d: C.severity_rollup(GV.every(s)), f"{cte(*GV.TABLES)}, f AS ({GV.ALL}) SELECT rule, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'NOTE') AS note FROM f GROUP BY rule")
 add("F35_missing_trails", lambda s, d: C.missing_trails(ents(s), fields(s)), f"{cte('fx_entities', 'fx_fields')} SELECT entity, 'missing_audit_trail' AS rule FROM fx_entities WHERE entity NOT IN (SELECT entity FROM fx_fields WHERE regexp_matches(field, '(?i){R.MODEL_AUDIT}')) UNION ALL SELECT entity, 'missing_soft_delete' FROM fx_entities WHERE kind = 'aggregate_root' AND entity NOT IN (SELECT entity FROM fx_fields WHERE regexp_matches(field, '(?i){R.SOFT_FLAG}'))")
-add("X16_finding_type", lambda s, d: GV.every(s).select("rule", "severity", C.finding_type(F.col("rule"), F.col("severity"), F.lit("MEDIUM")).alias("finding_type")).distinct(), f"{cte(*GV.TABLES)}, f AS ({GV.ALL}) SELECT DISTINCT rule, severity, CASE WHEN severity = 'CRITICAL' THEN 'CONFIRMED' WHEN starts_with(rule, 'missing') THEN 'RECOMMENDED' ELSE 'INFERRED' END AS finding_type FROM f")
+_CHECKS = [("naming_recommendation", "NOTE", "LOW", "a.cs", 3, "RECOMMENDED"), ("naming_recommendation", "WARNING", "LOW", "a.cs", 3, "CONFIRMED"), ("lineage_gap", "NOTE", "HIGH", "a.cs", 3, "INFERRED"), ("schema_conflict", "CRITICAL", "HIGH", "a.cs", 9, "INFERRED"), ("missing_nav_property", "NOTE", "MEDIUM", "a.cs", 4, "INFERRED"), ("orphaned_fk", "WARNING", "HIGH", "", None, "CONFIRMED"), ("orphaned_fk", "WARNING", "MEDIUM", "", None, "INFERRED"), ("circular_dependency", "WARNING", "MEDIUM", None, None, "INFERRED"), ("pii_without_encryption", "WARNING", "HIGH", "", None, "CONFIRMED"), ("governance_gap", "WARNING", "LOW", "x.cs", 0, "INFERRED"), ("other", "WARNING", "LOW", "x.cs", 7, "CONFIRMED")]
+add("X16_finding_type", lambda s, d: s.createDataFrame([(i, *c[:5]) for i, c in enumerate(_CHECKS)], "no int, check string, severity string, confidence string, source_file string, line_number int").select("no", C.finding_type(*map(F.col, ("check", "severity", "confidence", "source_file", "line_number"))).alias("finding_type")), values("no, finding_type", [(i, c[5]) for i, c in enumerate(_CHECKS)]))
 add("X22_flow_id", lambda s, d: eps(s).select(C.flow_id(F.col("method"), F.col("path")).alias("flow_id")), f"{cte('fx_endpoints')} SELECT method || '_' || replace(replace(replace(path, '/', '_'), '{{', ''), '}}', '') AS flow_id FROM fx_endpoints")
 add("X08_X09_aggregate_of_path", lambda s, d: ents(s).select("entity", C.aggregate_of_path(F.col("file")).alias("aggregate_path")), f"{cte('fx_entities')} SELECT entity, CASE WHEN regexp_matches(file, '(^|/)src/[^/]+/') THEN regexp_extract(file, '(?:^|/)src/([^/]+)/', 1) ELSE list_extract(regexp_split_to_array(file, '[./]'), -1) END AS aggregate_path FROM fx_entities")
 add("X21_entity_of_repo", lambda s, d: repos(s).select("repo", C.entity_of_repo(F.col("repo")).alias("inferred")), f"{cte('fx_repos')} SELECT repo, regexp_replace(repo, 'Repo(sitory)?$', '') AS inferred FROM fx_repos")

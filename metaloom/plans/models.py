@@ -11,11 +11,16 @@ from metaloom.plans.registry import add
 
 ents, fields, rels, eps, repos, hands, steps, files = ((lambda n: (lambda s: frame(s, n)))(n) for n in ("fx_entities", "fx_fields", "fx_rels", "fx_endpoints", "fx_repos", "fx_handlers", "fx_steps", "fx_files"))
 CATALOGS["fx_kinds"] = ("kind string", [("fk",), ("read",), ("write",), ("delete",)])
-add("V01_V03_unresolved", lambda s, d: M.unresolved_targets(rels(s), ents(s)), f"{cte('fx_rels', 'fx_entities')} SELECT source, target, via FROM fx_rels WHERE target NOT IN ('Card', 'AspNetUser', 'IdentityUser') AND target NOT IN (SELECT entity FROM fx_entities)")
-add("V02_missing_navigation", lambda s, d: M.missing_navigation(fields(s), ents(s)), f"{cte('fx_fields', 'fx_entities')}, k AS (SELECT entity, field, regexp_extract(field, '^(.+)Id$', 1) AS target FROM fx_fields WHERE NOT is_nav AND regexp_matches(field, '^(.+)Id$')) SELECT * FROM k WHERE target IN (SELECT entity FROM fx_entities) AND entity <> target AND NOT EXISTS (SELECT 1 FROM fx_fields n WHERE n.is_nav AND n.entity = k.entity AND regexp_extract(n.type, '(\\w+)>?$', 1) = k.target)")
+add("V01_orphaned_keys", lambda s, d: M.orphaned_keys(fields(s), ents(s)), f"{cte('fx_fields', 'fx_entities')} SELECT entity, field, regexp_extract(field, '^(.+)Id$', 1) AS target FROM fx_fields WHERE NOT is_nav AND regexp_matches(field, '^.+Id$') AND regexp_extract(field, '^(.+)Id$', 1) NOT IN ('Card', 'AspNetUser', 'IdentityUser') AND regexp_extract(field, '^(.+)Id$', 1) NOT IN (SELECT entity FROM fx_entities)")
+add("V03_unresolved", lambda s, d: M.unresolved_targets(rels(s), ents(s)), f"{cte('fx_rels', 'fx_entities')} SELECT source, target, via FROM fx_rels WHERE target NOT IN ('Card', 'AspNetUser', 'IdentityUser') AND target NOT IN (SELECT entity FROM fx_entities)")
+add("V05_circular_dependencies", lambda s, d: M.circular_dependencies(rels(s)), f"""{cte('fx_rels')}, e AS (SELECT DISTINCT source AS src, target AS dst FROM fx_rels WHERE kind IN ('many_to_one', 'one_to_many', 'references') AND source <> target), p(path, last) AS (SELECT [src], dst FROM e WHERE src <= dst UNION ALL SELECT list_append(path, last), e.dst FROM p JOIN e ON e.src = p.last WHERE last > path[1] AND NOT list_contains(path, last))
+  SELECT 'circular_dependency' AS "check", 'WARNING' AS severity, array_to_string(path, '→') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE last = path[1]""")
+add("V02_missing_navigation", lambda s, d: M.missing_navigation(fields(s), ents(s)), f"{cte('fx_fields', 'fx_entities')}, k AS (SELECT entity, field, regexp_extract(field, '^(.+)Id$', 1) AS target FROM fx_fields WHERE NOT is_nav AND regexp_matches(field, '^(.+)Id$')) SELECT * FROM k WHERE target IN (SELECT entity FROM fx_entities) AND NOT EXISTS (SELECT 1 FROM fx_fields n WHERE n.is_nav AND n.entity = k.entity AND n.type = k.target)")
 add("V04_U04_lineage_gaps", lambda s, d: M.lineage_gaps(ents(s), steps(s)), f"{cte('fx_entities', 'fx_steps')} SELECT entity FROM fx_entities EXCEPT SELECT component FROM fx_steps WHERE layer = 'entity'")
-add("V06_name_conflicts", lambda s, d: M.name_conflicts(ents(s)), f"{cte('fx_entities')} SELECT lower(regexp_replace(entity, '\\d+$', '')) AS name, count(DISTINCT coalesce(domain, 'root')) AS n FROM fx_entities GROUP BY 1 HAVING count(DISTINCT coalesce(domain, 'root')) > 1")
-add("V07_unencrypted", lambda s, d: M.unencrypted(fields(s)), f"{cte('fx_fields')} SELECT entity, field FROM fx_fields WHERE pii IN ('high', 'medium') EXCEPT SELECT entity, field FROM fx_fields WHERE setter = 'none'")
+CATALOGS["fx_twice"] = ("entity string, aggregate string", [("Order", "Order"), ("Order", "Archive"), ("Money", None), ("Money", "root"), ("Line", "Order"), ("Line", "Order"), ("Tag", None), ("Tag", "Crm")])
+add("V06_name_conflicts", lambda s, d: M.name_conflicts(frame(s, "fx_twice")), f"{cte('fx_twice')} SELECT entity, count(DISTINCT coalesce(aggregate, 'root')) AS n FROM fx_twice GROUP BY entity HAVING count(DISTINCT coalesce(aggregate, 'root')) > 1")
+CATALOGS["fx_found"] = ("entity string, field string, rule string", [("Customer", "Email", "pii"), ("Customer", "Password", "credential"), ("Customer", "Password", "encryption"), ("Card", "Number", "pci_dss"), ("Card", "Number", "sensitive_data"), ("Card", "Cvv", "pci_dss"), ("Card", "Cvv", "not_null"), ("Order", "Id", "primary_key")])
+add("V07_unencrypted", lambda s, d: M.unencrypted(frame(s, "fx_found")), f"{cte('fx_found')} SELECT entity, field FROM fx_found WHERE rule IN ('pii', 'pci_dss', 'credential') EXCEPT SELECT entity, field FROM fx_found WHERE rule IN ('encryption', 'sensitive_data')")
 D01 = "SELECT e.entity, coalesce((SELECT string_agg(field, ',' ORDER BY field) FROM fx_fields f WHERE f.entity = e.entity AND is_nav AND getter = 'public' AND setter IN ('public', 'none') AND type LIKE 'List%'), '') AS exposed, coalesce((SELECT sum(guards) FROM fx_handlers h WHERE list_contains(string_split(h.entities, ','), e.entity)), 0) > 0 AS guarded FROM fx_entities e WHERE kind = 'aggregate_root'"
 D02 = "SELECT e.entity, coalesce(bool_or(lower(field) = 'id'), FALSE) AS has_id, coalesce(bool_or(setter IN ('public', 'internal')), FALSE) AS has_setter, CAST(coalesce(bool_or(lower(field) = 'id'), FALSE) AS INTEGER) + CAST(coalesce(bool_or(setter IN ('public', 'internal')), FALSE) AS INTEGER) AS n_issues FROM fx_entities e LEFT JOIN fx_fields f ON f.entity = e.entity WHERE kind = 'value_object' GROUP BY e.entity"
 D03 = "SELECT entity, array_to_string(list(field ORDER BY pos)[1:5], ',') AS fields FROM fx_fields WHERE NOT is_nav AND setter IN ('private', 'none') AND entity IN (SELECT entity FROM fx_entities) GROUP BY entity"

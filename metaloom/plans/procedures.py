@@ -29,6 +29,6 @@ add("P21_risks", lambda s, d: P.risks(procs(s)), rf"""{W}
 add("P22_etl", lambda s, d: P.etl(procs(s)), rf"{W}, x AS (SELECT proc, unnest(regexp_extract_all(body, '(?is)(\bINSERT\s+INTO\s+\w+[^;]*?\bSELECT\b[^;]*?\bFROM\s+\w+)', 1)) AS m FROM fx_procs) SELECT proc, regexp_extract(m, '(?is)\bFROM\s+(\w+)$', 1) AS source, regexp_extract(m, '(?is)\bINTO\s+(\w+)', 1) AS target FROM x")
 add("P18_P23_joins", lambda s, d: P.joins(procs(s)), rf"""{W}, x AS (SELECT proc, unnest(regexp_extract_all(body, '(?is)(\b(?:(?:LEFT|RIGHT|FULL|INNER|CROSS)\s+(?:OUTER\s+)?)?JOIN\s+\w+\s+(?:AS\s+)?\w*\s*ON\s+\w+\.\w+\s*=\s*\w+\.\w+)', 1)) AS m FROM fx_procs)
   SELECT proc, upper(regexp_extract(m, '(?i)^(.*?JOIN)', 1)) AS join_type, regexp_extract(m, '(?i)JOIN\s+(\w+)', 1) AS tbl, regexp_extract(m, '(?i)\bON\s+(.*)$', 1) AS condition FROM x""")
-add("P17_result_columns", lambda s, d: P.result_columns(procs(s)).where("proc IN ('GetOrders', 'Walk')"), rf"""{W}, x AS (SELECT proc, string_split(regexp_extract(body, '(?is)\bSELECT\s+(.+?)\s+FROM\b', 1), ',') AS c FROM fx_procs WHERE proc IN ('GetOrders', 'Walk')), y AS (SELECT proc, unnest(c) AS raw, unnest(range(len(c))) AS pos FROM x)
-  SELECT proc, CAST(pos AS INTEGER) AS pos, CASE WHEN regexp_matches(raw, '(?i)\bAS\s+\w+\s*$') THEN regexp_extract(raw, '(?i)\bAS\s+(\w+)\s*$', 1) ELSE regexp_extract(raw, '(\w+|\*)\s*$', 1) END AS col FROM y WHERE pos < 20""")
+add("P17_result_columns", lambda s, d: P.result_columns(procs(s)), rf"""{W}, x AS (SELECT proc, string_split(regexp_extract(split_part(upper(body), 'INSERT', 1), '(?is)\bSELECT\s+(.+?)\s+FROM\b', 1), ',') AS u, string_split(regexp_extract(left(body, length(split_part(upper(body), 'INSERT', 1))), '(?is)\bSELECT\s+(.+?)\s+FROM\b', 1), ',') AS c FROM fx_procs), y AS (SELECT proc, unnest(c) AS raw, unnest(range(len(c))) AS pos FROM x)
+  SELECT proc, CAST(pos AS INTEGER) AS pos, CASE WHEN regexp_matches(raw, '(?i)\bAS\s+\w+\s*$') THEN regexp_extract(raw, '(?i)\bAS\s+(\w+)\s*$', 1) ELSE regexp_extract(raw, '(\w+|\*)\s*$', 1) END AS col FROM y WHERE pos < 20 AND trim(raw) <> ''""")
 add("A09_X11_rollup", lambda s, d: P.rollup(procs(s)), f"{W}, {_T}, f AS ({_FACTS}) SELECT count(*) AS n, count(*) FILTER (regexp_matches(crud, 'INSERT|UPDATE|DELETE')) AS commands, count(*) FILTER (NOT regexp_matches(crud, 'INSERT|UPDATE|DELETE')) AS queries, count(*) FILTER (dynamic_risk <> 'NONE') AS dynamic, count(*) FILTER (dynamic_risk = 'HIGH') AS high, count(*) FILTER (has_transaction) AS transactional FROM f")
