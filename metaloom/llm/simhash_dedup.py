@@ -3,11 +3,11 @@
 A fingerprint of b bits is cut into segments so few that two fingerprints within the radius have a segment that differs
 in one bit at most (radius // segments <= 1). Each segment is indexed once for each of its bits, with that bit wiped.
 Two fingerprints within the radius share such a variant, so an equality join finds every pair, and the exact Hamming
-distance in the join's condition keeps the true ones.
+distance in the join's condition keeps the true ones. A pair shares many variants; only one of them may report it.
 
-Of m fingerprints that are all near one another only m - 1 links are rows: each variant's members meet its smallest
-member first, and what these stars join is one component. Then only members of different components meet, those outside
-the variant's largest component with all others, so no link between components is missed.
+Of m fingerprints that are all near one another about m links are rows: the fingerprints that share a whole segment first
+meet the smallest of them, and what these stars join is one component. The join on variants then reports only links
+between different components, so none that joins anything is missed.
 
 Null, empty and blank texts have no words and get fingerprint 0, linked like any other. Repeated rows fall in the same
 class, and ties do not matter: a component's name is its smallest doc_id. Texts of any length are read whole, in blocks of
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.shared import SLICE, components, cut, drop_table, majority_bits, shingle_hashes, signed, words_of
+from metaloom.llm.shared import SLICE, components, cut, majority_bits, shingle_hashes, signed, words_of
 
 WIDTH, RADIUS = 4, 4
 #: (column, first bit, bits) of the segments: three, so that of four differing bits one segment has one at most.
@@ -51,59 +51,49 @@ def variants(prints: DataFrame, segments: tuple[tuple[str, int, int], ...] = SEG
             mask = signed((((1 << bits) - 1) << first) & ~(1 << (first + bit)))
             each.append(f"{no << 32}L | shiftrightunsigned({column} & {mask}L, {first})")
             no += 1
-    # a small table is one input partition, and each of its rows becomes a hundred here
-    spread = prints.repartition(F.col("rep"))
-    return spread.withColumn("key", F.explode(F.expr(f"array({', '.join(each)})")))
-
-
-def distance(a: str, b: str, columns: tuple[str, ...]) -> Column:
-    """Differing bits of two rows whose fingerprint columns have the prefixes a and b."""
-    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in columns), F.lit(0))
-
-
-def crowded(prints: DataFrame, segments: tuple[tuple[str, int, int], ...] = SEGMENTS) -> DataFrame:
-    """The variants with more than one member, as rows key, rep, fingerprint columns, and the smallest member's as h_*."""
-    rows = variants(prints, segments)
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = cut(rows.join(several, "key"), "several")  # most variants have one member and end here
-    others = [c for c in prints.columns if c != "rep"]
-    heads = live.groupBy("key").agg(F.min(F.struct("rep", *others)).alias("head"))
-    return live.join(heads.select("key", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("rep", *others))), "key")
-
-
-def stars(rows: DataFrame, radius: int, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """(u, v): links of a variant's smallest member with its others within the radius. rows: as crowded() gives them."""
-    near = (F.col("h_rep") < F.col("rep")) & (distance("h_", "", columns) <= radius)
-    return rows.where(near).select(F.col("h_rep").alias("u"), F.col("rep").alias("v")).distinct()
-
-
-def members_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, rep, c, ...) of keys with several components: (those outside their key's largest component, all).
-    Joined on key, they give each pair of members of different components, and none within the largest. The first has
-    the column twin: true where the pair also comes the other way round unless the smaller rep alone reports it."""
-    per = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-    live = cut(rows.join(keys.select("key", F.col("top.c").alias("main")), "key"), "live")
-    return live.where("c <> main"), live
-
-
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): pairs of representatives of fingerprints that differ in radius bits at most, enough of them to join all
-    that such pairs join. classes has one row per fingerprint: fp, rep. Raises where the segments cannot guarantee the
-    radius."""
+    return prints.withColumn("key", F.explode(F.expr(f"array({', '.join(each)})")))
+
+
+def segment_keys(prints: DataFrame, segments: tuple[tuple[str, int, int], ...] = SEGMENTS) -> DataFrame:
+    """prints with a row per segment; key holds its number and its bits."""
+    each = [f"{no << 32}L | shiftrightunsigned({column} & {signed(((1 << bits) - 1) << first)}L, {first})" for no, (column, first, bits) in enumerate(segments)]
+    return prints.withColumn("key", F.explode(F.expr(f"array({', '.join(each)})")))
+
+
+def link_condition(a: Column, b: Column, key: Column, radius: int) -> Column:
+    """True on one shared variant of each pair within the radius: in the first segment with one differing bit at most,
+    at that bit, or at the segment's first bit if nothing differs there."""
+    x = a.bitwiseXOR(b)
+    no = F.shiftright(key, 32).cast("int")
+    differ = [F.bit_count(x.bitwiseAND(F.lit(signed(((1 << n) - 1) << o)))) for _, o, n in SEGMENTS]
+    here = F.lit(False)
+    for s, (_, o, n) in enumerate(SEGMENTS):
+        bit_set = F.getbit(x, no) == 1
+        mine = (no >= o) & (no < o + n) & (((differ[s] == 1) & bit_set) | ((differ[s] == 0) & (no == o)))
+        for earlier in differ[:s]:
+            mine = mine & (earlier >= 2)
+        here = here | mine
+    return (F.bit_count(x) <= radius) & here
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): pairs of different fingerprints (fp) that differ in radius bits at most, enough of them to join all that
+    such pairs join. Raises where the segments cannot guarantee the radius."""
     if radius // len(SEGMENTS) > 1:
         raise ValueError("the segments guarantee a radius of 5 at most")
-    rows = cut(crowded(classes.select("rep", "fp")), "crowded")
-    star = cut(stars(rows, radius), "star")
-    comp = cut(components(star), "comp")
-    here = rows.select("key", "rep", "fp").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("c"))
-    some, every = members_apart(here)
-    a = some.select("key", F.col("rep").alias("u"), F.col("fp").alias("a_fp"), F.col("c").alias("cu"))
-    b = every.select("key", F.col("rep").alias("v"), F.col("fp").alias("b_fp"), F.col("c").alias("cv"), (F.col("c") == F.col("main")).alias("main"))
-    apart = (F.col("cu") != F.col("cv")) & (F.col("main") | (F.col("u") < F.col("v"))) & (distance("a_", "b_", ("fp",)) <= radius)
-    across = cut(a.join(b, "key").where(apart).select("u", "v").distinct(), "across")
-    drop_table(rows)
-    return star.union(across)
+    prints = prints.select("fp")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    whole = segment_keys(prints)
+    heads = whole.groupBy("key").agg(F.min("fp").alias("head"))
+    star = whole.join(heads, (whole["key"] == heads["key"]) & (F.col("head") < F.col("fp")) & near("head", "fp"))
+    star = cut(star.select(F.col("head").alias("u"), F.col("fp").alias("v")).distinct(), "star")
+    comp = components(star).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    rows = variants(cut(prints.join(comp, "fp", "left").select("fp", "c"), "known"))
+    a = rows.select(F.col("key").alias("ka"), F.col("fp").alias("u"), F.col("c").alias("ca"))
+    b = rows.select(F.col("key").alias("kb"), F.col("fp").alias("v"), F.col("c").alias("cb"))
+    apart = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))
+    across = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("u") < F.col("v")) & apart & link_condition(F.col("u"), F.col("v"), F.col("ka"), radius))
+    return star.union(across.select("u", "v"))
 
 
 def simhash_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -114,5 +104,7 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS
     fps = cut(fingerprints(docs, width), "fps")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comp = components(links(classes, radius))
-    home = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    known = cut(classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")), "known")
+    first = known.groupBy("c").agg(F.min("rep").alias("component_id"))
+    home = known.join(first, "c").select("fp", "component_id")
     return fps.join(home, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from metaloom.operators import model_checks as M
 from metaloom.operators import stack as T
 from metaloom.plans.fixtures import CATALOGS, cte, frame
-from metaloom.plans.registry import add
+from metaloom.plans.registry import add, values
 
 ents, fields, rels, eps, repos, hands, steps, files = ((lambda n: (lambda s: frame(s, n)))(n) for n in ("fx_entities", "fx_fields", "fx_rels", "fx_endpoints", "fx_repos", "fx_handlers", "fx_steps", "fx_files"))
 CATALOGS["fx_kinds"] = ("kind string", [("fk",), ("read",), ("write",), ("delete",)])
@@ -51,27 +51,31 @@ add("A01_A20_model_summary", lambda s, d: M.model_summary(ents(s), rels(s), eps(
 
 LISTED = "f AS (SELECT * FROM fx_files WHERE NOT list_has_any(string_split(path, '/'), ['.git', '.vs', 'bin', 'obj', 'node_modules']))"
 W = f"{cte('fx_files')}, {LISTED}"
-_LANG = "l AS (SELECT CASE lower(regexp_extract(path, '\\.(\\w+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " END AS language FROM f)"
 _PACK = "p AS (SELECT path, unnest(regexp_extract_all(text, '<PackageReference Include=\"([^\"]+)\"', 1)) AS package FROM f WHERE path LIKE '%.csproj' OR path LIKE '%.props')"
-_v = lambda rules: "(VALUES " + ", ".join(f"('(?i){p}', '{n}')" for p, n in rules) + ") AS r(regex, name)"
-_FRAME = f"w AS (SELECT name AS framework, package AS via, 0 AS o FROM p JOIN {_v(T.FRAMEWORKS)} ON regexp_matches(package, regex) UNION ALL SELECT name, 'source-code', 1 FROM f JOIN {_v(T.FRAMEWORKS)} ON regexp_matches(text, regex) WHERE path LIKE '%.cs'), fr AS (SELECT framework, CASE WHEN min(o) = 0 THEN min(via) FILTER (o = 0) ELSE 'source-code' END AS via FROM w GROUP BY framework)"
 _CONF = "c AS (SELECT string_agg(text, chr(10) ORDER BY path) AS config FROM f WHERE regexp_matches(path, 'appsettings[^/]*\\.json$'))"
 add("S01_listing", lambda s, d: T.listed(files(s)).select("path", "size"), f"{W} SELECT path, size FROM f")
-add("T01_languages", lambda s, d: T.languages(files(s)), f"{W}, {_LANG} SELECT language, count(*) AS n FROM l WHERE language IS NOT NULL GROUP BY language")
 add("S05_packages", lambda s, d: T.packages(files(s)), f"{W}, {_PACK} SELECT * FROM p")
 add("S06_config", lambda s, d: T.config_text(files(s)), f"{W}, {_CONF} SELECT * FROM c")
 add("S07_X25_source_sample", lambda s, d: T.source_sample(files(s)), f"{W} SELECT path, left(text, 2000) AS sample FROM f WHERE path LIKE '%.cs' ORDER BY path LIMIT 30")
 add("S08_W08_budget", lambda s, d: T.budgeted(files(s), 6000), f"{W}, g AS (SELECT path, sum(size) OVER (ORDER BY CASE WHEN path LIKE '%.sql' THEN 0 WHEN path LIKE '%.cs' THEN 1 ELSE 2 END, path) AS running FROM f) SELECT path, CAST(running AS BIGINT) AS running FROM g WHERE running <= 6000")
-add("T02_frameworks", lambda s, d: T.frameworks(files(s)), f"{W}, {_PACK}, {_FRAME} SELECT * FROM fr")
-add("T03_databases", lambda s, d: T.databases(files(s)), f"{W}, {_PACK}, {_CONF}, u AS (SELECT name AS db, 'package' AS via FROM p JOIN {_v(T.DB_PACKAGES)} ON regexp_matches(package, regex) UNION ALL SELECT name, 'settings' FROM c JOIN {_v(T.DB_CONFIG)} ON regexp_matches(config, regex)) SELECT db, min(via) AS via FROM u GROUP BY db")
-_sig = ", ".join(f"('{n}', {len(ps)}, '(?i){p}')" for n, ps in T.ARCHITECTURES for p in ps)
-add("T04_architectures", lambda s, d: T.architectures(files(s)), f"{W}, a AS (SELECT architecture, total, regex, (SELECT bool_or(regexp_matches(text, regex)) FROM f) AS hit FROM (VALUES {_sig}) AS v(architecture, total, regex)) SELECT architecture, CAST(count(*) FILTER (hit) AS INTEGER) AS matched, CASE WHEN count(*) FILTER (hit) = any_value(total) THEN 'high' ELSE 'medium' END AS confidence FROM a GROUP BY architecture HAVING count(*) FILTER (hit) > 0")
-_b = "CASE " + " ".join(f"WHEN regexp_matches(path, '(?i){p}') THEN '{n}'" for n, p in T.BUCKETS) + " WHEN regexp_matches(path, '\\.(cs|razor|cshtml)$') THEN 'architect' END"
-add("T05_file_map", lambda s, d: T.file_map(files(s)), f"{W}, b AS (SELECT path, {_b} AS bucket FROM f) SELECT * FROM b WHERE bucket IS NOT NULL")
-_sc = ", ".join(f"least(0.5, 0.05 * sum(len(regexp_extract_all(text, '{p}')))) + CASE WHEN regexp_matches(folder, '(?i){name}') THEN 0.5 ELSE 0.0 END AS s{i}" for i, (n, name, p) in enumerate(T.LAYERS))
-_top = "greatest(" + ", ".join(f"s{i}" for i in range(len(T.LAYERS))) + ")"
-add("T08_W09_layers", lambda s, d: T.layers(files(s)), f"{W}, g AS (SELECT folder, {_sc} FROM (SELECT *, regexp_extract(path, '^((?:src/)?[^/]+)/', 1) AS folder FROM f) WHERE folder <> '' GROUP BY folder), h AS (SELECT *, {_top} AS t FROM g) SELECT folder, CASE WHEN regexp_matches(folder, '(?i)tests?$') THEN 'test' WHEN t < 0.05 THEN 'other' " + " ".join(f"WHEN s{i} = t THEN '{n}'" for i, (n, _, _) in enumerate(T.LAYERS)) + " END AS layer, CAST(CASE WHEN regexp_matches(folder, '(?i)tests?$') THEN 0.95 WHEN t < 0.05 THEN 0.0 ELSE least(t, 1.0) END AS DOUBLE) AS confidence FROM h")
-_d = "CASE " + " ".join(f"WHEN regexp_matches(left(text, 4000), '(?i){p}') THEN '{n}'" for n, p in T.DIALECTS) + " ELSE 'sqlite' END"
-add("T09_S10_dialects", lambda s, d: T.dialects(files(s)), f"{W} SELECT path, {_d} AS dialect FROM f WHERE path LIKE '%.sql' ORDER BY path LIMIT 10")
-add("T07_tech_context", lambda s, d: T.tech_context(files(s)), f"{W}, {_LANG}, {_PACK}, {_FRAME}, k AS (SELECT (SELECT count(DISTINCT language) FROM l) AS languages, (SELECT count(*) FROM fr) AS frameworks) SELECT languages, frameworks, CAST(round(0.4 + 0.1 * least(languages, 4) + 0.1 * least(frameworks, 2), 2) AS DOUBLE) AS confidence FROM k")
 add("documents_sources", lambda s, d: M.ranked_top(s.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.sum("n_chars").alias("chars")), "chars", "source", 10), "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(row_number() OVER (ORDER BY sum(n_chars) DESC, source) AS INTEGER) AS place FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10")
+
+#: A solution, and what each rule says of it.
+_package = lambda *names: "<Project>" + "".join(f'<PackageReference Include="{n}" />' for n in names) + "</Project>"
+STACK = [
+    ("src/Shop.Web/Shop.Web.csproj", _package("Microsoft.AspNetCore.Components.WebAssembly", "Microsoft.AspNetCore.Mvc.Testing", "MediatR", "Microsoft.EntityFrameworkCore.SqlServer", "StackExchange.Redis")),
+    ("src/Shop.Infrastructure/Shop.Infrastructure.csproj", _package("Npgsql.EntityFrameworkCore.PostgreSQL", "Azure.Identity", "Pomelo.EntityFrameworkCore.MySql")),
+    ("src/Shop.Domain/Shop.Domain.csproj", _package()), ("tests/Shop.UnitTests/Shop.UnitTests.csproj", _package("xunit", "NSubstitute")), ("src/Tools/Tools.csproj", _package()),
+    ("src/Shop.Domain/Entities/Order.cs", "namespace Shop.Domain; class Order : IAggregateRoot { } class M : ValueObject { }"), ("src/Shop.Infrastructure/Data/Db.cs", "class Db : DbContext { DbSet<Order> O; }"), ("src/Shop.Web/Pages/Index.cshtml", "@model Index"),
+    ("src/Shop.Web/Program.cs", 'app.MapGet("/", h); // AutoMapper'), ("src/Tools/T.cs", "static class T { }"), ("tests/Shop.UnitTests/OrderTests.cs", "[Fact] void T() {}"), ("svc/main.py", "from fastapi import FastAPI\nfrom sqlalchemy import x"), ("svc/app.js", "const e = require('express')"),
+    ("db/a.sql", "create table x (id int identity)"), ("db/b.sql", "id bigserial"), ("db/c.sql", "id int AUTO_INCREMENT"), ("db/d.sql", "create table y (id integer)"), ("appsettings.json", '{"C": "Host=db;port=5432", "R": "redis://x"}'), ("README.md", "x"), ("Dockerfile", "FROM x"), ("node_modules/x.js", "RabbitMQ"),
+]
+stack = lambda s: s.createDataFrame(STACK, "path string, text string")
+add("T01_O05_languages", lambda s, d: T.languages(stack(s)), values("language, n, is_primary, place", [("C#", 5, True, 1), ("SQL", 4, True, 2), ("Dockerfile", 1, False, 3), ("JSON", 1, False, 4), ("JavaScript", 1, True, 5), ("Markdown", 1, False, 6), ("Python", 1, True, 7), ("Razor (MVC/Pages)", 1, True, 8)]))
+add("T02_frameworks", lambda s, d: T.frameworks(stack(s)), values("framework, via", [("Blazor WebAssembly", "Microsoft.AspNetCore.Components.WebAssembly"), ("Blazor Server", "Microsoft.AspNetCore.Components.WebAssembly"), ("ASP.NET Core MVC", "Microsoft.AspNetCore.Mvc.Testing"), ("ASP.NET Core Integration Testing", "Microsoft.AspNetCore.Mvc.Testing"), ("MediatR (CQRS)", "MediatR"), ("Entity Framework Core", "Microsoft.EntityFrameworkCore.SqlServer"), ("xUnit", "xunit"), ("NSubstitute", "NSubstitute"), ("Azure Identity", "Azure.Identity"), ("AutoMapper", "source-code")]))
+add("T03_databases", lambda s, d: T.databases(stack(s)), values("db, via, source", [("SQL Server (EF Core)", "Microsoft.EntityFrameworkCore.SqlServer", "package"), ("PostgreSQL", "Npgsql.EntityFrameworkCore.PostgreSQL", "package"), ("MySQL", "Pomelo.EntityFrameworkCore.MySql", "package"), ("Redis", "StackExchange.Redis", "package")]))
+add("T04_architectures", lambda s, d: T.architectures(stack(s)), values("architecture, matched, total, confidence", [("DDD (Domain-Driven Design)", 2, 2, "high"), ("CQRS", 1, 1, "high"), ("Minimal API", 1, 1, "high")]))
+add("T05_O06_file_map", lambda s, d: T.file_map(stack(s)), values("path, bucket", [("tests/Shop.UnitTests/Shop.UnitTests.csproj", "quality"), ("src/Shop.Domain/Entities/Order.cs", "data"), ("src/Shop.Infrastructure/Data/Db.cs", "architect"), ("src/Shop.Web/Pages/Index.cshtml", "architect"), ("src/Shop.Web/Program.cs", "integration"), ("src/Tools/T.cs", "architect"), ("tests/Shop.UnitTests/OrderTests.cs", "quality"), ("db/a.sql", "data"), ("db/b.sql", "data"), ("db/c.sql", "data"), ("db/d.sql", "data"), ("appsettings.json", "integration"), ("README.md", "architect"), ("Dockerfile", "integration")]))
+add("T08_W09_layers", lambda s, d: T.layers(stack(s)), values("project, layer, confidence", [("Shop.Web", "web", 0.5), ("Shop.Infrastructure", "infrastructure", 0.6), ("Shop.Domain", "domain", 0.6), ("Shop.UnitTests", "test", 0.95), ("Tools", "other", 0.0)]))
+add("T09_S10_dialects", lambda s, d: T.dialects(stack(s)), values("path, dialect", [("db/a.sql", "sqlserver"), ("db/b.sql", "postgresql"), ("db/c.sql", "mysql"), ("db/d.sql", "sqlite")]))
+add("T06_T07_tech_context", lambda s, d: T.tech_context(stack(s)), values("kind, name, place", [("language", "csharp", 0), ("language", "javascript", 1), ("language", "python", 2), ("orm", "ef_core", 0), ("orm", "sqlalchemy", 4), ("api_style", "aspnet_core", 0), ("api_style", "fastapi", 3), ("api_style", "express", 5), ("architecture", "layered_monolith", 0), ("confidence", "0.9", 0)]))

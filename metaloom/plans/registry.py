@@ -19,7 +19,7 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
 
 def values(schema: str, rows: list[tuple]) -> str:
     """A relation of literal rows."""
-    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else "'" + x.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({schema})"
 
 
