@@ -169,13 +169,13 @@ def fluent(files: DataFrame) -> DataFrame:
 
 
 def configured(files: DataFrame) -> DataFrame:
-    """Has/Owns lines; a With line among the next five turns the kind."""
-    lines = files.where(F.col("path").endswith(".cs")).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    """Has/Owns lines of a configuration class for source; a With line among the next five turns the kind."""
+    lines = files.where(F.col("path").endswith(".cs")).select("path", F.regexp_extract("text", r"IEntityTypeConfiguration<(\w+)>", 1).alias("source"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(0, 5)
     many = F.max(F.col("line").contains("WithMany")).over(w)
     rows = lines.withColumns({"many": many, "has": F.regexp_extract("line", r"\b(HasMany|HasOne|OwnsOne|OwnsMany)\b", 1), "via": F.regexp_extract("line", r"(?:HasMany|HasOne|OwnsOne|OwnsMany)\(\s*\w+\s*=>\s*\w+\.(\w+)", 1)}).where("has <> ''")
     kind = F.when(F.col("has") == "OwnsOne", "owns_one").when(F.col("has") == "OwnsMany", "owns_many").when(F.col("has") == "HasMany", F.when(F.col("many"), "many_to_many").otherwise("one_to_many")).otherwise(F.when(F.col("many"), "many_to_one").otherwise("one_to_one"))
-    return rows.select("path", (F.col("n") + 1).alias("line_no"), "via", kind.alias("kind"))
+    return rows.select("path", "source", (F.col("n") + 1).alias("line_no"), "via", kind.alias("kind"))
 
 
 def _class_facts(files: DataFrame) -> DataFrame:

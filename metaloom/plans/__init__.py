@@ -1,4 +1,4 @@
 """Queries by name: importing this package registers all of them."""
 
-from metaloom.plans import catalog, code, ddl, governance, graph, incremental, models, procedures, relations  # noqa: F401
+from metaloom.plans import assembly, catalog, code, ddl, governance, graph, incremental, models, procedures, relations  # noqa: F401
 from metaloom.plans.registry import ORACLES, QUERIES  # noqa: F401

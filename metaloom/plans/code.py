@@ -28,7 +28,7 @@ public class Order~k~ : Entity, IAggregateRoot {
 public record Money~k~(decimal Amount, string Unit);
 internal class Line~k~ { }
 """),
-    ("Config~k~.cs", "b.Property(o => o.Name~k~).IsRequired().HasMaxLength(20);\nb.HasMany(o => o.Lines)\n .WithOne(l => l.Order);\n\n\n\n\n\n\nb.HasOne(o => o.Customer)\n .WithMany();\nb.OwnsOne(o => o.Home);\nb.HasIndex(o => o.Code~k~).IsUnique();\n"),
+    ("Config~k~.cs", "class C~k~ : IEntityTypeConfiguration<Order~k~> { } b.Property(o => o.Name~k~).IsRequired().HasMaxLength(20);\nb.HasMany(o => o.Lines)\n .WithOne(l => l.Order);\n\n\n\n\n\n\nb.HasOne(o => o.Customer)\n .WithMany();\nb.OwnsOne(o => o.Home);\nb.HasIndex(o => o.Code~k~).IsUnique();\n"),
     ("Create~k~.cs", """namespace Shop.Api;
 [Authorize]
 public class CreateEndpoint~k~ : IEndpoint<IResult, CreateRequest~k~, IRepository<Order~k~>> {
@@ -101,7 +101,7 @@ check("F31_attributes", C.attributes, "path, name, attribute, rule", [(O, "Id",
 check("F32_guards", C.guards, "path, line_no, rule, param, confidence", [(O, 12, "not_null", "name", "HIGH"), (O, 13, "positive_value", "n", "HIGH"), (O, 14, "not_null", "name", "MEDIUM"), (O, 14, "not_null", "name", "MEDIUM")])
 add("A14_repeated_guards", lambda s, d: C.repeated_guards(files(s, d)), "SELECT rule, count(*) AS n_entities FROM part, (VALUES ('not_null'), ('positive_value')) AS r(rule) GROUP BY rule HAVING count(*) >= 3")
 check("F33_fluent", C.fluent, "path, name, rule", [(G, "Name~k~", "not_null"), (G, "Name~k~", "max_length"), (G, "Code~k~", "index"), (G, "Code~k~", "unique")])
-check("P24_W06_configured", C.configured, "path, line_no, via, kind", [(G, 2, "Lines", "one_to_many"), (G, 10, "Customer", "many_to_one"), (G, 12, "Home", "owns_one")])
+check("P24_W06_configured", C.configured, "path, source, line_no, via, kind", [(G, "Order~k~", 2, "Lines", "one_to_many"), (G, "Order~k~", 10, "Customer", "many_to_one"), (G, "Order~k~", 12, "Home", "owns_one")])
 check("P32_X04_django_fields", C.django_fields, "path, entity, name, type, kind, target, max_length, nullable, is_pk, risk", [("models~k~.py", "Order~k~", "id", "integer", None, None, None, False, True, None), ("models~k~.py", "Order~k~", "email", "string", None, None, 20, True, False, "medium"), ("models~k~.py", "Order~k~", "owner", "foreign_key", "many_to_one", "User~k~", None, False, False, None), ("models~k~.py", "Order~k~", "tags", "many_to_many", "many_to_many", "Tag", None, False, False, None)])
 check("P33_sqlalchemy_fields", C.sqlalchemy_fields, "path, entity, name, raw_type, type, max_length, is_pk, nullable, risk", [("sa~k~.py", "User~k~", "id", "Integer", "integer", None, True, True, None), ("sa~k~.py", "User~k~", "name", "String", "string", 40, False, False, "low")])
 check("P33_sqlalchemy_relations", C.sqlalchemy_relations, "path, source, target, kind, via", [("sa~k~.py", "User~k~", "Post~k~", "one_to_many", "posts")])
