@@ -6,6 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -36,24 +39,41 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "step") -> DataFrame:
+#: The folder that workspace() has opened.
+_OPEN: ContextVar[str | None] = ContextVar("metaloom_workspace", default=None)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """The tables that cut() writes meanwhile go at the end, but for those that are to stay."""
+    folder = new_dir(spark, "work")
+    before = _OPEN.set(folder)
+    try:
+        yield
+    finally:
+        _OPEN.reset(before)
+        _delete(spark, folder)
+
+
+def cut(df: DataFrame, what: str = "step", stays: bool = False) -> DataFrame:
     """df as a table written in the shared folder: the lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
+    spark, folder = df.sparkSession, _OPEN.get()
+    path = f"{folder}/{what}-{uuid.uuid4().hex}" if folder and not stays else new_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Deletes what cut() wrote, once no later step reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark)
+    base = shared_dir(df.sparkSession)
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if base.split("://")[-1].lstrip("/") in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, name)
 
 
 #: Rows of long integers that few() sends to every executor at most: some 30 MB there.
@@ -63,7 +83,7 @@ SENT_ROWS = 1_000_000
 def few(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """df joined with ids on ids' only column, for a left_semi or left_anti join: by broadcast if a count shows that ids
     has SENT_ROWS rows at most, by a shuffle otherwise."""
-    ids = cut(ids, "ids")
+    ids = cut(ids, "ids", stays=True)
     return df.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, ids.columns[0], how)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.shared import SLICE, components, cut, majority_bits, shingle_hashes, signed, words_of
+from metaloom.llm.shared import SLICE, components, cut, majority_bits, shingle_hashes, signed, words_of, workspace
 
 WIDTH, RADIUS = 4, 4
 #: (column, first bit, bits) of the segments: three, so that of four differing bits one segment has one at most.
@@ -101,6 +101,11 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS
 
     Equal fingerprints are one class before anything is paired; a class of any size costs one representative.
     """
+    with workspace(docs.sparkSession):
+        return cut(_fingerprint_components(docs, width, radius), "components", stays=True)
+
+
+def _fingerprint_components(docs: DataFrame, width: int, radius: int) -> DataFrame:
     fps = cut(fingerprints(docs, width), "fps")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comp = components(links(classes, radius))
