@@ -244,7 +244,7 @@ def features(page: Page) -> np.ndarray:
         first[p] = min(first[p], first[i])
     kids, kid_chars, kid_links = [0] * n, [0.0] * n, [0.0] * n
     place = [0] * n
-    depth, up, inside = [0] * n, [0] * n, [0] * n
+    depth, up, inside, apart = [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
         p = parent[i]
         place[i] = kids[p]
@@ -253,17 +253,18 @@ def features(page: Page) -> np.ndarray:
         kid_links[p] += linked[i]
         depth[i] = depth[p] + 1
         up[i] = up[p] | page.groups[p]
+        apart[i] = apart[p] or page.tag[i] in ("nav", "footer", "aside", "form") or page.groups[i] > 1
         inside[i] = inside[p] | (1 << _INSIDE[page.tag[p]] if page.tag[p] in _INSIDE else 0)
     boxed = any(t in ("article", "main") or m & 1 for t, m in zip(page.tag, page.groups))  # content is the first group
     aside = math.log1p(sum(t in ("nav", "header", "footer", "aside", "form") or m > 1 for t, m in zip(page.tag, page.groups)))
-    scalar = np.zeros((n, 18), np.float32)
+    scalar = np.zeros((n, 20), np.float32)
     for i in range(n):
         p = max(parent[i], 0)
         c, k = chars[i], kids[p] or 1
         others = kid_chars[p] - c
         scalar[i] = (
             math.log1p(c), math.log1p(own[i]), linked[i] / (c + 1), math.log1p(tags[i]), c / (tags[i] + 1), marks[i] / (words[i] + 1), c / (words[i] + 1), math.log1p(parts[i]),
-            min(depth[i], 30), k, place[i] / k, others / (k - 1 or 1), (kid_links[p] - linked[i]) / (others + 1), c / total, (first[i] if first[i] < math.inf else total) / total, kids[i], boxed, aside,
+            min(depth[i], 30), k, place[i] / k, others / (k - 1 or 1), (kid_links[p] - linked[i]) / (others + 1), c / total, (first[i] if first[i] < math.inf else total) / total, kids[i], boxed, aside, apart[i], own[i] / (c + 1),
         )
     tag = np.zeros((n, 2 * len(TAGS)), np.float32)
     for i, t in enumerate(page.tag):
@@ -465,7 +466,8 @@ def page_of(rng: random.Random) -> tuple[str, set[str]]:
         if shape < 0.4:
             return f"<article{rng.choice(['', named('content')])}>{body}</article>"
         if shape < 0.58:
-            return f"<main><{rng.choice(['article', 'div', 'section'])}{named('content')}>{body}</main>"
+            inner = rng.choice(["article", "div", "section", ""])
+            return f"<main{rng.choice(['', named('content')])}>" + (f"<{inner}{named('content')}>{body}</{inner}></main>" if inner else f"{body}</main>")
         if shape < 0.8:
             named_box = f"<div{named('content') or ' class=content'}>{body}</div>"
             return named_box if rng.random() < 0.6 else f"<div><div>{named_box}</div></div>"
