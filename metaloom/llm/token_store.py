@@ -30,7 +30,7 @@ from metaloom.llm.shared import SLICE, memo, new_dir
 
 END_ID, SHARD_IDS = 2, 2_000_000
 #: Words whose ids a Python worker remembers, at about 250 bytes each.
-MEMORY = 600_000
+MEMORY = 800_000
 #: ASCII marks; at a word's end a run of them is one piece.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC, SAMPLE = b"MLTOK\x01", 256
@@ -173,20 +173,23 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
     kept = memo(f"ids of {path}")
 
     count = lambda x: len(tok.pre_tokenizer.pre_tokenize_str(x))
-    letters: dict[str, bool] = {}
-
-    def is_letter(c: str) -> bool:
-        """Whether the tokenizer takes c, normalised, for letters: they join one another and no mark after them."""
-        if c not in letters:
-            form = tok.normalizer.normalize_str(c) if tok.normalizer else c
-            letters[c] = (count(form), count(form + form), count(form + ".")) == (1, 1, 2)
-        return letters[c]
+    letters: set[str] = set()
+    others: set[str] = set()
+
+    def all_letters(word: str) -> bool:
+        """Whether the tokenizer takes each character, normalised, for a letter: it joins others and no mark after it."""
+        if not letters.issuperset(word):
+            for c in set(word) - letters - others:
+                form = tok.normalizer.normalize_str(c) if tok.normalizer else c
+                (letters if (count(form), count(form + form), count(form + ".")) == (1, 1, 2) else others).add(c)
+            return letters.issuperset(word)
+        return True
 
     def learn(words: set[str]) -> None:
         """Letters make one piece with one closing id, so many go into one call and are cut apart at the closing ids.
         Words of letters and marks at their end are two pieces; any other word is encoded on its own."""
         heads = {w: w.rstrip(MARKS) for w in words}
-        heads = {w: c for w, c in heads.items() if c and all(map(is_letter, c))}
+        heads = {w: c for w, c in heads.items() if c and all_letters(c)}
         plainly = {c for c in heads.values() if c not in kept}
         single = {x for x in (w[len(heads.get(w, "")) :] for w in words) if x and x not in kept}
         row = list(plainly)
