@@ -118,6 +118,25 @@ def test_secrets_equal_base_and_confirm_structures(spark):
     assert [kinds(n + k) for k in range(6)] == [{"der"}, {"pem"} | (kinds(n + 1) & {"der"}), {"openssh"}, {"token"}, {"der"}, set()]
 
 
+def test_secrets_in_other_wrappings():
+    number = lambda k: der(2, bytes([1]) * k)
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, bytes(range(32)))))
+    locked = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, bytes(64)))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    dsa = der(0x30, der(2, b"\0") + number(120) + number(20) + number(119) + number(118) + number(20))
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda b, end: end.join(b64(b)[i : i + 64] for i in range(0, len(b64(b)), 64))
+    pem = lambda kind, b, end="\n", head="": f"-----BEGIN {kind}-----{end}{head}{lines(b, end)}{end}-----END {kind}-----"
+    kinds = lambda t: [(secret_scan.KINDS[k], a, b) for a, b, k in secret_scan.find_spans(t) if k >= secret_scan.BASE]
+    for before, after in (("", ""), ("x/", ""), ("prefix", ""), ("abc", "zzzz")):
+        key = b64(ed).rstrip("=") if after else b64(ed)
+        assert kinds(before + key + after) == [("der", len(before), len(before) + len(key))]
+    for text in (pem("PRIVATE KEY", ed, "\\n"), pem("ENCRYPTED PRIVATE KEY", locked), pem("DSA PRIVATE KEY", dsa), pem("RSA PRIVATE KEY", bytes(160), head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677\n\n")):
+        assert kinds('{"k": "' + text) == [("pem", 7, 7 + len(text))]
+    assert kinds(lines(dsa, "\n   ")) == [("der", 0, len(lines(dsa, "\n   ")))]
+    assert kinds(b64(digest)) == kinds(b64(bytes(i * 7919 % 251 for i in range(600)))) == []
+
+
 def slow_print(text, width=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
@@ -150,7 +169,8 @@ def test_links_join_every_pair_within_the_radius(spark):
     a = [rng.getrandbits(64) for _ in range(15)]
     prints = sorted({x ^ sum(1 << b for b in rng.sample(range(64), k)) for x in a for k in range(7)})
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    got = [tuple(sorted((r.u, r.v))) for r in simhash_dedup.links(df).collect()]
+    place = {r.fp: r.rep for r in df.collect()}
+    got = [tuple(sorted((place[r.u], place[r.v]))) for r in simhash_dedup.links(df).collect()]
     want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 4}
     assert set(got) <= want and reach(len(prints), got) == reach(len(prints), want)
 
@@ -160,7 +180,7 @@ def test_a_large_group_of_near_prints_costs_few_rows(spark):
     base = rng.getrandbits(63)
     prints = sorted({base ^ sum(1 << b for b in rng.sample(range(63), k)) for k in (0, 1, 2) for _ in range(150)})
     df = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    got = [(r.u, r.v) for r in simhash_dedup.links(df).collect()]
+    got = [tuple(sorted((prints.index(r.u), prints.index(r.v)))) for r in simhash_dedup.links(df).collect()]
     want = [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 4]
     assert reach(len(prints), got) == reach(len(prints), want) and len(got) < len(want) / 4
 
@@ -308,6 +328,27 @@ def test_token_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 512)
 
 
+def test_tokens_of_odd_texts_equal_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    pool = [chr(c) for c in range(0x20, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Co")]
+    odd = [*"İıſßΣςǅﬁ\u0301\u0307\u0345\u200d \u0085\u00a0\u1680\u180e\u2003\u2028\u3000\ufeff\x1c\x1f\x0b\r\n\t.,'!-", "'s", "'RE", "<|endoftext|>"]
+    texts = ["".join(rng.choice(rng.choice([pool, odd, [chr(c) for c in range(0x20, 0x250)]])) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    texts += ["İ.", "GAZİ.", "a İ, b", "ΣΑΣ. ΟΔΟΣ", "a \n ", "b  "]
+    words, bytes_ = token_count.default_path("word_bpe_49k.json"), token_count.default_path("byte_bpe_50k.json")
+    encode, _ = token_store.encoder(words)
+    for tok, path in ((Tokenizer.from_file(words), words), (Tokenizer.from_file(bytes_), bytes_)):
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        for i in range(0, len(texts), 256):
+            if path == words:
+                assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts[i : i + 256])] == want[i : i + 256]
+            else:
+                assert token_count.counter(path)(texts[i : i + 256]) == [len(x) for x in want[i : i + 256]]
+
+
 def test_chunks_splice_and_widen():
     from tokenizers import Tokenizer
 
@@ -367,7 +408,7 @@ def test_raking_meets_margins_and_budget(spark):
             raked[c[margin]] = raked.get(c[margin], 0) + w
         norm = sum(v**0.5 for v in given.values())
         assert all(abs(raked[k] - total * given[k] ** 0.5 / norm) < 1e-3 * total for k in given)
-    by_spark = {r.doc_id: r._p for r in mixing.mix(docs, max_cells=1).collect()}
+    by_spark = {r.row.doc_id: r._p for r in mixing.mix(docs, max_cells=1).collect()}
     assert all(abs(by_spark[r.doc_id] - r.probability) < 1e-9 for r in rows)
     assert mixing.mixing_report(docs.limit(0)).count() == 0
 
@@ -398,6 +439,22 @@ def test_page_texts(spark):
     assert by[2].text == by[3].text == by[5].text == by[6].text == "" and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_plain_and_broken_pages():
+    import time
+
+    model = html_extract.trained()
+    bare = "<h1>On the river</h1><p>The river runs past the mill and the old bridge where we met, long ago in summer.<p>It was cold, and nobody spoke of the war for a long time. We went home after dark."
+    want = "On the river\n\nThe river runs past the mill and the old bridge where we met, long ago in summer.\n\nIt was cold, and nobody spoke of the war for a long time. We went home after dark."
+    for page in (bare, f"<body>{bare}", f"<html><head><title>t</title></head><body>{bare}</body></html>", f"<article>{bare}</article>", f"<nav><a href=/>Home</a> <a href=/x>More</a></nav><main>{bare}</main><footer>&copy; us</footer>"):
+        assert html_extract.extract([page], model) == [want]
+    inside = html_extract.extract(["<article><p>One <math><mi>x</mi></math> two.<svg width=1 /> Three.<p>Four <svg>five six.</article>"], model)
+    assert inside == ["One x two. Three.\n\nFour five six."]
+    for broken in ("<a " * 300_000, "<div>" * 20_000 + "</span>" * 20_000, '<a "' * 200_000, "<table>" + "<b>" * 30_000 + "</span>" * 30_000, "<svg>" * 60_000, "<" * 800_000):
+        began = time.time()
+        html_extract.parse(broken)
+        assert time.time() - began < 5
+
+
 def test_decoding_never_contradicts():
     rng = random.Random(2)
     for _ in range(60):
@@ -446,6 +503,34 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontamination_report(docs, bench.limit(0)).where("NOT kept").count() == 0
 
 
+def test_windows_meet_few_items():
+    rng = random.Random(16)
+    words = [f"z{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(15, 60)))) for k in range(20_000)]
+    index = decontaminate.Index(items)
+    for k in range(40):
+        item = items[k * 97][1].split()
+        item[-1] = "other"
+        body = [rng.choice(words) for _ in range(200)]
+        assert items[k * 97][0] in index.matches(" ".join([*body, *item, *body]))
+    assert index.looked_up < 0.001 * 40 * 40 * len(items)
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs, path = docs_of(spark, ["x"]).limit(0), token_count.default_path("byte_bpe_50k.json")
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h", "x", 0.5)], "item_id long, text string, doc_id string, similarity double")
+    for out in (secret_scan.scan_secrets(docs), toxicity.score_documents(docs, labels), toxicity.drop_toxic(docs, labels), token_count.count_tokens(docs, path), decontaminate.decontamination_report(docs, bench), near_copies.drop_copies(docs)):
+        assert out.count() == 0
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    texts = spark.createDataFrame([(0, "we said a b c d e f g h today", "en", "s", True, "r"), (1, "nothing", "en", "s", True, "r")], "doc_id long, text string, lang string, source string, _drawn boolean, row string")
+    assert [r.n_items for r in decontaminate.decontamination_report(texts, bench).orderBy("doc_id").collect()] == [1, 0]
+    mixed = mixing.mix(texts, topic=texts["lang"]).select("row.*", "_topic").collect()
+    assert {(r.doc_id, r.row, r._drawn, r._topic) for r in mixed} == {(0, "r", True, "en"), (1, "r", True, "en")}
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 9, 3), (2, [1.0, 0.0], 9, 3)], "vec_id long, embedding array<double>, component_id int, kept int")
+    assert {(r.vec_id, r.component_id, r.kept) for r in embedding_dedup.vector_components(vectors).collect()} == {(1, 1, True), (2, 1, False)}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTPS://A.Example.ORG/es/x?y=/q", "http://example.org/en/12#a", "https://org/", "http://xorg/", "http://shop.com/de/a", "http://shop.com/fr/b", "http://shop.com", "ftp://com/deep", "http://b.org?x", "x://É.com/de/", "http://a\nb.org/p"]
     frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
