@@ -10,12 +10,15 @@ from metaloom.llm.decontaminate import decontamination_report
 from metaloom.llm.embedding_dedup import vector_components
 from metaloom.llm.html_extract import extract_pages
 from metaloom.llm.mixing import mixing_report
+from metaloom.llm.periodic_runs import run_report
+from metaloom.llm.quality import score_quality
 from metaloom.llm.secret_scan import scan_secrets
 from metaloom.llm.shared import table
 from metaloom.llm.simhash_dedup import simhash_components
 from metaloom.llm.token_count import count_tokens, default_path
 from metaloom.llm.token_store import token_output
 from metaloom.llm.toxicity import score_documents
+from metaloom.llm.turns import repair_report
 from metaloom.llm.url_filter import judge_urls
 
 
@@ -59,6 +62,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op4_token_output, op5_toxicity, op6_mixing, op7_html_extract, op8_token_count, op9_decontamination, op10_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_simhash_dedup, op4_token_output, op5_toxicity, op6_mixing, op7_html_extract, op8_token_count, op9_decontamination, op10_url_filter, op11_quality, op12_periodic_runs, op13_conversation_repair, pipeline)}
 
 
 #: Every pair by cosine, then reachability: as independent of the operator as SQL allows.
