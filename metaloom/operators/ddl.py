@@ -1,13 +1,15 @@
 """SQL DDL text to catalog rows: tables, columns, keys, indexes, views, procedures, triggers.
 
-Comment stripping, file scans and single clauses are built-in expressions. Only table bodies and ALTER TABLE ... ADD, whose
-commas and parentheses nest, are walked in Python, as an Arrow-batched function over whole scripts. Quoted text is text:
-neither comment marks nor parentheses count within it.
+One Arrow-batched pass cuts a script into statements with their lines, the bodies of tables into clauses (commas and
+parentheses nest). It looks at a copy in which comments are gone and quoted text and names are masked, so that neither
+keywords nor parentheses count within them. All catalog rows are built-in expressions over these short rows; write them once
+(cut) where several are wanted. Times go with the length of a script.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.scalar import column_risk, normalize_sql_type
+from metaloom.sources.scratch import cut
 
 IDENT = r"(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\w+)"
 NAME = rf"(?:({IDENT})\s*\.\s*)?({IDENT})"
@@ -27,8 +30,8 @@ def bare(name: Column) -> Column:
 
 
 def names(listing: Column) -> Column:
-    """The identifiers of a comma-separated list, empty ones dropped."""
-    return F.filter(F.transform(F.split(listing, ","), bare), lambda x: x != "")
+    """The identifiers of a comma-separated list without ASC and DESC, empty ones dropped."""
+    return F.filter(F.transform(F.split(listing, ","), lambda x: bare(F.regexp_replace(x, r"(?i)\s+(?:ASC|DESC)\s*$", ""))), lambda x: x != "")
 
 
 def without_comments(text: Column) -> Column:
@@ -42,40 +45,77 @@ def scripts(spark, path: str, pattern: str = "*.sql") -> DataFrame:
     return spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("source_file"), F.col("value").alias("text"))
 
 
-def _outside_quotes(text: str, at: int) -> Iterator[tuple[int, str]]:
-    """(place, character) from a place on, without what single quotes enclose."""
-    quoted = False
-    for i in range(at, len(text)):
-        if text[i] == "'":
-            quoted = not quoted
-        elif not quoted:
-            yield i, text[i]
-
-
-def closing(text: str, at: int) -> int:
+_MARK = re.compile(r"""['"`\[]|--|/\*""")
+_CLOSE = {"'": "'", '"': '"', "`": "`", "[": "]", "/*": "*/", "--": "\n"}
+
+
+def masked(text: str) -> tuple[str, str, list[int], list[int]]:
+    """(text without comments, the same with quoted text and names as x, places in it and the places in text that they come
+    from). An opening mark that nothing closes is a character like any other."""
+    clean, mask, here, there, lost = [], [], [0], [0], set()
+    size = at = pos = 0
+    while m := _MARK.search(text, pos):
+        opening, start = m[0], m.start()
+        close = _CLOSE[opening]
+        end = -1 if opening in lost else text.find(close, m.end())
+        if end < 0 and opening != "--":
+            lost.add(opening)
+            pos = m.end()
+            continue
+        plain = text[at:start]
+        if opening == "--":
+            end, inside, hidden = len(text) if end < 0 else end, "", ""
+        elif opening == "/*":
+            end, inside, hidden = end + 2, " ", " "
+        else:
+            end += 1
+            inside, hidden = text[start:end], opening + "x" * (end - start - 2) + close
+        clean += (plain, inside)
+        mask += (plain, hidden)
+        size += len(plain) + len(inside)
+        here.append(size)
+        there.append(end)
+        at = pos = end
+    return "".join([*clean, text[at:]]), "".join([*mask, text[at:]]), here, there
+
+
+def closing(mask: str, at: int) -> int:
     """Where the parenthesis opened at a place closes; -1 if nowhere."""
     depth = 0
-    for i, c in _outside_quotes(text, at):
-        depth += (c == "(") - (c == ")")
+    for m in _PARENTHESES.finditer(mask, at):
+        depth += 1 if m[0] == "(" else -1
         if depth == 0:
-            return i
+            return m.start()
     return -1
 
 
-def clauses(body: str) -> list[str]:
-    """The parts between commas outside parentheses and quotes."""
-    out, depth, start = [], 0, 0
-    for i, c in _outside_quotes(body, 0):
+def clauses(mask: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The stretches between commas outside parentheses; blank ones dropped."""
+    out, depth = [], 0
+    for m in _SEPARATORS.finditer(mask, start, end):
+        c = m[0]
         depth += (c == "(") - (c == ")")
         if c == "," and depth == 0:
-            out.append(body[start:i].strip())
-            start = i + 1
-    return [x for x in [*out, body[start:].strip()] if x]
-
-
-_CREATE = re.compile(rf"\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\(", re.I)
-_ALTER = re.compile(rf"\bALTER\s+TABLE\s+(?:ONLY\s+)?{NAME}\s+(?:WITH\s+(?:NO)?CHECK\s+)?ADD\s+", re.I)
-_AFTER_ALTER = re.compile(r";|\bGO\b|\bALTER\s+TABLE\b|\bCREATE\b", re.I)
+            out.append((start, m.start()))
+            start = m.end()
+    return [(a, b) for a, b in [*out, (start, end)] if mask[a:b].strip()]
+
+
+_PARENTHESES, _SEPARATORS = re.compile(r"[()]"), re.compile(r"[(),]")
+_HEAD = re.compile(r"\b(?:CREATE|ALTER)\s", re.I)
+_OR = r"(?:OR\s+(?:ALTER|REPLACE)\s+)?"
+_EVENT, _TIMING = r"(?:INSERT|UPDATE|DELETE)(?:\s*(?:,|\bOR\b)\s*(?:INSERT|UPDATE|DELETE))*", r"(?:AFTER|BEFORE|INSTEAD\s+OF|FOR)"
+_FORMS = {
+    "create": re.compile(rf"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\(", re.I),
+    "alter": re.compile(rf"ALTER\s+TABLE\s+(?:ONLY\s+)?{NAME}\s+(?:WITH\s+(?:NO)?CHECK\s+)?ADD\s+", re.I),
+    "index": re.compile(rf"CREATE\s+(?:UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+|FULLTEXT\s+|SPATIAL\s+)?INDEX\s+(?P<own>{IDENT})\s+ON\s+{NAME}\s*\([^)]*\)", re.I),
+    "view": re.compile(rf"CREATE\s+{_OR}VIEW\s+{NAME}\s+(?:\([^)]*\)\s+)?AS\s+", re.I),
+    "trigger_on": re.compile(rf"CREATE\s+{_OR}TRIGGER\s+(?:{IDENT}\s*\.\s*)?(?P<own>{IDENT})\s+ON\s+{NAME}\s+{_TIMING}\s+{_EVENT}", re.I),
+    "trigger_for": re.compile(rf"CREATE\s+{_OR}TRIGGER\s+(?:{IDENT}\s*\.\s*)?(?P<own>{IDENT})\s+{_TIMING}\s+{_EVENT}\s+ON\s+{NAME}", re.I),
+    "procedure": re.compile(rf"CREATE\s+{_OR}(?:DEFINER\s*=\s*\S+\s+)?(?P<own>PROC(?:EDURE)?|FUNCTION)\s+{NAME}", re.I),
+}
+#: Where the statement ends that a form begins.
+_STOPS = {"alter": re.compile(r";|\bGO\b|\bALTER\s+TABLE\b|\bCREATE\b", re.I), "view": re.compile(r"\bGO\b|\bCREATE\b", re.I), "procedure": re.compile(r"\bGO\b\s*\n|\bGO\b\s*\Z|\bCREATE\s", re.I)}
 _KINDS = ((re.compile(r"^PRIMARY\s+KEY", re.I), "pk"), (re.compile(r"^(?:FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\b", re.I), "index"), (re.compile(r"^UNIQUE", re.I), "unique"), (re.compile(r"^FOREIGN\s+KEY", re.I), "fk"), (re.compile(r"^CHECK", re.I), "check"))
 _CONSTRAINT = re.compile(rf"^CONSTRAINT\s+({IDENT})\s+", re.I)
 
@@ -85,27 +125,43 @@ def _plain(name: str | None, default: str) -> str:
 
 
 def _statements(text: str, default_schema: str) -> Iterator[tuple]:
-    """(origin, schema, table, line, position, kind, constraint, clause) of each clause."""
-    found = []
-    for m in _CREATE.finditer(text):
-        end = closing(text, m.end() - 1)
-        if end >= 0:
-            found.append(("create", m, text[m.end() : end]))
-    for m in _ALTER.finditer(text):
-        stop = _AFTER_ALTER.search(text, m.end())
-        found.append(("alter", m, text[m.end() : stop.start() if stop else len(text)]))
-    for origin, m, body in found:
-        where = (origin, _plain(m[1], default_schema), _plain(m[2], ""), text.count("\n", 0, m.start()) + 1)
-        for pos, clause in enumerate(clauses(body)):
-            named = _CONSTRAINT.match(clause)
-            rest = clause[named.end() :] if named else clause
-            kind = next((k for p, k in _KINDS if p.match(rest)), "column")
-            yield (*where, pos, kind, _plain(named[1], "") if named else "", rest)
-
-
-def table_clauses(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
-    """(source_file, origin, schema, tbl, line, pos, kind, constraint, clause) of every CREATE TABLE and
-    ALTER TABLE ... ADD of (source_file, text). line is that of the statement, without the lines of block comments."""
+    """(origin, schema, table, line, position, kind, constraint, clause) of each clause of a table and each other statement."""
+    clean, mask, here, there = masked(text)
+    newlines = [m.start() for m in re.finditer("\n", text)]
+    for head in _HEAD.finditer(mask):
+        for origin, form in _FORMS.items():
+            if m := form.match(mask, head.start()):
+                break
+        else:
+            continue
+        at = bisect_right(here, m.start()) - 1
+        line = bisect_right(newlines, there[at] + m.start() - here[at]) + 1
+        groups = m.re.groups
+        named = [clean[slice(*m.span(g))] if m.span(g)[0] >= 0 else None for g in range(1, groups + 1)]
+        own = _plain(clean[slice(*m.span("own"))], "") if "own" in m.re.groupindex else ""
+        schema, name = [n for g, n in enumerate(named, 1) if g != m.re.groupindex.get("own")][:2]
+        where = (origin.split("_")[0], _plain(schema, default_schema), _plain(name, ""), line)
+        end = m.end()
+        if origin == "create":
+            end = closing(mask, m.end() - 1)
+        elif origin in _STOPS:
+            stop = _STOPS[origin].search(mask, m.end())
+            end = stop.start() if stop else len(mask)
+        if origin in ("create", "alter"):
+            for pos, (a, b) in enumerate(clauses(mask, m.end(), end) if end >= 0 else ()):
+                clause = clean[a:b].strip()
+                constraint = _CONSTRAINT.match(clause)
+                rest = clause[constraint.end() :] if constraint else clause
+                kind = next((k for p, k in _KINDS if p.match(rest)), "column")
+                yield (*where, pos, kind, _plain(constraint[1], "") if constraint else "", rest)
+        else:
+            yield (*where, 0, "statement", own, clean[m.end() : end] if origin in _STOPS else clean[m.start() : end])
+
+
+def statements(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+    """(source_file, origin, schema, tbl, line, pos, kind, constraint, clause): a row for
+    each clause of every CREATE TABLE and ALTER TABLE ... ADD of (source_file, text), and for each index, view, trigger and
+    procedure (kind statement, constraint its own name). line is that of the statement in the script."""
     names_ = ["source_file", "origin", "schema", "tbl", "line", "pos", "kind", "constraint", "clause"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,21 +171,31 @@ def table_clauses(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names_)
 
-    clean = texts.select("source_file", without_comments(F.col("text")).alias("text"))
-    return clean.mapInArrow(run, "source_file string, origin string, schema string, tbl string, line int, pos int, kind string, constraint string, clause string")
+    schema = "source_file string, origin string, schema string, tbl string, line int, pos int, kind string, constraint string, clause string"
+    return texts.select("source_file", "text").mapInArrow(run, schema)
+
+
+def table_clauses(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+    """The clauses of tables among statements()."""
+    return statements(texts, default_schema).where("origin IN ('create', 'alter')")
+
+
+def _of(df: DataFrame, origin: str) -> DataFrame:
+    """The statements of an origin; df holds statements, or scripts to be cut into them."""
+    return (df if "clause" in df.columns else statements(df)).where(F.col("origin") == origin)
 
 
 def constraints(parts: DataFrame) -> DataFrame:
-    """(source_file, tbl, kind, name, cols, check) of PRIMARY KEY, UNIQUE and CHECK clauses of both statements."""
+    """(source_file, schema, tbl, kind, name, cols, check) of PRIMARY KEY, UNIQUE and CHECK clauses of both statements."""
     listed = names(F.regexp_extract("clause", r"\(([^)]*)\)", 1))
     check = F.trim(F.regexp_extract("clause", r"(?is)^CHECK\s*\((.*)\)\s*$", 1))
-    return parts.where("kind IN ('pk', 'unique', 'check')").select("source_file", "tbl", "kind", F.col("constraint").alias("name"), F.when(F.col("kind") != "check", F.array_join(listed, ",")).otherwise("").alias("cols"), check.alias("check"))
+    return parts.where("kind IN ('pk', 'unique', 'check')").select("source_file", "schema", "tbl", "kind", F.col("constraint").alias("name"), F.when(F.col("kind") != "check", F.array_join(listed, ",")).otherwise("").alias("cols"), check.alias("check"))
 
 
 def key_columns(parts: DataFrame) -> DataFrame:
-    """(source_file, tbl, kind, n, p, col) of PRIMARY KEY and UNIQUE clauses; n columns in all."""
+    """(source_file, schema, tbl, kind, n, p, col) of PRIMARY KEY and UNIQUE clauses; n columns in all."""
     keys = constraints(parts).where("kind <> 'check'").withColumn("c", F.split("cols", ","))
-    return keys.select("source_file", "tbl", "kind", F.size("c").alias("n"), F.posexplode("c").alias("p", "col"))
+    return keys.select("source_file", "schema", "tbl", "kind", F.size("c").alias("n"), F.posexplode("c").alias("p", "col"))
 
 
 _TYPE_ENDS = r"(?=\s*(?:\bNOT\s+NULL\b|\bNULL\b|\bDEFAULT\b|\bIDENTITY\b|\bAUTO_INCREMENT\b|\bSERIAL\b|\bCONSTRAINT\b|\bPRIMARY\s+KEY\b|\bUNIQUE\b|\bREFERENCES\b|\bCHECK\b|\bGENERATED\b|\bCOLLATE\b|\bCOMMENT\b|$))"
@@ -138,7 +204,7 @@ _TYPE_ENDS = r"(?=\s*(?:\bNOT\s+NULL\b|\bNULL\b|\bDEFAULT\b|\bIDENTITY\b|\bAUTO_
 def columns(parts: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
     """Name, type, length, precision, scale, flags and default of each column of CREATE TABLE; the ordinal
     counts columns only. Keys of table clauses and of ALTER TABLE mark their columns; so do the columns of indexes
-    (tbl, cols) for is_indexed."""
+    (source_file, schema, tbl, cols) for is_indexed. All go by script, schema and table."""
     c = parts.where("kind = 'column' AND origin = 'create'")
     raw = F.regexp_replace(F.regexp_extract("clause", rf"(?is)^{IDENT}\s+([\[\"`]?\w[\w ]*?[\]\"`]?(?:\s*\(\s*[\w, ]*\))?){_TYPE_ENDS}", 1), r"[\[\]\"`]", "")
     raw = F.trim(F.regexp_replace(raw, r"\s+", " "))
@@ -154,15 +220,15 @@ def columns(parts: DataFrame, indexes: DataFrame | None = None) -> DataFrame:
         has(r"\bIDENTITY\b|\bAUTO_INCREMENT\b|\bSERIAL\b|\bGENERATED\s+(?:ALWAYS|BY\s+DEFAULT)").alias("is_identity"),
         F.trim(F.regexp_extract("clause", r"(?i)\bDEFAULT\s+(\((?:[^()]|\([^()]*\))*\)|'[^']*'|[\w.]+(?:\(\))?)", 1)).alias("default_value"),
     ).withColumns({"ordinal": F.col("ordinal") - 1, "risk": column_risk(F.col("name"))})
-    keys = key_columns(parts).groupBy("source_file", F.lower("tbl").alias("t"), F.col("col").alias("name")).agg(F.bool_or(F.col("kind") == "pk").alias("k_pk"), F.bool_or((F.col("kind") == "unique") & (F.col("n") == 1)).alias("k_unique"))
-    out = out.withColumn("t", F.lower("tbl")).join(keys, ["source_file", "t", "name"], "left")
+    keys = key_columns(parts).groupBy("source_file", "schema", F.lower("tbl").alias("t"), F.col("col").alias("name")).agg(F.bool_or(F.col("kind") == "pk").alias("k_pk"), F.bool_or((F.col("kind") == "unique") & (F.col("n") == 1)).alias("k_unique"))
+    out = out.withColumn("t", F.lower("tbl")).join(keys, ["source_file", "schema", "t", "name"], "left")
     yes = lambda *cs: sum((F.coalesce(F.col(x), F.lit(False)).cast("int") for x in cs), F.lit(0)) > 0
     out = out.withColumns({"is_pk": yes("own_pk", "k_pk"), "is_unique": yes("own_unique", "k_unique")})
     if indexes is None:
         indexed = out.withColumn("is_indexed", F.col("is_pk"))
     else:
-        listed = indexes.select(F.lower("tbl").alias("t"), F.explode(F.split("cols", ",")).alias("name")).distinct().withColumn("i", F.lit(True))
-        indexed = out.join(listed, ["t", "name"], "left").withColumn("is_indexed", yes("is_pk", "i"))
+        listed = indexes.select("source_file", "schema", F.lower("tbl").alias("t"), F.explode(F.split("cols", ",")).alias("name")).distinct().withColumn("i", F.lit(True))
+        indexed = out.join(listed, ["source_file", "schema", "t", "name"], "left").withColumn("is_indexed", yes("is_pk", "i"))
     return indexed.drop("t", "own_pk", "own_unique", "k_pk", "k_unique", "i")
 
 
@@ -181,21 +247,10 @@ def foreign_keys(parts: DataFrame) -> DataFrame:
     return c.select("source_file", "tbl", F.when(F.col("kind") == "fk", F.col("constraint")).otherwise("").alias("name"), F.when(listed == "", inline).otherwise(listed).alias("cols"), ref.alias("ref_tbl"), ref_cols.alias("ref_cols"), action("DELETE").alias("on_delete"), action("UPDATE").alias("on_update"))
 
 
-def _all(texts: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
-    text, p = without_comments(F.col("text")), F.lit(pattern)
-    zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for n, g in groups.items()])
-    return texts.select("source_file", F.explode(zipped).alias("x")).select("source_file", *[F.col(f"x.{n}").alias(n) for n in groups])
-
-
-def _schema(name: str, default: str) -> Column:
-    return F.when(F.coalesce(F.col(name), F.lit("")) == "", default).otherwise(bare(F.col(name)))
-
-
 def indexes(texts: DataFrame) -> DataFrame:
-    """CREATE INDEX: idx, tbl, cols, is_unique."""
-    rows = _all(texts, rf"(?i)\bCREATE\s+(UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+|FULLTEXT\s+|SPATIAL\s+)?INDEX\s+({IDENT})\s+ON\s+{NAME}\s*\(([^)]*)\)", {"u": 1, "idx": 2, "tbl": 4, "cols": 5})
-    listed = F.transform(names(F.col("cols")), lambda x: bare(F.regexp_replace(x, r"(?i)\s+(?:ASC|DESC)$", "")))
-    return rows.select("source_file", bare(F.col("idx")).alias("idx"), bare(F.col("tbl")).alias("tbl"), F.array_join(listed, ",").alias("cols"), (F.coalesce("u", F.lit("")) != "").alias("is_unique"))
+    """CREATE INDEX: schema, idx, tbl, cols, is_unique."""
+    listed = names(F.regexp_extract("clause", r"\(([^)]*)\)\s*$", 1))
+    return _of(texts, "index").select("source_file", "schema", F.col("constraint").alias("idx"), "tbl", F.array_join(listed, ",").alias("cols"), F.col("clause").rlike(r"(?i)^CREATE\s+UNIQUE\b").alias("is_unique"))
 
 
 def sources(body: Column) -> Column:
@@ -204,27 +259,25 @@ def sources(body: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(read, lambda x: ~F.upper(x).isin("SELECT", "WHERE"))))
 
 
-def views(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+def views(texts: DataFrame) -> DataFrame:
     """Schema, view, definition (KEPT_VIEW characters) and the tables that it reads."""
-    rows = _all(texts, rf"(?is)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?VIEW\s+{NAME}\s+(?:\([^)]*\)\s+)?AS\s+(.*?)(?=\bGO\b|\bCREATE\b|\z)", {"s": 1, "view": 2, "body": 3})
-    return rows.select("source_file", _schema("s", default_schema).alias("schema"), bare(F.col("view")).alias("view"), F.substring(F.regexp_replace("body", r"^\s+|\s+$", ""), 1, KEPT_VIEW).alias("definition"), F.array_join(sources(F.col("body")), ",").alias("sources"))
+    text = F.regexp_replace("clause", r"^\s+|\s+$", "")
+    return _of(texts, "view").select("source_file", "schema", F.col("tbl").alias("view"), F.substring(text, 1, KEPT_VIEW).alias("definition"), F.array_join(sources(F.col("clause")), ",").alias("sources"))
 
 
 def triggers(texts: DataFrame) -> DataFrame:
     """Both orders, ON table AFTER event and AFTER event ON table."""
-    event = r"((?:INSERT|UPDATE|DELETE)(?:\s*(?:,|\bOR\b)\s*(?:INSERT|UPDATE|DELETE))*)"
-    create, timing = rf"(?i)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?TRIGGER\s+{NAME}\s+", r"(AFTER|BEFORE|INSTEAD\s+OF|FOR)"
-    a = _all(texts, rf"{create}ON\s+{NAME}\s+{timing}\s+{event}", {"trg": 2, "tbl": 4, "timing": 5, "events": 6})
-    b = _all(texts, rf"{create}{timing}\s+{event}\s+ON\s+{NAME}", {"trg": 2, "tbl": 6, "timing": 3, "events": 4})
-    ev = F.array_join(F.array_sort(F.split(F.upper(F.regexp_replace("events", r"(?i)\s*(?:,|\bOR\b)\s*", ",")), ",")), ",")
-    return a.unionByName(b).select("source_file", bare(F.col("trg")).alias("trg"), bare(F.col("tbl")).alias("tbl"), F.upper(F.regexp_replace("timing", r"\s+", " ")).alias("timing"), ev.alias("events"))
+    found = rf"(?i)\s({_TIMING})\s+({_EVENT})(?:\s+ON\s|\s*$)"
+    events = F.regexp_replace(F.regexp_extract("clause", found, 2), r"(?i)\s*(?:,|\bOR\b)\s*", ",")
+    timing = F.upper(F.regexp_replace(F.regexp_extract("clause", found, 1), r"\s+", " "))
+    return _of(texts, "trigger").select("source_file", F.col("constraint").alias("trg"), "tbl", timing.alias("timing"), F.array_join(F.array_sort(F.split(F.upper(events), ",")), ",").alias("events"))
 
 
-def procedures(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+def procedures(texts: DataFrame) -> DataFrame:
     """Schema, name, kind and body of CREATE [OR ALTER | OR REPLACE] PROCEDURE and FUNCTION, up to a line's GO or the
     next CREATE; KEPT_BODY characters of it."""
-    rows = _all(texts, rf"(?is)\bCREATE\s+(?:OR\s+(?:ALTER|REPLACE)\s+)?(?:DEFINER\s*=\s*\S+\s+)?(PROC(?:EDURE)?|FUNCTION)\s+{NAME}(.*?)(?=\bGO\b\s*\n|\bGO\b\s*\z|\bCREATE\s|\z)", {"kind": 1, "s": 2, "proc": 3, "body": 4})
-    return rows.select("source_file", _schema("s", default_schema).alias("schema"), bare(F.col("proc")).alias("proc"), F.when(F.upper("kind").startswith("PROC"), "PROCEDURE").otherwise("FUNCTION").alias("proc_type"), F.substring("body", 1, KEPT_BODY).alias("body"))
+    kind = F.when(F.upper("constraint").startswith("PROC"), "PROCEDURE").otherwise("FUNCTION")
+    return _of(texts, "procedure").select("source_file", "schema", F.col("tbl").alias("proc"), kind.alias("proc_type"), F.substring("clause", 1, KEPT_BODY).alias("body"))
 
 
 def parameters(procs: DataFrame) -> DataFrame:
@@ -246,16 +299,16 @@ def parameters(procs: DataFrame) -> DataFrame:
 
 def summary(texts: DataFrame) -> DataFrame:
     """(kind, n): how many objects of each kind the scripts define."""
-    parts = table_clauses(texts)
+    parts = cut(statements(texts))
     each = [
         parts.where("origin = 'create'").select("source_file", "schema", "tbl").distinct().select(F.lit("table").alias("kind")),
         parts.where("origin = 'create' AND kind = 'column'").select(F.lit("column")),
         constraints(parts).select(F.lit("constraint")),
         foreign_keys(parts).select(F.lit("foreign_key")),
-        indexes(texts).select(F.lit("index")),
-        views(texts).select(F.lit("view")),
-        procedures(texts).select(F.lower("proc_type")),
-        triggers(texts).select(F.lit("trigger")),
+        indexes(parts).select(F.lit("index")),
+        views(parts).select(F.lit("view")),
+        procedures(parts).select(F.lower("proc_type")),
+        triggers(parts).select(F.lit("trigger")),
     ]
     out = each[0]
     for e in each[1:]:

@@ -1,7 +1,7 @@
 """Graph operators over edges (src, dst, kind, pos).
 
-Chains are bounded and unrolled as joins; cycles and closures run rounds to their end, each a written table, so a lost executor costs
-no more than a round. Nothing but row counts reaches the driver.
+Paths, components and distances are in metaloom.operators.paths. Rounds are written tables, so a lost executor costs no more
+than a round. Nothing but row counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,59 +11,10 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.operators.paths import ancestor_counts, chains, components, cycles, distances, simple  # noqa: F401
 from metaloom.sources.scratch import cut
 
-MAX_NODES, START_TABLES, HUB_DEGREE = 6, 30, 4
-
-
-def simple(edges: DataFrame) -> DataFrame:
-    """One edge for each (src, dst), the last one written."""
-    return edges.groupBy("src", "dst").agg(F.max_by("kind", "pos").alias("kind"))
-
-
-def chains(edges: DataFrame, starts: int = START_TABLES, max_nodes: int = MAX_NODES) -> DataFrame:
-    """Simple paths from the first start nodes by name up to a node without out-edges or max_nodes nodes. A path
-    whose every successor lies on it is dropped. path, kinds, depth, has_write, risk."""
-    step = cut(simple(edges)).select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("kind").alias("k"))
-    sources = step.select("s").distinct()
-    nodes = sources.union(step.select("d")).distinct()
-    first = nodes.orderBy("s").limit(starts)
-    paths = first.select(F.array("s").alias("path"), F.array().cast("array<string>").alias("kinds"))
-    out = None
-    for n in range(2, max_nodes + 1):
-        grown = paths.join(step, F.element_at("path", -1) == F.col("s")).where(~F.array_contains("path", F.col("d")))
-        paths = grown.select(F.array_append("path", F.col("d")).alias("path"), F.array_append("kinds", F.col("k")).alias("kinds"))
-        done = paths if n == max_nodes else paths.join(sources, F.element_at("path", -1) == F.col("s"), "left_anti")
-        out = done if out is None else out.union(done)
-    write = F.array_contains("kinds", "write")
-    return out.select(F.array_join("path", "→").alias("path"), F.array_join("kinds", ",").alias("kinds"), (F.size("path") - 1).alias("depth"), write.alias("has_write"), F.when(write, "MEDIUM").otherwise("LOW").alias("risk"))
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """Simple cycles of any length, each once, starting at its smallest node. Rounds run until no path is left."""
-    step = cut(edges.select("src", "dst").distinct()).select(F.col("src").alias("s"), F.col("dst").alias("d"))
-    paths = cut(step.where("s <= d").select(F.array("s").alias("path"), "d"))
-    out = None
-    while out is None or not paths.isEmpty():
-        closed = paths.where(F.col("d") == F.element_at("path", 1)).select(F.array_join("path", "→").alias("cycle"), F.size("path").alias("length"))
-        out = closed if out is None else out.union(closed)
-        open_ = paths.where((F.col("d") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("d")))
-        paths = cut(open_.select(F.array_append("path", F.col("d")).alias("path")).join(step, F.element_at("path", -1) == F.col("s")).select("path", "d"))
-    return out
-
-
-def distances(edges: DataFrame) -> DataFrame:
-    """Src, dst, distance (fewest edges) for each pair of different nodes that a path joins."""
-    step = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    known = cut(step.withColumn("distance", F.lit(1)))
-    front = known
-    for n in count(2):
-        reach = front.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
-        front = cut(reach.join(known, ["src", "dst"], "left_anti").withColumn("distance", F.lit(n)))
-        if front.isEmpty():
-            break
-        known = cut(known.union(front))
-    return known
+HUB_DEGREE = 4
 
 
 def ego(edges: DataFrame, center: str, radius: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metaloom.operators.paths import chains
+
 ROLES = ("read_by", "written_by", "deleted_by", "fk_parents", "fk_children")
 
 
@@ -61,9 +63,21 @@ def duplicate_readers(edges_: DataFrame, least: int = 3) -> DataFrame:
     return rows.join(many, "tbl")
 
 
-def totals(tables: DataFrame, views: DataFrame, procs: DataFrame, edges_: DataFrame) -> DataFrame:
-    """(what, n): edges by kind, tables, views and procedures."""
-    each = [edges_.select(F.col("edge").alias("what")), tables.select("tbl").distinct().select(F.lit("tables")), views.select("view").distinct().select(F.lit("views")), procs.select("proc").distinct().select(F.lit("procedures"))]
+WRITES = ("proc_writes", "proc_deletes")
+_KINDS = ("view_reads", "view_reads_view", "proc_reads", "proc_writes", "proc_deletes", "fk_reference")
+
+
+def lineage_chains(tables: DataFrame, edges_: DataFrame, **how) -> DataFrame:
+    """G02 over G01's edges, from the first tables by name. Of parallel edges the last kind counts: deletes before writes."""
+    kinds = F.array(*map(F.lit, _KINDS))
+    typed = edges_.select("src", "dst", F.col("edge").alias("kind"), F.array_position(kinds, F.col("edge")).alias("pos"))
+    return chains(typed, writes=WRITES, first=tables.select(F.col("tbl").alias("node")), **how)
+
+
+def totals(tables: DataFrame, views: DataFrame, procs: DataFrame, edges_: DataFrame, chains_: DataFrame | None = None) -> DataFrame:
+    """(what, n): edges by kind, tables, views and procedures, and chains."""
+    each = [chains_.select(F.lit("chains").alias("what"))] if chains_ is not None else []
+    each += [edges_.select(F.col("edge").alias("what")), tables.select("tbl").distinct().select(F.lit("tables")), views.select("view").distinct().select(F.lit("views")), procs.select("proc").distinct().select(F.lit("procedures"))]
     out = each[0]
     for e in each[1:]:
         out = out.union(e)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaloom.operators import ddl as D
 from metaloom.plans.registry import add
-from metaloom.sources.scratch import new_dir
+from metaloom.sources.scratch import cut, new_dir
 
 #: The script of a part, in SQL that both engines read; q is a single quote, nl a line feed.
 _PIECES = (
@@ -16,7 +16,7 @@ _PIECES = (
     "'  \"kind' || s || '\" \"nvarchar\" (' || s || ') DEFAULT ' || q || '--no, (' || brand || q || ',' || nl",
     "'  `Price` decimal(' || (10 + p_size) || ',2) NOT NULL CONSTRAINT df DEFAULT ((0)),' || nl",
     "'  email varchar(' || s || ') UNIQUE, other_id int REFERENCES shop.U' || k || '(Id) ON UPDATE CASCADE,' || nl",
-    "'  CONSTRAINT pk' || k || ' PRIMARY KEY CLUSTERED ([Id], `Price`), UNIQUE (\"kind' || s || '\"),' || nl",
+    "'  CONSTRAINT pk' || k || ' PRIMARY KEY CLUSTERED ([Id] ASC, `Price` DESC), UNIQUE (\"kind' || s || '\"),' || nl",
     "'  CONSTRAINT ck CHECK (Price > (' || s || ')), KEY ix (email)' || nl || ')' || nl || 'GO' || nl",
     "'create table if not exists shop.U' || k || ' (Id int unsigned, Name text, No int)' || nl || 'GO' || nl",
     "'ALTER TABLE shop.U' || k || ' WITH CHECK ADD CONSTRAINT pu' || k || ' PRIMARY KEY (Id), CONSTRAINT fu' || k || ' FOREIGN KEY (No, Id) REFERENCES [dbo].[T' || k || '] (Id, Price) ON DELETE ' || act || nl || 'GO' || nl",
@@ -24,8 +24,10 @@ _PIECES = (
     "'CREATE OR ALTER VIEW shop.V' || k || ' (a) AS SELECT * FROM [dbo].[T' || k || '] t JOIN U' || k || ' u ON t.Id = u.Id JOIN #tmp x ON 1 = 1' || nl || 'GO' || nl",
     "'CREATE TRIGGER trA' || k || ' ON [dbo].[T' || k || '] AFTER INSERT, UPDATE AS RETURN' || nl || 'GO' || nl",
     "'CREATE TRIGGER trB' || k || ' BEFORE DELETE ON shop.U' || k || ' FOR EACH ROW' || nl || 'GO' || nl",
-    "'CREATE OR REPLACE PROCEDURE [dbo].[P' || k || '] @id int, @name varchar(' || s || ') = ' || q || 'x' || q || ', @out int OUTPUT AS UPDATE T' || k || ' SET No = 1' || nl || 'GO' || nl",
+    "'CREATE OR REPLACE PROCEDURE [dbo].[P' || k || '] @id int, @name varchar(' || s || ') = ' || q || 'x' || q || ', @out int OUTPUT AS UPDATE T' || k || ' SET No = 1 EXEC Log' || (p_size % 7) || nl || 'GO' || nl",
     "'CREATE FUNCTION F' || k || ' (IN a int, OUT b varchar(' || s || '), c decimal(9,2)) RETURNS int AS RETURN 1' || nl",
+    "'GO' || nl || 'INSERT INTO notes VALUES (' || q || 'CREATE TABLE Ghost (x int)' || q || ')' || nl",
+    "CASE WHEN p_size % 5 = 0 THEN 'GO' || nl || 'CREATE TABLE shop.T' || k || ' (Id int, email text)' || nl ELSE '' END",
 )
 _FACTS = ("CAST(p_partkey AS string) AS k", "CAST(p_size AS string) AS s", "p_brand AS brand", "CASE WHEN p_size % 2 = 0 THEN 'SET NULL' ELSE 'CASCADE' END AS act", "CASE WHEN p_size % 3 = 0 THEN 'UNIQUE ' ELSE '' END AS uni", "chr(39) AS q", "chr(10) AS nl", "p_partkey", "p_size")
 _SQL = f"WITH p AS (SELECT {', '.join(_FACTS)} FROM part) "
@@ -36,18 +38,23 @@ def texts(s, d):
 
 
 def _each(*rows: str) -> str:
-    """A SELECT for each row that a part's script yields."""
-    return _SQL + " UNION ALL ".join(f"SELECT {r} FROM p" for r in rows)
+    """A SELECT for each row that a part's script yields; a row after ?? only comes from scripts of every fifth size."""
+    return _SQL + " UNION ALL ".join(f"SELECT {r.removeprefix('??')} FROM p" + " WHERE p_size % 5 = 0" * r.startswith("??") for r in rows)
 
 
 def parts(s, d):
-    return D.table_clauses(texts(s, d))
+    """All statements of the scripts, cut once."""
+    return cut(D.statements(texts(s, d)))
+
+
+def columns(found):
+    return D.columns(found, D.indexes(found))
 
 
 add("P01_comments", lambda s, d: s.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "'SELECT ' || chr(39) || p_name || '--x' || chr(39) || ' -- ' || p_type || chr(10) || '/* ' || p_brand || chr(10) || ' */FROM [a--b] WHERE a - b / c' AS sql").select("p_partkey", D.without_comments(F.col("sql")).alias("clean")), "SELECT p_partkey, 'SELECT ' || chr(39) || p_name || '--x' || chr(39) || ' ' || chr(10) || ' FROM [a--b] WHERE a - b / c' AS clean FROM part")
-add("P02_P05_tables", lambda s, d: parts(s, d).where("origin = 'create'").groupBy("schema", "tbl", "line").agg(F.count_if(F.col("kind") == "column").alias("n_columns"), F.count(F.lit(1)).alias("n_clauses")), _each("'dbo' AS schema, 'T' || k AS tbl, 3 AS line, 5 AS n_columns, 9 AS n_clauses", "'shop', 'U' || k, 12, 3, 3"))
+add("P02_P05_tables", lambda s, d: parts(s, d).where("origin = 'create'").groupBy("schema", "tbl", "line").agg(F.count_if(F.col("kind") == "column").alias("n_columns"), F.count(F.lit(1)).alias("n_clauses")), _each("'dbo' AS schema, 'T' || k AS tbl, 3 AS line, 5 AS n_columns, 9 AS n_clauses", "'shop', 'U' || k, 12, 3, 3", "??'shop', 'T' || k, 29, 2, 2"))
 _COLUMN = "tbl, ordinal, name, raw_type, norm_type, max_length, precision, scale, is_nullable, is_pk, is_unique, is_identity, is_indexed, default_value, risk".split(", ")
-add("P06_columns", lambda s, d: D.columns(parts(s, d), D.indexes(texts(s, d))).select(*_COLUMN), _each(
+add("P06_columns", lambda s, d: columns(parts(s, d)).select(*_COLUMN), _each(
     "'T' || k AS tbl, 0 AS ordinal, 'Id' AS name, 'int' AS raw_type, 'integer' AS norm_type, CAST(NULL AS INTEGER) AS max_length, CAST(NULL AS INTEGER) AS precision, CAST(NULL AS INTEGER) AS scale, false AS is_nullable, true AS is_pk, false AS is_unique, true AS is_identity, true AS is_indexed, '' AS default_value, CAST(NULL AS VARCHAR) AS risk",
     "'T' || k, 1, 'kind' || s, 'nvarchar (' || s || ')', 'string', p_size, NULL, NULL, true, false, true, false, false, q || '--no, (' || brand || q, NULL",
     "'T' || k, 2, 'Price', 'decimal(' || (10 + p_size) || ',2)', 'decimal', NULL, 10 + p_size, 2, false, true, false, false, true, '((0))', NULL",
@@ -56,14 +63,16 @@ add("P06_columns", lambda s, d: D.columns(parts(s, d), D.indexes(texts(s, d))).s
     "'U' || k, 0, 'Id', 'int unsigned', 'integer', NULL, NULL, NULL, true, true, false, false, true, '', NULL",
     "'U' || k, 1, 'Name', 'text', 'string', NULL, NULL, NULL, true, false, false, false, true, '', 'low'",
     "'U' || k, 2, 'No', 'int', 'integer', NULL, NULL, NULL, true, false, false, false, true, '', NULL",
+    "??'T' || k, 0, 'Id', 'int', 'integer', NULL, NULL, NULL, true, false, false, false, false, '', NULL",
+    "??'T' || k, 1, 'email', 'text', 'string', NULL, NULL, NULL, true, false, false, false, false, '', 'medium'",
 ))
-add("P07_P16_constraints", lambda s, d: D.constraints(parts(s, d)).drop("source_file"), _each("'T' || k AS tbl, 'pk' AS kind, 'pk' || k AS name, 'Id,Price' AS cols, '' AS \"check\"", "'T' || k, 'unique', '', 'kind' || s, ''", "'T' || k, 'check', 'ck', '', 'Price > (' || s || ')'", "'U' || k, 'pk', 'pu' || k, 'Id', ''"))
+add("P07_P16_constraints", lambda s, d: D.constraints(parts(s, d)).drop("source_file", "schema"), _each("'T' || k AS tbl, 'pk' AS kind, 'pk' || k AS name, 'Id,Price' AS cols, '' AS \"check\"", "'T' || k, 'unique', '', 'kind' || s, ''", "'T' || k, 'check', 'ck', '', 'Price > (' || s || ')'", "'U' || k, 'pk', 'pu' || k, 'Id', ''"))
 add("P08_P16_foreign_keys", lambda s, d: D.foreign_keys(parts(s, d)).drop("source_file"), _each("'T' || k AS tbl, '' AS name, 'other_id' AS cols, 'U' || k AS ref_tbl, 'Id' AS ref_cols, 'NO ACTION' AS on_delete, 'CASCADE' AS on_update", "'U' || k, 'fu' || k, 'No,Id', 'T' || k, 'Id,Price', act, 'NO ACTION'"))
-add("P09_indexes", lambda s, d: D.indexes(texts(s, d)).drop("source_file"), _each("'ix' || k AS idx, 'U' || k AS tbl, 'No,Name' AS cols, p_size % 3 = 0 AS is_unique"))
+add("P09_indexes", lambda s, d: D.indexes(texts(s, d)).drop("source_file", "schema"), _each("'ix' || k AS idx, 'U' || k AS tbl, 'No,Name' AS cols, p_size % 3 = 0 AS is_unique"))
 add("P10_P13_views", lambda s, d: D.views(texts(s, d)).drop("source_file"), _each("'shop' AS schema, 'V' || k AS view, 'SELECT * FROM [dbo].[T' || k || '] t JOIN U' || k || ' u ON t.Id = u.Id JOIN #tmp x ON 1 = 1' AS definition, 'T' || k || ',U' || k AS sources"))
 add("P15_triggers", lambda s, d: D.triggers(texts(s, d)).drop("source_file"), _each("'trA' || k AS trg, 'T' || k AS tbl, 'AFTER' AS timing, 'INSERT,UPDATE' AS events", "'trB' || k, 'U' || k, 'BEFORE', 'DELETE'"))
 add("P11_P12_procedures", lambda s, d: (lambda p: p.select("schema", "proc", "proc_type").join(D.parameters(p), "proc"))(D.procedures(texts(s, d))), _each("'dbo' AS schema, 'P' || k AS proc, 'PROCEDURE' AS proc_type, 0 AS pos, '@id' AS name, 'int' AS raw_type, 'IN' AS direction, '' AS default_value", "'dbo', 'P' || k, 'PROCEDURE', 1, '@name', 'varchar(' || s || ')', 'IN', q || 'x' || q", "'dbo', 'P' || k, 'PROCEDURE', 2, '@out', 'int', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 0, 'a', 'int', 'IN', ''", "'dbo', 'F' || k, 'FUNCTION', 1, 'b', 'varchar(' || s || ')', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 2, 'c', 'decimal(9,2)', 'IN', ''"))
-add("A02_ddl_summary", lambda s, d: D.summary(texts(s, d)), "SELECT kind, count(*) * n AS n FROM part, (VALUES ('table', 2), ('column', 8), ('constraint', 4), ('foreign_key', 2), ('index', 1), ('view', 1), ('procedure', 1), ('function', 1), ('trigger', 2)) AS t(kind, n) GROUP BY kind, n")
+add("A02_ddl_summary", lambda s, d: D.summary(texts(s, d)), "SELECT kind, CAST(count(*) * n + m * count(*) FILTER (p_size % 5 = 0) AS BIGINT) AS n FROM part, (VALUES ('table', 2, 1), ('column', 8, 2), ('constraint', 4, 0), ('foreign_key', 2, 0), ('index', 1, 0), ('view', 1, 0), ('procedure', 1, 0), ('function', 1, 0), ('trigger', 2, 0)) AS t(kind, n, m) GROUP BY kind, n, m")
 
 
 def script_files(s, d):
@@ -73,7 +82,7 @@ def script_files(s, d):
     return D.table_clauses(D.scripts(s, out, "part-*")).where("kind = 'column' AND origin = 'create'").groupBy("schema").agg(F.count(F.lit(1)).alias("n_columns"), F.countDistinct("tbl").alias("n_tables"))
 
 
-add("S02_S03_script_files", script_files, "SELECT 'dbo' AS schema, 5 * count(*) AS n_columns, count(*) AS n_tables FROM part UNION ALL SELECT 'shop', 3 * count(*), count(*) FROM part")
+add("S02_S03_script_files", script_files, "SELECT 'dbo' AS schema, 5 * count(*) AS n_columns, count(*) AS n_tables FROM part UNION ALL SELECT 'shop', 3 * count(*) + 2 * count(*) FILTER (p_size % 5 = 0), count(*) + count(*) FILTER (p_size % 5 = 0) FROM part")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
