@@ -22,6 +22,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +43,10 @@ HEX = re.compile(rb"[0-9a-f]{16,}")  # the maximal runs of [0-9a-f]+ with 16 cha
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: A JSON object's first byte is 0x7B, so its base64 begins with e and one of the last 16 digits.
 SIGNED = re.compile(rb"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s|\\[rn])*(?:[A-Za-z0-9-]{1,40}: [^\n\\]{0,200}(?:\n|\\[rn])+)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+PEM_EDGE = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: What stands before a key's digits; nothing is given back, so that white space is read once.
+PEM_HEAD = re.compile(rb"(?:\s|\\[rn])*+(?:[A-Za-z0-9-]{1,40}: [^\n\\]{0,200}(?:\n|\\[rn])++)*+")
+PEM_BODY = re.compile(rb"(?:[A-Za-z0-9+/=\s]|\\[rn])++")
 ENCRYPTED = re.compile(rb"Proc-Type: 4,ENCRYPTED\b.*DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}", re.S)
 LINE_END = rb"(?:\r?\n[ \t]*|(?:\\r)?\\n)"
 RUN64 = re.compile(rb"[A-Za-z0-9+/]{40,}(?:" + LINE_END + rb"[A-Za-z0-9+/]+)*={0,2}")
@@ -83,10 +87,12 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
-def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC1 or DSA private key: one SEQUENCE over all bytes with the fields of that kind, lengths nested."""
-    top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+def is_der_private_key(data: bytes, start: int = 0, stop: int | None = None) -> bool:
+    """PKCS#1, PKCS#8, SEC1 or DSA private key: one SEQUENCE over all bytes from start to stop with the fields of that kind,
+    lengths nested. Values are stepped over, so the time does not go with their lengths."""
+    stop = len(data) if stop is None else stop
+    top = _tlv(data, start, stop)
+    if top is None or top[0] != 0x30 or top[2] != stop:
         return False
     parts = _children(data, top[1], top[2])
     if not parts:
@@ -110,31 +116,43 @@ def is_der_private_key(data: bytes) -> bool:
     return False
 
 
-def openssh_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key at the start: the magic, then cipher, kdf and kdf options, a count, as many public
+def openssh_size(data: bytes, start: int = 0) -> int:
+    """Bytes of the OpenSSH private key from start on: the magic, then cipher, kdf and kdf options, a count, as many public
     keys and the private part, all by length; 0 if there is none."""
-    if not data.startswith(OPENSSH):
+    if not data.startswith(OPENSSH, start):
         return 0
-    at, fields = len(OPENSSH), []
+    at, stop = start + len(OPENSSH), len(data)
 
-    def string() -> bytes | None:
+    def string() -> int:
+        """Steps over a string; its length, or -1 where it does not fit."""
         nonlocal at
-        if at + 4 > len(data):
-            return None
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
+        if at + 4 + n > stop:
+            return -1
         at += 4 + n
-        return data[at - n : at]
+        return n
 
-    for _ in range(3):
-        fields.append(string())
-    if None in fields or at + 4 > len(data) or not fields[0] or not fields[1]:
+    if string() <= 0 or string() <= 0 or string() < 0 or at + 4 > stop:
         return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
         return 0
-    return at if all(string() for _ in range(keys + 1)) else 0
+    return at - start if all(string() > 0 for _ in range(keys + 1)) else 0
+
+
+class Decoded:
+    """A run of digits decoded once from each place within a group of digits (4 digits are 3 bytes in base64, 2 are 1 in
+    hexadecimal), whatever the number of keys that seem to begin in it."""
+
+    def __init__(self, run: bytes, decode: Callable[[bytes], bytes], group: int, size: int) -> None:
+        self.run, self.decode, self.group, self.size, self.kept = run, decode, group, size, {}
+
+    def at(self, start: int) -> tuple[bytes, int]:
+        """(bytes, place among them of the digit at start)."""
+        shift = start % self.group
+        if shift not in self.kept:
+            self.kept[shift] = self.decode(self.run[shift:])
+        return self.kept[shift], (start - shift) // self.group * self.size
 
 
 def _sequence_size(head: bytes) -> int:
@@ -149,16 +167,18 @@ def _sequence_size(head: bytes) -> int:
     return 2 + n + size if first == b"\x02\x01" or first[0] == 0x30 else 0
 
 
-def _keys(run: bytes, starts: re.Pattern, decode: Callable[[bytes], bytes], digits: Callable[[int], int]) -> Iterator[tuple[int, int]]:
+def _keys(run: bytes, starts: re.Pattern, decoded: Decoded, digits: Callable[[int], int]) -> Iterator[tuple[int, int]]:
     """(start, end) of the DER keys in a run of digits."""
     at = 0
     while m := starts.search(run, at):
         at = m.start() + 1
-        size = _sequence_size(decode(run[m.start() : m.start() + 16]))
+        size = _sequence_size(decoded.decode(run[m.start() : m.start() + 16]))
         end = m.start() + digits(size)
-        if size >= 24 and end <= len(run) and is_der_private_key(decode(run[m.start() : end])[:size]):
-            yield m.start(), end
-            at = end
+        if size >= 24 and end <= len(run):
+            data, place = decoded.at(m.start())
+            if place + size <= len(data) and is_der_private_key(data, place, place + size):
+                yield m.start(), end
+                at = end
 
 
 def _unbase64(run: bytes) -> bytes:
@@ -194,11 +214,12 @@ def _keys64(block: bytes) -> Iterator[tuple[int, int, int]]:
             inside[a:b] = False
         places = np.nonzero(inside)[0]
         run = np.frombuffer(block, np.uint8)[places].tobytes()
-    found = [(a, b, 5) for a, b in _keys(run, START64, _unbase64, lambda n: -(-n * 4 // 3))]
+    decoded = Decoded(run, _unbase64, 4, 3)
+    found = [(a, b, 5) for a, b in _keys(run, START64, decoded, lambda n: -(-n * 4 // 3))]
     at = run.find(MAGIC64)
     while at >= 0:
         name = int.from_bytes(_unbase64(run[at : at + 28])[15:19], "big")  # bytes of the cipher's name
-        if 1 <= name <= 64 and (size := openssh_size(_unbase64(run[at:]))):
+        if 1 <= name <= 64 and (size := openssh_size(*decoded.at(at))):
             found.append((at, at - (-size * 4 // 3), 6))
         at = run.find(MAGIC64, at + 1)
     for a, b, kind in found:
@@ -215,6 +236,17 @@ def _is_pem_key(header: bytes, body: bytes) -> bool:
     return is_der_private_key(data) or openssh_size(data) == len(data) > 0
 
 
+def _pem_blocks(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the private keys between BEGIN and END lines of one name, without another such line between."""
+    begin = None
+    for m in PEM_EDGE.finditer(raw):
+        if m[1] == b"END" and begin is not None and begin[2] == m[2]:
+            head = PEM_HEAD.match(raw, begin.end(), m.start())
+            if PEM_BODY.fullmatch(raw, head.end(), m.start()) and _is_pem_key(head[0], raw[head.end() : m.start()]):
+                yield begin.start(), m.end()
+        begin = m if m[1] == b"BEGIN" else None
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, number of the kind) of a whole text, in order."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -229,13 +261,15 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), m.end(), 3) for m in SIGNED.finditer(raw) if is_signed_token(m[1], m[2])]
     blocks = []
     if b"-----BEGIN " in raw:
-        blocks = [(m.start(), m.end()) for m in PEM.finditer(raw) if _is_pem_key(m[2], m[3])]
+        blocks = list(_pem_blocks(raw))
         found += [(a, b, 4) for a, b in blocks]
+    begins = [a for a, _ in blocks]
     for m in RUN64.finditer(raw):
-        if not any(a <= m.start() < b for a, b in blocks):
+        block = bisect_right(begins, m.start()) - 1
+        if block < 0 or m.start() >= blocks[block][1]:
             found += [(m.start() + a, m.start() + b, kind) for a, b, kind in _keys64(m[0])]
     for m in RUN16.finditer(raw):
-        found += [(m.start() + a, m.start() + b, 5) for a, b in _keys(m[0], START16, _unhex, lambda n: 2 * n)]
+        found += [(m.start() + a, m.start() + b, 5) for a, b in _keys(m[0], START16, Decoded(m[0], _unhex, 2, 1), lambda n: 2 * n)]
     found = sorted(set(found), key=lambda s: (s[0], s[2], s[1]))
     if found and len(raw) != len(text or ""):
         points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
