@@ -3,11 +3,15 @@ resolution, adapter choice, and catalogs in and out of files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.scalar import confidence_rank
 from metaloom.operators import relations as R
+from metaloom.sources.scratch import cut, keep, workspace
 
 EXTERNAL = ("Card", "AspNetUser", "IdentityUser")
 #: Adapters with what a project needs for them, in their order; the first is the fallback.
@@ -183,16 +187,57 @@ def load(spark: SparkSession, path: str, schema: str, form: str = "json") -> Dat
     return spark.read.schema(schema).format(form).load(path)
 
 
-def sqlite_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Columns (tbl, ordinal, name, raw_type, is_nullable, is_pk, default_value) and keys (tbl, no, col, ref_tbl,
-    ref_col, on_delete, on_update) of a SQLite file that the driver can open; a catalog's rows, not its data."""
-    import sqlite3
-
-    con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    try:
-        tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-        cols = [(t, c[0], c[1], c[2] or "", not c[3] and not c[5], bool(c[5]), c[4]) for t in tables for c in con.execute(f'PRAGMA table_info("{t}")')]
-        keys = [(t, k[0], k[3], k[2], k[4], k[6], k[5]) for t in tables for k in con.execute(f'PRAGMA foreign_key_list("{t}")')]
-    finally:
-        con.close()
-    return spark.createDataFrame(cols, "tbl string, ordinal int, name string, raw_type string, is_nullable boolean, is_pk boolean, default_value string"), spark.createDataFrame(keys, "tbl string, no int, col string, ref_tbl string, ref_col string, on_delete string, on_update string")
+def _sqlite(files: DataFrame, schema: str, rows: Callable) -> DataFrame:
+    """(path, *schema) of the rows that a SQLite file gives for each of its tables; files: path, content."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.strip().split(" ") for f in f"path string, {schema}".split(",")]
+    target = pa.schema([(n, kinds[t]) for n, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sqlite3
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                con = sqlite3.connect(":memory:")
+                try:
+                    con.deserialize(content)
+                    tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
+                    found = [(path, t, *r) for t in tables for r in rows(con, '"' + t.replace('"', '""') + '"')]
+                finally:
+                    con.close()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), target)], schema=target)
+
+    return files.select("path", "content").mapInArrow(run, f"path string, {schema}")
+
+
+def sqlite_columns(files: DataFrame) -> DataFrame:
+    """(path, tbl, ordinal, name, raw_type, is_nullable, is_pk, default_value) of SQLite files (path, content), as
+    spark.read.format("binaryFile") gives them: each is opened in a task, only its catalog is read."""
+    return _sqlite(files, "tbl string, ordinal int, name string, raw_type string, is_nullable boolean, is_pk boolean, default_value string", lambda con, t: [(c[0], c[1], c[2] or "", not c[3] and not c[5], bool(c[5]), c[4]) for c in con.execute(f"PRAGMA table_info({t})")])
+
+
+def sqlite_keys(files: DataFrame) -> DataFrame:
+    """(path, tbl, no, col, ref_tbl, ref_col, on_delete, on_update) of SQLite files (path, content)."""
+    return _sqlite(files, "tbl string, no int, col string, ref_tbl string, ref_col string, on_delete string, on_update string", lambda con, t: [(k[0], k[3], k[2], k[4], k[6], k[5]) for k in con.execute(f"PRAGMA foreign_key_list({t})")])
+
+
+def resolved_aliases(names: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(name, resolved, is_cycle) of aliases (name, target), through chains of any length; a name that leads into a
+    cycle resolves to null. Pointers double each round, so a chain of n takes log n rounds; what still points to an alias
+    after as many rounds as the number of aliases needs is on its way round a cycle. Of several targets the least counts."""
+    with workspace(names.sparkSession):
+        now = cut(names.where("name IS NOT NULL").groupBy("name").agg(F.min("target").alias("to")))
+        n = 1
+        total = now.count()
+        while n <= total:
+            step = now.select(F.col("name").alias("to"), F.col("to").alias("next"))
+            now = cut(now.join(step, "to", "left").select("name", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            left, n = now.where("moved").count(), 2 * n
+            if rounds is not None:
+                rounds.append(left)
+            now = now.select("name", "to")
+            if not left:
+                break
+        known = now.select(F.col("name").alias("to"), F.lit(True).alias("again"))
+        return keep(now.join(known, "to", "left").select("name", F.when(F.col("again").isNull(), F.col("to")).alias("resolved"), F.col("again").isNotNull().alias("is_cycle")))

@@ -244,7 +244,7 @@ def foreign_keys(parts: DataFrame) -> DataFrame:
         found = F.upper(F.regexp_replace(F.regexp_extract("clause", rf"(?i)ON\s+{event}\s+(CASCADE|SET\s+NULL|SET\s+DEFAULT|RESTRICT|NO\s+ACTION)", 1), r"\s+", " "))
         return F.when(found == "", "NO ACTION").otherwise(found)
 
-    return c.select("source_file", "tbl", F.when(F.col("kind") == "fk", F.col("constraint")).otherwise("").alias("name"), F.when(listed == "", inline).otherwise(listed).alias("cols"), ref.alias("ref_tbl"), ref_cols.alias("ref_cols"), action("DELETE").alias("on_delete"), action("UPDATE").alias("on_update"))
+    return c.select("source_file", "schema", "tbl", F.when(F.col("kind") == "fk", F.col("constraint")).otherwise("").alias("name"), F.when(listed == "", inline).otherwise(listed).alias("cols"), ref.alias("ref_tbl"), ref_cols.alias("ref_cols"), action("DELETE").alias("on_delete"), action("UPDATE").alias("on_update"))
 
 
 def indexes(texts: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from metaloom.operators.graph import cycles
 
+#: Names from outside a model; relations may also point to the name for none.
 EXTERNAL = ("Card", "AspNetUser", "IdentityUser")
+NO_ENTITY = "Unknown"
 
 
 def orphaned_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def orphaned_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
 def unresolved_targets(rels: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations to a target that is neither an entity nor external."""
     known = entities.select(F.col("entity").alias("target")).distinct()
-    return rels.where(~F.col("target").isin(*EXTERNAL)).join(known, "target", "left_anti").select("source", "target", "via")
+    return rels.where(~F.col("target").isin(*EXTERNAL, NO_ENTITY)).join(known, "target", "left_anti").select("source", "target", "via")
 
 
 def missing_navigation(fields: DataFrame, entities: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.operators.ranks import first_per_group, running_sums
+
 from metaloom.functions.scalar import matches
 
 #: Folders to skip; languages by extension, with those that count as primary; packages that name frameworks.
@@ -151,6 +153,39 @@ def source_sample(files: DataFrame, k: int = 30, chars: int = 2000) -> DataFrame
     return listed(files).where("path LIKE '%.cs'").orderBy("path").limit(k).select("path", F.substring("text", 1, chars).alias("sample"))
 
 
+#: The globs of a signal sample, files of packages and settings before sources.
+PRIORITY_GLOBS = ("*.csproj", "pom.xml", "build.gradle", "build.gradle.kts", "requirements.txt", "pyproject.toml", "Pipfile", "package.json", "appsettings*.json", "application*.properties", "application*.yml", "docker-compose*.yml")
+SOURCE_GLOBS = ("*.cs", "*.java", "*.py", "*.ts", "*.js", "*.kt", "*.sql")
+PRIORITY_CHARS, SOURCE_CHARS, SOURCES_PER_GLOB, SOURCES, SAMPLE_CHARS = 20_000, 10_000, 15, 30, 500_000
+
+
+def _globbed(files: DataFrame, globs: tuple[str, ...]) -> DataFrame:
+    """A row for each file and glob that fits its name; place is the glob's."""
+    name = F.element_at(F.split("path", "/"), -1)
+    as_regex = lambda g: "^" + "".join(".*" if c == "*" else "." if c == "?" else f"\\{c}" if c in ".+()[]{}^$|\\" else c for c in g) + "$"
+    fits = F.array_compact(F.array(*[F.when(name.rlike(as_regex(g)), F.lit(i)) for i, g in enumerate(globs)]))
+    return files.withColumn("glob", F.explode(fits))
+
+
+def scanned_text(files: DataFrame, globs: tuple[str, ...], n: int = 30) -> DataFrame:
+    """(glob, path, text): the first n files by path of each glob, in the order of globs."""
+    return first_per_group(_globbed(files, globs).select("glob", "path", "text"), ["glob"], ["path"], n)
+
+
+def signal_sample(files: DataFrame, chars: int = SAMPLE_CHARS, sources: int = SOURCES) -> DataFrame:
+    """(place, path, chunk, chars_before): beginnings of files by glob and path, packages and settings first, then
+    the first files of each source glob, up to the one with which the characters pass the budget or the sources reach theirs.
+    Sums run over ranges (ranks.running_sums), whatever the number of files."""
+    first = listed(_globbed(files, PRIORITY_GLOBS)).select("glob", "path", F.left("text", F.lit(PRIORITY_CHARS)).alias("chunk"), F.lit(0).alias("source"))
+    code = listed(first_per_group(_globbed(files, SOURCE_GLOBS).select("glob", "path", "text"), ["glob"], ["path"], SOURCES_PER_GLOB))
+    code = code.select((F.col("glob") + len(PRIORITY_GLOBS)).alias("glob"), "path", F.left("text", F.lit(SOURCE_CHARS)).alias("chunk"), F.lit(1).alias("source"))
+    size = F.coalesce(F.length("chunk"), F.lit(0))
+    order = [F.col("glob"), F.col("path")]
+    summed = running_sums(first.unionByName(code), order, chars=size, seen=F.col("source"), place=F.lit(1))
+    before = F.col("chars") - size
+    return summed.where((before <= chars) & (F.col("seen") - F.col("source") < sources)).select((F.col("place") - 1).alias("place"), "path", "chunk", before.alias("chars_before"))
+
+
 def budgeted(files: DataFrame, budget: int) -> DataFrame:
     """Files by priority (SQL, C#, others) and path while their sizes fit the budget."""
     prio = F.when(F.col("path").endswith(".sql"), 0).when(F.col("path").endswith(".cs"), 1).otherwise(2)

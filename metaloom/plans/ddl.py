@@ -67,7 +67,7 @@ add("P06_columns", lambda s, d: columns(parts(s, d)).select(*_COLUMN), _each(
     "??'T' || k, 1, 'email', 'text', 'string', NULL, NULL, NULL, true, false, false, false, false, '', 'medium'",
 ))
 add("P07_P16_constraints", lambda s, d: D.constraints(parts(s, d)).drop("source_file", "schema"), _each("'T' || k AS tbl, 'pk' AS kind, 'pk' || k AS name, 'Id,Price' AS cols, '' AS \"check\"", "'T' || k, 'unique', '', 'kind' || s, ''", "'T' || k, 'check', 'ck', '', 'Price > (' || s || ')'", "'U' || k, 'pk', 'pu' || k, 'Id', ''"))
-add("P08_P16_foreign_keys", lambda s, d: D.foreign_keys(parts(s, d)).drop("source_file"), _each("'T' || k AS tbl, '' AS name, 'other_id' AS cols, 'U' || k AS ref_tbl, 'Id' AS ref_cols, 'NO ACTION' AS on_delete, 'CASCADE' AS on_update", "'U' || k, 'fu' || k, 'No,Id', 'T' || k, 'Id,Price', act, 'NO ACTION'"))
+add("P08_P16_foreign_keys", lambda s, d: D.foreign_keys(parts(s, d)).drop("source_file", "schema"), _each("'T' || k AS tbl, '' AS name, 'other_id' AS cols, 'U' || k AS ref_tbl, 'Id' AS ref_cols, 'NO ACTION' AS on_delete, 'CASCADE' AS on_update", "'U' || k, 'fu' || k, 'No,Id', 'T' || k, 'Id,Price', act, 'NO ACTION'"))
 add("P09_indexes", lambda s, d: D.indexes(texts(s, d)).drop("source_file", "schema"), _each("'ix' || k AS idx, 'U' || k AS tbl, 'No,Name' AS cols, p_size % 3 = 0 AS is_unique"))
 add("P10_P13_views", lambda s, d: D.views(texts(s, d)).drop("source_file"), _each("'shop' AS schema, 'V' || k AS view, 'SELECT * FROM [dbo].[T' || k || '] t JOIN U' || k || ' u ON t.Id = u.Id JOIN #tmp x ON 1 = 1' AS definition, 'T' || k || ',U' || k AS sources"))
 add("P15_triggers", lambda s, d: D.triggers(texts(s, d)).drop("source_file"), _each("'trA' || k AS trg, 'T' || k AS tbl, 'AFTER' AS timing, 'INSERT,UPDATE' AS events", "'trB' || k, 'U' || k, 'BEFORE', 'DELETE'"))

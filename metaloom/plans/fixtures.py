@@ -1,8 +1,15 @@
-"""Small catalogs that both engines read: rows here, a VALUES relation in SQL."""
+"""A catalog for each supplier, that both engines make from the supplier table.
+
+The rows here are a template. A supplier's catalog takes those whose place and key do not fall on a remainder, so that
+catalogs differ in what they lack, and has the key in the names of all its tables, entities, procedures and nodes.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: name -> (schema, rows)
 CATALOGS: dict[str, tuple[str, list[tuple]]] = {}
@@ -55,7 +62,7 @@ CATALOGS["fx_edges"] = (
 CATALOGS["fx_nodes"] = ("node string, domain string", [(n, d) for n, d in zip("abcdefghisxyz", ["one", "one", "one", "two", "two", "three", "three", "three", "one", "two", "four", "four", "five"])])
 CATALOGS["fx_entities"] = (
     "entity string, kind string, aggregate string, domain string, bases string, file string",
-    [("Order", "aggregate_root", "Order", "Sales", "Entity,IRoot", "src/Sales/Order.cs"), ("OrderLine", "entity", "Order", "Sales", "Entity", "src/Sales/OrderLine.cs"), ("OrderCopy", "entity", "Archive", "Archive", "Entity", "src/Archive/OrderCopy.cs"), ("Customer", "aggregate_root", "Customer", "Crm", "Entity,IRoot", "src/Crm/Customer.cs"), ("Client", "entity", "Crm", "Crm", "IRoot,Entity", "src/Crm/Client.cs"), ("Address", "value_object", "Customer", "Crm", "ValueObject", "src/Crm/Address.cs"), ("Money", "value_object", None, None, "ValueObject", "src/Shared/Money.cs"), ("Ghost", "aggregate_root", "Ghost", "Misc", "Entity", "src/Misc/Ghost.cs"), ("Ghost2", "entity", None, None, "Entity", "src/Misc/Ghost2.cs"), ("ProductOrdered", "entity", "Order", "Sales", "", "src/Sales/ProductOrdered.cs")],
+    [("Order", "aggregate_root", "Order", "Sales", "Entity,IRoot", "src/Sales/Order.cs"), ("OrderLine", "entity", "Order", "Sales", "Entity", "src/Sales/OrderLine.cs"), ("OrderCopy", "entity", "Archive", "Archive", "Entity", "src/Archive/OrderCopy.cs"), ("Customer", "aggregate_root", "Customer", "Crm", "Entity,IRoot", "src/Crm/Customer.cs"), ("Client", "entity", "Crm", "Crm", "IRoot,Entity", "src/Crm/Client.cs"), ("Address", "value_object", "Customer", "Crm", "ValueObject", "src/Crm/Address.cs"), ("Money", "value_object", None, None, "ValueObject", "src/Shared/Money.cs"), ("Ghost", "aggregate_root", "Ghost", "Misc", "Entity", "src/Misc/Ghost.cs"), ("Wraith", "entity", None, None, "Entity", "src/Misc/Wraith.cs"), ("ProductOrdered", "entity", "Order", "Sales", "", "src/Sales/ProductOrdered.cs")],
 )
 CATALOGS["fx_fields"] = (
     "entity string, pos int, field string, type string, is_pk boolean, is_nullable boolean, pii string, is_nav boolean, getter string, setter string",
@@ -68,7 +75,7 @@ CATALOGS["fx_fields"] = (
         ("Address", 0, "Street", "string", False, True, "medium", False, "public", "private"), ("Address", 1, "City", "string", False, True, None, False, "public", "public"),
         ("Money", 0, "Id", "int", False, True, None, False, "public", "private"), ("Money", 1, "Amount", "decimal", False, False, None, False, "public", "private"),
         ("Ghost", 0, "Name", "string", False, True, "low", False, "public", "private"), ("Ghost", 1, "CustomerId", "int", False, False, None, False, "public", "private"),
-        ("Ghost2", 0, "Name", "string", False, True, "low", False, "public", "private"), ("Ghost2", 1, "CustomerId", "int", False, False, None, False, "public", "private"),
+        ("Wraith", 0, "Name", "string", False, True, "low", False, "public", "private"), ("Wraith", 1, "CustomerId", "int", False, False, None, False, "public", "private"),
         ("ProductOrdered", 0, "ProductId", "int", False, False, None, False, "public", "private"), ("ProductOrdered", 1, "CardNumber", "string", False, True, "high", False, "public", "private"),
     ],
 )
@@ -93,9 +100,37 @@ CATALOGS["fx_types"] = ("raw string", [("INT",), ("NVARCHAR(100)",), ("decimal(1
 CATALOGS["fx_code_types"] = ("raw string", [("string",), ("int?",), ("List<Order>",), ("byte[]",), ("DateTime?",), ("BigDecimal",), ("object",), ("Date",), ("Guid",), ("Custom",), ("",), ("Record<string>",)])
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
+#: Names that get a supplier's key, longer ones first.
+_NAMES = "ProductOrdered OrderLine OrderCopy AuditTrail Customer Supplier Product Payment Setting Shipper Address Archive Missing Nowhere Client Wraith Ghost Money Order Wide vSales vStock LogIt RunSafe RunRisky PurgeLog ZeroStock LoopA LoopB Walk Alone".split()
+_NAMED = re.compile("|".join(_NAMES))
+#: Columns of names that are plain letters.
+_PLAIN = {"fx_edges": ("src", "dst"), "fx_keys": ("src", "dst"), "fx_nodes": ("node",), "fx_evidence": ("subject",), "fx_subjects": ("subject",), "fx_steps": ("flow",)}
+MARK, STEP, AT = "~k~", 9, 4
+
+
+def _template(name: str) -> tuple[list[list[str]], list[tuple]]:
+    """([name, type] of each column, rows with MARK where a key goes)."""
     schema, rows = CATALOGS[name]
-    return spark.createDataFrame(rows, schema)
+    cols = [c.split() for c in schema.split(", ")]
+
+    def marked(col: str, x):
+        if not isinstance(x, str):
+            return x
+        if col in _PLAIN.get(name, ()) or x.lower() in {n.lower() for n in _NAMES} and not _NAMED.search(x):
+            return x + MARK
+        if name == "fx_files" and col == "path":
+            return f"s{MARK}/{x}"
+        return _NAMED.sub(lambda m: m[0] + MARK, x)
+
+    return cols, [tuple(marked(c, x) for (c, _), x in zip(cols, r)) for r in rows]
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    cols, rows = _template(name)
+    template = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ", ".join(["_i int", *(f"{c} {t}" for c, t in cols)]))
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("_i"))
+    made = keys.where(F.pmod(F.col("_k") * 7 + F.col("_i") * 11, F.lit(STEP)) != AT).join(F.broadcast(template), "_i")
+    return made.select(*[F.replace(c, F.lit(MARK), F.col("_k").cast("string")).alias(c) if t == "string" else F.col(c) for c, t in cols])
 
 
 def _literal(x) -> str:
@@ -115,9 +150,8 @@ def cte(*names: str) -> str:
     """WITH RECURSIVE ... of the named catalogs, to be followed by further CTEs or a SELECT."""
     parts = []
     for name in names:
-        schema, rows = CATALOGS[name]
-        cols = [c.split() for c in schema.split(", ")]
-        values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-        cast = ", ".join(f"CAST({c} AS {SQL_TYPES[t]}) AS {c}" for c, t in cols)
-        parts.append(f"{name} AS (SELECT {cast} FROM (VALUES {values}) AS v({', '.join(c for c, _ in cols)}))")
+        cols, rows = _template(name)
+        values = ", ".join(f"({i}, " + ", ".join(map(_literal, r)) + ")" for i, r in enumerate(rows))
+        cast = ", ".join(f"CAST(replace({c}, '{MARK}', CAST(s_suppkey AS VARCHAR)) AS VARCHAR) AS {c}" if t == "string" else f"CAST({c} AS {SQL_TYPES[t]}) AS {c}" for c, t in cols)
+        parts.append(f"{name} AS MATERIALIZED (SELECT {cast} FROM supplier, (VALUES {values}) AS v(_i, {', '.join(c for c, _ in cols)}) WHERE (s_suppkey * 7 + _i * 11) % {STEP} <> {AT})")
     return "WITH RECURSIVE " + ",\n".join(parts)

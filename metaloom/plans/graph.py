@@ -18,29 +18,29 @@ CATALOGS["fx_keys"] = ("src string, dst string, kind string, pos int", [(a, b, "
 
 SIMPLE = "e AS (SELECT src, dst, arg_max(kind, pos) AS kind FROM {t} GROUP BY src, dst)"
 for name, t in (("G02_chains", "fx_edges"), ("G02_key_chains", "fx_keys")):
-    add(name, lambda s, d, t=t: G.chains(frame(s, t)), f"""{cte(t)}, {SIMPLE.format(t=t)}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), starts AS (SELECT x FROM n ORDER BY x LIMIT 30),
+    add(name, lambda s, d, t=t: G.chains(frame(s, d, t)), f"""{cte(t)}, {SIMPLE.format(t=t)}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), starts AS (SELECT x FROM n ORDER BY x LIMIT 30),
   p(path, kinds) AS (SELECT [x], CAST([] AS VARCHAR[]) FROM starts UNION ALL SELECT list_append(path, e.dst), list_append(kinds, e.kind) FROM p JOIN e ON e.src = path[-1] WHERE NOT list_contains(path, e.dst) AND len(path) < 6)
   SELECT array_to_string(path, '→') AS path, array_to_string(kinds, ',') AS kinds, CAST(len(path) - 1 AS INTEGER) AS depth, list_contains(kinds, 'write') AS has_write, CASE WHEN list_contains(kinds, 'write') THEN 'MEDIUM' ELSE 'LOW' END AS risk
   FROM p WHERE len(path) > 1 AND (len(path) = 6 OR path[-1] NOT IN (SELECT src FROM e))""")
-add("G04_simple_digraph", lambda s, d: G.simple(frame(s, "fx_edges")), f"{cte('fx_edges')} SELECT src, dst, arg_max(kind, pos) AS kind FROM fx_edges GROUP BY src, dst")
-add("G05_G06_cycles", lambda s, d: G.cycles(frame(s, "fx_edges")), f"""{cte('fx_edges')}, e AS (SELECT DISTINCT src, dst FROM fx_edges), p(path, last) AS (SELECT [src], dst FROM e WHERE src <= dst UNION ALL SELECT list_append(path, last), e.dst FROM p JOIN e ON e.src = p.last WHERE last > path[1] AND NOT list_contains(path, last) AND len(path) < 6)
+add("G04_simple_digraph", lambda s, d: G.simple(frame(s, d, "fx_edges")), f"{cte('fx_edges')} SELECT src, dst, arg_max(kind, pos) AS kind FROM fx_edges GROUP BY src, dst")
+add("G05_G06_cycles", lambda s, d: G.cycles(frame(s, d, "fx_edges")), f"""{cte('fx_edges')}, e AS (SELECT DISTINCT src, dst FROM fx_edges), p(path, last) AS (SELECT [src], dst FROM e WHERE src <= dst UNION ALL SELECT list_append(path, last), e.dst FROM p JOIN e ON e.src = p.last WHERE last > path[1] AND NOT list_contains(path, last) AND len(path) < 6)
   SELECT array_to_string(path, '→') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE last = path[1]""")
 _REACH = "r(src, dst, d) AS (SELECT src, dst, 1 FROM {t} WHERE src <> dst UNION SELECT r.src, e.dst, r.d + 1 FROM r JOIN {t} e ON e.src = r.dst WHERE e.src <> e.dst AND r.d < 12), q AS (SELECT src, dst, min(d) AS distance FROM r WHERE src <> dst GROUP BY src, dst)"
 for name, t in (("G07_closure", "fx_edges"), ("G07_key_closure", "fx_keys")):
-    add(name, lambda s, d, t=t: G.distances(frame(s, t)), f"{cte(t)}, {_REACH.format(t=t)} SELECT src, dst, CAST(distance AS INTEGER) AS distance FROM q")
-add("G08_ego_graph", lambda s, d: G.ego(frame(s, "fx_edges"), "a", 3), f"{cte('fx_edges')}, r(node, hops) AS (SELECT dst, 1 FROM fx_edges WHERE src = 'a' UNION SELECT e.dst, r.hops + 1 FROM r JOIN fx_edges e ON e.src = r.node WHERE r.hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r WHERE node <> 'a' GROUP BY node")
-add("G09_dependency_depth", lambda s, d: G.dependency_depth(frame(s, "fx_edges")), f"{cte('fx_edges')}, {_REACH.format(t='fx_edges')} SELECT dst AS node, CAST(max(distance) AS INTEGER) AS depth, count(*) AS n_ancestors FROM q GROUP BY dst")
-add("G10_cross_domain_paths", lambda s, d: G.cross_domain_paths(frame(s, "fx_edges"), frame(s, "fx_nodes")), f"""{cte('fx_edges', 'fx_nodes')}, e AS (SELECT DISTINCT src, dst FROM fx_edges WHERE src <> dst), h AS (SELECT src, dst, 1 AS hops, '' AS via FROM e UNION ALL SELECT a.src, b.dst, 2, a.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst),
+    add(name, lambda s, d, t=t: G.distances(frame(s, d, t)), f"{cte(t)}, {_REACH.format(t=t)} SELECT src, dst, CAST(distance AS INTEGER) AS distance FROM q")
+add("G08_ego_graph", lambda s, d: G.ego(frame(s, d, "fx_edges"), "a", 3), f"{cte('fx_edges')}, r(node, hops) AS (SELECT dst, 1 FROM fx_edges WHERE src = 'a' UNION SELECT e.dst, r.hops + 1 FROM r JOIN fx_edges e ON e.src = r.node WHERE r.hops < 3) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r WHERE node <> 'a' GROUP BY node")
+add("G09_dependency_depth", lambda s, d: G.dependency_depth(frame(s, d, "fx_edges")), f"{cte('fx_edges')}, {_REACH.format(t='fx_edges')} SELECT dst AS node, CAST(max(distance) AS INTEGER) AS depth, count(*) AS n_ancestors FROM q GROUP BY dst")
+add("G10_cross_domain_paths", lambda s, d: G.cross_domain_paths(frame(s, d, "fx_edges"), frame(s, d, "fx_nodes")), f"""{cte('fx_edges', 'fx_nodes')}, e AS (SELECT DISTINCT src, dst FROM fx_edges WHERE src <> dst), h AS (SELECT src, dst, 1 AS hops, '' AS via FROM e UNION ALL SELECT a.src, b.dst, 2, a.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst),
   k AS (SELECT src, dst, hops, via, row_number() OVER (PARTITION BY src, dst ORDER BY hops, via) AS rn FROM h) SELECT k.src, k.dst, CAST(hops AS INTEGER) AS hops, via, x.domain AS src_domain, y.domain AS dst_domain FROM k JOIN fx_nodes x ON x.node = k.src JOIN fx_nodes y ON y.node = k.dst WHERE rn = 1 AND x.domain <> y.domain""")
 _DEG = "SELECT coalesce(a.node, b.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) + coalesce(n_out, 0) >= 4 AS is_hub FROM (SELECT dst AS node, count(*) AS n_in FROM {t} GROUP BY 1) a FULL JOIN (SELECT src AS node, count(*) AS n_out FROM {t} GROUP BY 1) b ON a.node = b.node"
-add("G11_degrees", lambda s, d: G.degrees(frame(s, "fx_edges")), f"{cte('fx_edges')} {_DEG.format(t='fx_edges')}")
-add("G12_orphans", lambda s, d: G.orphans(frame(s, "fx_nodes"), frame(s, "fx_edges")), f"{cte('fx_nodes', 'fx_edges')} SELECT node FROM fx_nodes WHERE node NOT IN (SELECT src FROM fx_edges UNION SELECT dst FROM fx_edges)")
-add("G13_call_depth", lambda s, d: G.call_depths(frame(s, "fx_procs"), P.calls(frame(s, "fx_procs"))), f"""{cte('fx_procs')}, c AS (SELECT lower(proc) AS a, lower(unnest(regexp_extract_all(body, '(?i)\\bEXEC(?:UTE)?\\s+(\\w+)', 1))) AS b FROM fx_procs), k AS (SELECT * FROM c WHERE NOT starts_with(b, 'sp_')),
+add("G11_degrees", lambda s, d: G.degrees(frame(s, d, "fx_edges")), f"{cte('fx_edges')} {_DEG.format(t='fx_edges')}")
+add("G12_orphans", lambda s, d: G.orphans(frame(s, d, "fx_nodes"), frame(s, d, "fx_edges")), f"{cte('fx_nodes', 'fx_edges')} SELECT node FROM fx_nodes WHERE node NOT IN (SELECT src FROM fx_edges UNION SELECT dst FROM fx_edges)")
+add("G13_call_depth", lambda s, d: G.call_depths(frame(s, d, "fx_procs"), P.calls(frame(s, d, "fx_procs"))), f"""{cte('fx_procs')}, c AS (SELECT lower(proc) AS a, lower(unnest(regexp_extract_all(body, '(?i)\\bEXEC(?:UTE)?\\s+(\\w+)', 1))) AS b FROM fx_procs), k AS (SELECT * FROM c WHERE NOT starts_with(b, 'sp_')),
   r(p, depth) AS (SELECT lower(proc), 0 FROM fx_procs WHERE lower(proc) NOT IN (SELECT b FROM k) UNION SELECT k.b, r.depth + 1 FROM r JOIN k ON k.a = r.p WHERE r.depth < 12) SELECT proc, CAST(coalesce(min(depth), 0) AS INTEGER) AS call_depth FROM fx_procs LEFT JOIN r ON r.p = lower(proc) GROUP BY proc""")
 _RANK = "CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 _NAME = "CASE r WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END"
-add("G14_flows", lambda s, d: G.flows(frame(s, "fx_steps")), f"{cte('fx_steps')}, g AS (SELECT flow, string_agg(layer, '>' ORDER BY pos) AS layers, NOT bool_or(layer = 'entity') AS has_gaps, min({_RANK}) AS r FROM fx_steps GROUP BY flow) SELECT flow, layers, has_gaps, {_NAME} AS confidence FROM g")
-add("G15_W04_flow_edges", lambda s, d: G.flow_edges(frame(s, "fx_steps")), f"{cte('fx_steps')}, g AS (SELECT flow, component AS src, lead(component) OVER w AS dst, least({_RANK}, lead({_RANK}) OVER w) AS r FROM fx_steps WINDOW w AS (PARTITION BY flow ORDER BY pos)) SELECT flow, src, dst, {_NAME} AS confidence FROM g WHERE dst IS NOT NULL")
+add("G14_flows", lambda s, d: G.flows(frame(s, d, "fx_steps")), f"{cte('fx_steps')}, g AS (SELECT flow, string_agg(layer, '>' ORDER BY pos) AS layers, NOT bool_or(layer = 'entity') AS has_gaps, min({_RANK}) AS r FROM fx_steps GROUP BY flow) SELECT flow, layers, has_gaps, {_NAME} AS confidence FROM g")
+add("G15_W04_flow_edges", lambda s, d: G.flow_edges(frame(s, d, "fx_steps")), f"{cte('fx_steps')}, g AS (SELECT flow, component AS src, lead(component) OVER w AS dst, least({_RANK}, lead({_RANK}) OVER w) AS r FROM fx_steps WINDOW w AS (PARTITION BY flow ORDER BY pos)) SELECT flow, src, dst, {_NAME} AS confidence FROM g WHERE dst IS NOT NULL")
 
 
 def conversation_steps(s, d):
@@ -51,7 +51,7 @@ def conversation_steps(s, d):
 
 
 add("W04_conversation_edges", conversation_steps, "SELECT role AS src, nxt AS dst, count(*) AS n FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL GROUP BY role, nxt")
-add("G17_inheritance", lambda s, d: G.inheritance(frame(s, "fx_entities")), f"""{cte('fx_entities')}, r(entity, level, bases) AS (SELECT entity, 1, bases FROM fx_entities WHERE bases <> '' UNION ALL SELECT r.entity, r.level + 1, e.bases FROM r JOIN fx_entities e ON e.entity = split_part(r.bases, ',', 1) WHERE e.bases <> '' AND r.level < 5)
+add("G17_inheritance", lambda s, d: G.inheritance(frame(s, d, "fx_entities")), f"""{cte('fx_entities')}, r(entity, level, bases) AS (SELECT entity, 1, bases FROM fx_entities WHERE bases <> '' UNION ALL SELECT r.entity, r.level + 1, e.bases FROM r JOIN fx_entities e ON e.entity = split_part(r.bases, ',', 1) WHERE e.bases <> '' AND r.level < 5)
   SELECT entity, CAST(level AS INTEGER) AS level, bases FROM r""")
 
 

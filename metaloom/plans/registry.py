@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,19 @@ def values(schema: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({schema})"
 
 
+def per_supplier(schema: str, rows: list[tuple]) -> str:
+    """The literal rows once for each row of supplier, with ~k~ turned into its key."""
+    return per_part(schema, rows).replace("p_partkey", "s_suppkey").replace(" FROM part,", " FROM supplier,")
+
+
+def for_suppliers(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """A template's rows once for each row of supplier, with ~k~ turned into its key in all strings."""
+    template = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {schema}")
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("_i"))
+    made = keys.join(F.broadcast(template), "_i")
+    return made.select(*[F.replace(c, F.lit("~k~"), F.col("_k")).alias(c) if t == "string" else F.col(c) for c, t in template.drop("_i").dtypes])
+
+
 def per_part(schema: str, rows: list[tuple]) -> str:
     """The literal rows once for each row of part, with ~k~ turned into its key."""
     names = [n.strip() for n in schema.split(",")]
