@@ -1,6 +1,6 @@
 """Source text to model rows by built-in regular expressions: endpoints, entities, fields, relations, guards, symbols.
 
-files: (path, text). A class body runs from its opening brace to the closing brace of the same indentation.
+files: (path, text). C# types and their bodies come from metaloom.operators.scopes.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.operators import scopes
+
 #: Guard calls with their rules and confidence; fluent configuration calls; property attributes.
 GUARDS = (
     (r"Guard\.Against\.NullOrEmpty\s*\(\s*(\w+)", "not_null", "HIGH"),
@@ -91,22 +93,16 @@ def field_risk(name: Column, language: str) -> Column:
 
 # ---- C#
 
-_BODY = r"(?ms)^([ \t]*)(?:\[[^\]\n]*\]\s*)*(?:(?:public|internal|private|protected|abstract|sealed|partial|static)\s+)*(class|record|struct)\s+(\w+)([^{;]*)\{(.*?)^\1\}"
-
-
 def bodies(files: DataFrame) -> DataFrame:
-    """(path, pos, kind, name, head, body) of C# classes, records and structs with a body."""
-    return found(files, ".cs", _BODY, {"kind": 2, "name": 3, "head": 4, "body": 5})
+    """(path, pos, kind, name, body) of C# classes, records and structs with a body; its literals are masked."""
+    return scopes.types(files).where("kind <> 'interface' AND body IS NOT NULL").select("path", "pos", "kind", "name", F.col("outline").alias("body"))
 
 
 def classes(files: DataFrame) -> DataFrame:
-    """Path, ns, name, kind, bases, interfaces, is_root and is_value of C# types; positional records end at a
-    semicolon."""
-    rows = found(files, ".cs", r"(?m)^[ \t]*(?:\[[^\]\n]*\]\s*)*(?:(?:public|internal|private|protected|abstract|sealed|partial|static)\s+)*(class|record|struct|interface)\s+(\w+)\s*(?:<[^>{]*>)?\s*(?:\([^)]*\))?\s*(?::\s*([^{;]+?))?\s*[{;]", {"kind": 1, "name": 2, "list": 3})
+    """Path, ns, name, kind, bases, interfaces, is_root and is_value of C# types, with or without a body."""
     ns = files.where(F.col("path").endswith(".cs")).select("path", F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1).alias("ns"), F.col("text").rlike(r"(?i)//\s*ValueObject").alias("marked"))
-    each = F.filter(F.transform(F.split(_text("list"), r",(?![^<]*>)"), lambda x: F.trim(x)), lambda x: x != "")
     is_interface = lambda x: x.rlike("^I[A-Z]")
-    rows = rows.join(ns, "path").withColumns({"b": F.filter(each, lambda x: ~is_interface(x)), "i": F.filter(each, is_interface)})
+    rows = scopes.types(files).join(ns, "path").withColumns({"b": F.filter("listed", lambda x: ~is_interface(x)), "i": F.filter("listed", is_interface)})
     is_value = F.col("marked") | (F.col("kind") == "record") | F.arrays_overlap(F.concat("b", "i"), F.array(*map(F.lit, VALUES)))
     return rows.select("path", "ns", "name", "kind", F.array_join("b", ",").alias("bases"), F.array_join("i", ",").alias("interfaces"), F.arrays_overlap("i", F.array(*map(F.lit, ROOTS))).alias("is_root"), is_value.alias("is_value"))
 

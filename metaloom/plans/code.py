@@ -93,9 +93,9 @@ check("P35_entities", C.jpa_entities, "path, package, entity, base, interfaces,
 check("P35_X04_fields", C.jpa_fields, "path, name, type, norm_type, is_pk, kind, max_length, is_nullable, risk", [("Ent~k~.java", "id", "Long", "integer", True, "primitive", None, True, None), ("Ent~k~.java", "email", "String", "string", False, "primitive", 30, False, "medium"), ("Ent~k~.java", "items", "List<Item~k~>", "list", False, "collection", None, True, None), ("Ent~k~.java", "owner", "Owner", "owner", False, "navigation", None, True, None)])
 check("P35_relations", C.jpa_relations, "path, source, target, kind, via", [("Ent~k~.java", "Ent~k~", "Item~k~", "one_to_many", "items"), ("Ent~k~.java", "Ent~k~", "Owner", "many_to_one", "own_id")])
 check("P35_repositories", C.jpa_repositories, "path, repo, entity", [("Ent~k~.java", "EntRepo~k~", "Ent~k~")])
-check("P26_P38_classes", C.classes, "path, ns, name, kind, bases, interfaces, is_root, is_value", [(O, "Shop.Orders~k~", "Order~k~", "class", "Entity", "IAggregateRoot", True, False), (O, "Shop.Orders~k~", "Money~k~", "record", "", "", False, True), (O, "Shop.Orders~k~", "Line~k~", "class", "", "", False, False)])
+check("P26_P38_classes", C.classes, "path, ns, name, kind, bases, interfaces, is_root, is_value", [(O, "Shop.Orders~k~", "Order~k~", "class", "Entity", "IAggregateRoot", True, False), (O, "Shop.Orders~k~", "Money~k~", "record", "", "", False, True), (O, "Shop.Orders~k~", "Line~k~", "class", "", "", False, False), (G, "", "C~k~", "class", "", "IEntityTypeConfiguration<Order~k~>", False, False), ("Create~k~.cs", "Shop.Api", "CreateQuery", "record", "", "", False, True), ("Create~k~.cs", "Shop.Api", "CreateRequest~k~Dto", "class", "", "", False, False), ("Create~k~.cs", "Shop.Api", "CreateEndpoint~k~", "class", "", "IEndpoint<IResult,CreateRequest~k~,IRepository<Order~k~>>", False, False), ("Bare~k~.cs", "", "BareEndpoint~k~", "class", "EndpointBase.WithRequest<CreateQuery>.WithResponse<Out~k~>", "", False, False), ("Ctl~k~.cs", "", "Ctl~k~", "class", "ControllerBase", "", False, False), (H, "", "M", "class", "", "", False, False), (H, "", "Ping~k~", "class", "", "IRequest", False, False), (H, "", "Ask~k~", "record", "", "IRequest<int>", False, True), (H, "", "Handle~k~", "class", "", "IRequestHandler<Ask~k~,List<int>>", False, False), ("Page~k~.cs", "", "Page~k~", "class", "PageModel", "", False, False)])
 check("P38_symbols", C.symbols, "path, kind, name", [(O, "using", "System"), (O, "namespace", "Shop.Orders~k~"), ("Create~k~.cs", "namespace", "Shop.Api")])
-check("P26_P30_properties", C.properties, "path, entity, name, type, setter, category, target, is_collection", [(O, "Order~k~", "Id", "int", "private", "primitive", "", False), (O, "Order~k~", "Name", "string", "public", "primitive", "", False), (O, "Order~k~", "BuyerId", "int", "public", "foreign_key", "Buyer", False), (O, "Order~k~", "Home", "Address?", "init", "navigation", "Address", False), (O, "Order~k~", "Lines", "List<Line~k~>", "none", "collection", "Line~k~", True), (O, "Order~k~", "Codes", "List<int>", "public", "primitive", "", True)])
+check("P26_P30_properties", C.properties, "path, entity, name, type, setter, category, target, is_collection", [(O, "Order~k~", "Id", "int", "private", "primitive", "", False), (O, "Order~k~", "Name", "string", "public", "primitive", "", False), (O, "Order~k~", "BuyerId", "int", "public", "foreign_key", "Buyer", False), (O, "Order~k~", "Home", "Address?", "init", "navigation", "Address", False), (O, "Order~k~", "Lines", "List<Line~k~>", "none", "collection", "Line~k~", True), (O, "Order~k~", "Codes", "List<int>", "public", "primitive", "", True), ("Create~k~.cs", "CreateRequest~k~Dto", "Name", "string", "public", "primitive", "", False), ("Create~k~.cs", "CreateRequest~k~Dto", "Count", "int?", "init", "primitive", "", False)])
 check("P26_constructor_parameters", C.constructor_parameters, "path, entity, param", [(O, "Order~k~", "name"), (O, "Order~k~", "n")])
 check("F31_attributes", C.attributes, "path, name, attribute, rule", [(O, "Id", "Key", "primary_key"), (O, "Name", "MaxLength", "max_length")])
 check("F32_guards", C.guards, "path, line_no, rule, param, confidence", [(O, 12, "not_null", "name", "HIGH"), (O, 13, "positive_value", "n", "HIGH"), (O, 14, "not_null", "name", "MEDIUM"), (O, 14, "not_null", "name", "MEDIUM")])
