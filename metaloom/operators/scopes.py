@@ -70,9 +70,10 @@ def types_of(text: str) -> list[tuple]:
         elif stack:
             partner[stack.pop()] = m.start()
     found = []
-    for m in _TYPE.finditer(mask):
+    heads = list(_TYPE.finditer(mask))
+    for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(mask)]):
         depth = 0
-        for s in _STOP.finditer(mask, m.end()):
+        for s in _STOP.finditer(mask, m.end(), after):
             depth += (s[0] == "(") - (s[0] == ")")
             if s[0] in "{};" and depth <= 0:
                 break
