@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -76,6 +77,13 @@ def drop_table(df: DataFrame) -> None:
             _delete(df.sparkSession, name)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files once the driver's collector finds its plan unused, which may be long after a step. Run
+    between steps that shuffle much, so that their disk does not add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of long integers that few() sends to every executor at most: some 30 MB there.
 SENT_ROWS = 1_000_000
 
