@@ -13,7 +13,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 
 def _lookup(types: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for norm, raws in types.items() for raw in raws.split() for x in (raw, norm)])
+    return F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
 
 
 def normalize_sql_type(raw: Column) -> Column:
@@ -59,6 +59,9 @@ def quality_score(critical: Column, warning: Column, note: Column, tables: Colum
     return F.greatest(F.lit(0), F.bround(F.lit(100) - (5 * critical + 2 * warning + note) / tables).cast("int"))
 
 
+#: Dynamic SQL, text put together for it, and its parameterised form.
+DYNAMIC, CONCATENATED, PARAMETERISED = r"\bEXEC\s*\(|\bSP_EXECUTESQL\b|EXECUTE\s*\(", r"@\w+\s*\+|N?'\s*\+\s*@", r"\bSP_EXECUTESQL\b"
+
+
 def dynamic_sql_risk(body: Column) -> Column:
-    dynamic = matches(body, r"\bEXEC\s*\(|\bSP_EXECUTESQL\b|EXECUTE\s*\(")
-    return F.when(~dynamic, "NONE").when(matches(body, r"@\w+\s*\+|N?'\s*\+\s*@"), "HIGH").when(matches(body, r"\bSP_EXECUTESQL\b"), "LOW").otherwise("MEDIUM")
+    return F.when(~matches(body, DYNAMIC), "NONE").when(matches(body, CONCATENATED), "HIGH").when(matches(body, PARAMETERISED), "LOW").otherwise("MEDIUM")

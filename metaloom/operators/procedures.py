@@ -58,24 +58,30 @@ def transaction_depth(body: Column) -> Column:
     return F.regexp_count(body, F.lit(r"(?i)\bBEGIN\s+TRAN(?:SACTION)?\b"))
 
 
+#: Patterns of statements without a condition, of INSERT ... SELECT and of joins, with the characters looked ahead.
+UPDATE_SET, DELETE_FROM = (r"\bUPDATE\s+\w+\s+SET\b", 500), (r"\bDELETE\s+(?:FROM\s+)?\w+", 280)
+INSERT_SELECT = r"(?is)\bINSERT\s+INTO\s+(\w+)[^;]*?\bSELECT\b[^;]*?\bFROM\s+(\w+)"
+JOIN_ON = r"(?is)\b((?:(?:LEFT|RIGHT|FULL|INNER|CROSS)\s+(?:OUTER\s+)?)?JOIN)\s+(\w+)\s+(?:AS\s+)?\w*\s*ON\s+(\w+\.\w+)\s*=\s*(\w+\.\w+)"
+
+
 def risks(procs: DataFrame) -> DataFrame:
     """A row for each risk; UPDATE looks 500 characters ahead for a WHERE, DELETE 300."""
     b = F.col("body")
     after = lambda p, n: F.exists(F.regexp_extract_all(b, F.lit(rf"(?is)({p}.{{0,{n}}})"), F.lit(1)), lambda x: ~matches(x, r"\bWHERE\b"))
-    flags = [("update_without_where", after(r"\bUPDATE\s+\w+\s+SET\b", 500)), ("delete_without_where", after(r"\bDELETE\s+(?:FROM\s+)?\w+", 280)), ("injection", dynamic_sql_risk(b) == "HIGH"), ("deep_transactions", transaction_depth(b) > 2), ("cursor", matches(b, r"\bDECLARE\s+\w+\s+CURSOR\b")), ("no_error_handling", (transaction_depth(b) > 0) & ~matches(b, r"\bBEGIN\s+TRY\b|\bROLLBACK\b"))]
+    flags = [("update_without_where", after(*UPDATE_SET)), ("delete_without_where", after(*DELETE_FROM)), ("injection", dynamic_sql_risk(b) == "HIGH"), ("deep_transactions", transaction_depth(b) > 2), ("cursor", matches(b, r"\bDECLARE\s+\w+\s+CURSOR\b")), ("no_error_handling", (transaction_depth(b) > 0) & ~matches(b, r"\bBEGIN\s+TRY\b|\bROLLBACK\b"))]
     return procs.select("proc", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags]))).alias("risk"))
 
 
 def etl(procs: DataFrame) -> DataFrame:
     """INSERT INTO target ... SELECT ... FROM source."""
-    p = F.lit(r"(?is)\bINSERT\s+INTO\s+(\w+)[^;]*?\bSELECT\b[^;]*?\bFROM\s+(\w+)")
+    p = F.lit(INSERT_SELECT)
     pairs = F.arrays_zip(F.regexp_extract_all("body", p, F.lit(1)).alias("t"), F.regexp_extract_all("body", p, F.lit(2)).alias("s"))
     return procs.select("proc", F.explode(pairs).alias("x")).select("proc", F.col("x.s").alias("source"), F.col("x.t").alias("target"))
 
 
 def joins(procs: DataFrame) -> DataFrame:
     """Type, table and both sides of the first equality of each JOIN ... ON."""
-    p = F.lit(r"(?is)\b((?:(?:LEFT|RIGHT|FULL|INNER|CROSS)\s+(?:OUTER\s+)?)?JOIN)\s+(\w+)\s+(?:AS\s+)?\w*\s*ON\s+(\w+\.\w+)\s*=\s*(\w+\.\w+)")
+    p = F.lit(JOIN_ON)
     part = lambda k: F.regexp_extract_all("body", p, F.lit(k))
     rows = procs.select("proc", F.explode(F.arrays_zip(part(1).alias("j"), part(2).alias("t"), part(3).alias("l"), part(4).alias("r"))).alias("x"))
     return rows.select("proc", F.upper("x.j").alias("join_type"), F.col("x.t").alias("tbl"), F.concat("x.l", F.lit(" = "), "x.r").alias("condition"))

@@ -53,9 +53,9 @@ add("J11_supplier_clones", lambda s, d: D.clones(s.read.parquet(f"{d}/lineitem.p
 add("A11_repeated_fields", lambda s, d: D.repeated_fields(fields(s, d)), f"{cte('fx_fields')} SELECT field, count(DISTINCT entity) AS owners, count(DISTINCT type) = 1 AS same_type, count(DISTINCT entity) >= 4 AS actionable FROM fx_fields WHERE NOT is_nav AND lower(field) NOT IN ('id', 'name', 'createdat', 'updatedat', 'isdeleted') GROUP BY field HAVING count(DISTINCT entity) >= 3")
 add("A12_shared_keys", lambda s, d: D.shared_keys(fields(s, d), ents(s, d)), f"{cte('fx_fields', 'fx_entities')} SELECT field, count(DISTINCT f.entity) AS owners, count(DISTINCT aggregate) AS aggregates FROM fx_fields f JOIN fx_entities e ON e.entity = f.entity WHERE regexp_matches(field, '(?i).+id$') GROUP BY field HAVING count(DISTINCT f.entity) >= 2 AND count(DISTINCT aggregate) >= 2")
 add("A13_structural_duplicates", lambda s, d: D.structural(ents(s, d), fields(s, d)), f"{cte('fx_fields', 'fx_entities')}, f AS (SELECT entity, string_agg(field, ',' ORDER BY field) AS f FROM fx_fields GROUP BY entity), g AS (SELECT e.entity, array_to_string(list_sort(string_split(bases, ',')), ',') AS b, coalesce(f, '') AS f FROM fx_entities e LEFT JOIN f ON f.entity = e.entity) SELECT b AS bases, f AS fields, count(*) AS n, string_agg(entity, ',' ORDER BY entity) AS entities FROM g GROUP BY b, f HAVING count(*) >= 2")
-_types = ", ".join(f"('{r}', '{n}')" for n, rs in R.SQL_TYPES.items() for r in rs.split())
+_types = ", ".join(f"('{r}', '{n}')" for r, n in R.SQL_TYPES.items())
 add("X01_normalize_sql_type", lambda s, d: frame(s, d, "fx_types").select("raw", X.normalize_sql_type(F.col("raw")).alias("norm")), f"{cte('fx_types')}, b AS (SELECT raw, trim(replace(replace(regexp_replace(lower(raw), '\\s*\\([^)]*\\)', '', 'g'), 'unsigned', ''), 'zerofill', '')) AS base FROM fx_types), m(r, n) AS (VALUES {_types}) SELECT raw, coalesce((SELECT max(n) FROM m WHERE r = base), CASE WHEN base = '' THEN 'unknown' ELSE base END) AS norm FROM b")
-_codes = ", ".join(f"('{r}', '{n}')" for n, rs in R.CODE_TYPES.items() for r in rs.split())
+_codes = ", ".join(f"('{r}', '{n}')" for r, n in R.CODE_TYPES.items())
 add("X02_normalize_type", lambda s, d: frame(s, d, "fx_code_types").select("raw", X.normalize_code_type(F.col("raw")).alias("norm")), f"{cte('fx_code_types')}, b AS (SELECT raw, trim(split_part(split_part(rtrim(raw, '?'), '<', 1), '[', 1)) AS base FROM fx_code_types), m(r, n) AS (VALUES {_codes}) SELECT raw, CASE WHEN raw = 'byte[]' THEN 'bytes' ELSE coalesce((SELECT max(n) FROM m WHERE r = base), CASE WHEN base = '' THEN 'unknown' ELSE lower(base) END) END AS norm FROM b")
 _risk = lambda c: f"CASE WHEN regexp_matches({c}, '(?i){R.RISK_HIGH}') THEN 'high' WHEN regexp_matches({c}, '(?i){R.RISK_MEDIUM}') THEN 'medium' WHEN regexp_matches({c}, '(?i){R.RISK_LOW}') THEN 'low' END"
 add("X03_column_risk", lambda s, d: cols(s, d).select("tbl", "name", X.column_risk(F.col("name")).alias("risk"), X.column_risk(F.col("name"), True).alias("risk_tokenized")), f"""{cte('fx_columns')} SELECT tbl, name, {_risk('name')} AS risk, {_risk("replace(regexp_replace(name, '([a-z])([A-Z])', '" + chr(92) + "1 " + chr(92) + "2', 'g'), '_', ' ')")} AS risk_tokenized FROM fx_columns""")
