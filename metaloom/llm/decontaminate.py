@@ -17,7 +17,8 @@ The benchmark is read in slices of at most SLICE_ITEMS items, and a broadcast ho
 size; documents are scanned once for each slice. Items and texts shorter than five words are one shingle.
 
 Null and empty texts match nothing; null and empty items are ignored. Repeated items or rows match alike. Extra columns
-are ignored. An empty benchmark finds nothing.
+are ignored. An empty benchmark finds nothing, an empty table of documents gives an empty result. Very long texts are
+scanned whole, in memory in proportion to their words. A similarity of just THRESHOLD counts.
 """
 
 from __future__ import annotations

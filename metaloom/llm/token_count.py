@@ -10,7 +10,8 @@ what follows depends on the text from there on only. Where no boundary lies in t
 the overlap is widened; at worst the document is encoded whole. Tokenizers with any other pre-tokenizer encode whole.
 
 Null counts as empty: 0 bytes, 0 tokens. Strings of special tokens inside texts are handled as the library does by
-default. Repeated rows each get their count. Extra columns are ignored.
+default. Repeated rows each get their count; a count does not depend on other rows, so there are no ties. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

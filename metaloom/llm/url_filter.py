@@ -11,7 +11,8 @@ Counts cover every row; tasks sum them before the shuffle. The model is a table
 
 Nulls and urls without '://' have an empty host and path and no rule; the method judges the url's characters (none for
 null: only its end mark). Repeated rows count each time. Extra columns are ignored. Without labelled urls of both
-verdicts every score is 0 or one-sided, and the threshold is 0: such urls are allowed at a score of 0 or more.
+verdicts every score is 0 or one-sided, and the threshold is 0. A score that equals the threshold allows. Very long urls are
+scored whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
