@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 
 
-def clones(members: DataFrame, threshold: float = THRESHOLD, least: int = 2) -> DataFrame:
-    """Pairs of owners whose feature sets have Jaccard similarity threshold or more.
+def _alike(members: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(a, b, sa, sb): pairs of owners whose feature sets have Jaccard similarity threshold or more.
 
     members: (owner, feature). Prefix filter: with features ordered from the rarest, two such sets share one among the
     first size - ceil(threshold * size) + 1, so only those enter the join, and sizes out of proportion are cut there.
-    The candidates' intersection is then counted over all features.
+    The candidates' sets are then compared over all features.
     """
     m = members.distinct()
     size = m.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -27,7 +27,24 @@ def clones(members: DataFrame, threshold: float = THRESHOLD, least: int = 2) ->
     sets = lists.select("owner", F.transform("f", lambda x: x.feature).alias("s"))
     both = cand.join(sets.select(F.col("owner").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("owner").alias("b"), F.col("s").alias("sb")), "b")
     common, union = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
-    return both.select("a", "b", common.cast("long").alias("common"), union.cast("long").alias("total")).where(F.col("common") / F.col("total") >= threshold - 1e-12)
+    return both.where(common / union >= threshold - 1e-12)
+
+
+def clones(members: DataFrame, threshold: float = THRESHOLD, least: int = 2) -> DataFrame:
+    """(a, b, common, total) of pairs of owners that are alike."""
+    common, union = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
+    return _alike(members, threshold, least).select("a", "b", common.cast("long").alias("common"), union.cast("long").alias("total"))
+
+
+def clone_findings(members: DataFrame, threshold: float = THRESHOLD, least: int = 2) -> DataFrame:
+    """(a, b, overlap_pct, severity, confidence, shared, unique_a, unique_b): the overlap in percent with one
+    decimal, a warning from 80 on, high confidence from 90 on, and the sorted names that both have or one alone."""
+    share = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    listed = lambda x: F.array_join(F.array_sort(x), ",")
+    return _alike(members, threshold, least).select(
+        "a", "b", F.bround(share * 100, 1).alias("overlap_pct"), F.when(share >= 0.8, "WARNING").otherwise("NOTE").alias("severity"), F.when(share >= 0.9, "HIGH").otherwise("MEDIUM").alias("confidence"),
+        listed(F.array_intersect("sa", "sb")).alias("shared"), listed(F.array_except("sa", "sb")).alias("unique_a"), listed(F.array_except("sb", "sa")).alias("unique_b"),
+    )
 
 
 def repeated_fields(fields: DataFrame) -> DataFrame:

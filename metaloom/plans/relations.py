@@ -49,6 +49,10 @@ add("F02_data_key_check", lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").g
 _members = "m AS (SELECT DISTINCT {o} AS owner, {f} AS feature FROM {t}), z AS (SELECT owner, count(*) AS n FROM m GROUP BY owner), c AS (SELECT x.owner AS a, y.owner AS b, count(*) AS common FROM m x JOIN m y ON x.feature = y.feature AND x.owner < y.owner GROUP BY 1, 2)"
 _CLONE = "SELECT a, b, common, za.n + zb.n - common AS total FROM c JOIN z za ON za.owner = a JOIN z zb ON zb.owner = b WHERE za.n >= 2 AND zb.n >= 2 AND common >= 0.7 * (za.n + zb.n - common) - 1e-9"
 add("J11_X23_entity_clones", lambda s, d: D.clones(fields(s, d).where("NOT is_nav").select(F.col("entity").alias("owner"), F.col("field").alias("feature"))), f"{cte('fx_fields')}, {_members.format(o='entity', f='field', t='fx_fields WHERE NOT is_nav')} {_CLONE}")
+add("J11_U02_clone_findings", lambda s, d: D.clone_findings(fields(s, d).where("NOT is_nav").select(F.col("entity").alias("owner"), F.col("field").alias("feature"))), f"""{cte('fx_fields')}, g AS (SELECT entity, list_sort(list(DISTINCT field)) AS s FROM fx_fields WHERE NOT is_nav GROUP BY entity HAVING count(DISTINCT field) >= 2),
+  p AS (SELECT x.entity AS a, y.entity AS b, x.s AS sa, y.s AS sb, len(list_intersect(x.s, y.s)) AS c FROM g x JOIN g y ON x.entity < y.entity), q AS (SELECT *, c / (len(sa) + len(sb) - c) AS share FROM p WHERE c / (len(sa) + len(sb) - c) >= 0.7)
+  SELECT a, b, round_even(share * 100, 1) AS overlap_pct, CASE WHEN share >= 0.8 THEN 'WARNING' ELSE 'NOTE' END AS severity, CASE WHEN share >= 0.9 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, array_to_string(list_sort(list_intersect(sa, sb)), ',') AS shared,
+    array_to_string(list_filter(sa, lambda v: NOT list_contains(sb, v)), ',') AS unique_a, array_to_string(list_filter(sb, lambda v: NOT list_contains(sa, v)), ',') AS unique_b FROM q""")
 add("J11_supplier_clones", lambda s, d: D.clones(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("owner"), (F.col("l_partkey") % 40).alias("feature"))), f"WITH {_members.format(o='l_suppkey', f='l_partkey % 40', t='lineitem')} {_CLONE}")
 add("A11_repeated_fields", lambda s, d: D.repeated_fields(fields(s, d)), f"{cte('fx_fields')} SELECT field, count(DISTINCT entity) AS owners, count(DISTINCT type) = 1 AS same_type, count(DISTINCT entity) >= 4 AS actionable FROM fx_fields WHERE NOT is_nav AND lower(field) NOT IN ('id', 'name', 'createdat', 'updatedat', 'isdeleted') GROUP BY field HAVING count(DISTINCT entity) >= 3")
 add("A12_shared_keys", lambda s, d: D.shared_keys(fields(s, d), ents(s, d)), f"{cte('fx_fields', 'fx_entities')} SELECT field, count(DISTINCT f.entity) AS owners, count(DISTINCT aggregate) AS aggregates FROM fx_fields f JOIN fx_entities e ON e.entity = f.entity WHERE regexp_matches(field, '(?i).+id$') GROUP BY field HAVING count(DISTINCT f.entity) >= 2 AND count(DISTINCT aggregate) >= 2")
