@@ -34,7 +34,8 @@ _SQL = f"WITH p AS (SELECT {', '.join(_FACTS)} FROM part) "
 
 
 def texts(s, d):
-    return s.read.parquet(f"{d}/part.parquet").selectExpr(*_FACTS).select(F.concat(F.lit("part"), "k").alias("source_file"), F.expr(" || ".join(_PIECES)).alias("text"))
+    rows = s.read.parquet(f"{d}/part.parquet").repartition(s.sparkContext.defaultParallelism, "p_partkey")  # a small file is one task's, its scripts are not
+    return rows.selectExpr(*_FACTS).select(F.concat(F.lit("part"), "k").alias("source_file"), F.expr(" || ".join(_PIECES)).alias("text"))
 
 
 def _each(*rows: str) -> str:
