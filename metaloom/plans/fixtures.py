@@ -92,6 +92,20 @@ CATALOGS["fx_handlers"] = ("handler string, request string, repos string, entiti
 CATALOGS["fx_evidence"] = ("subject string, kind string, weight double", [("r1", "fk", 0.95), ("r1", "ast", 0.85), ("r2", "naming", 0.55), ("r2", "view", 0.6), ("r3", "name", 0.3), ("r4", "ast", 0.98), ("r4", "fk", 0.99), ("r4", "dbcontext", 0.9)])
 CATALOGS["fx_subjects"] = ("subject string", [("r1",), ("r2",), ("r3",), ("r4",), ("r5",)])
 CATALOGS["fx_steps"] = ("flow string, pos int, layer string, component string, confidence string", [("f1", 0, "api", "GET /orders", "HIGH"), ("f1", 1, "service", "Place", "MEDIUM"), ("f1", 2, "repository", "OrderRepo", "HIGH"), ("f1", 3, "entity", "Order", "HIGH"), ("f2", 0, "api", "GET /x", "HIGH"), ("f2", 1, "dto", "XDto", "LOW"), ("f3", 0, "api", "POST /y", "MEDIUM"), ("f3", 1, "entity", "Customer", "HIGH"), ("f3", 2, "dto", "YDto", "HIGH")])
+CATALOGS["fx_calls"] = (
+    "method string, path string, cls string, auth boolean, request string, response string, services string, repos string, file string",
+    [
+        ("GET", "/Order/{id}", "GetOrder", False, None, "OrderDto", "", "IReadRepository<Order>", "api/GetOrder.cs"),
+        ("POST", "/Order", "PostOrder", True, "OrderRequest", "OrderDto", "Placing,Pricing", "IRepository<Order>,IRepository<Customer>", "api/PostOrder.cs"),
+        ("PUT", "/Customer", "PutCustomer", True, "CustomerRequest", None, "", "IRepository<Customer>,IRepository<Customer>", "api/PutCustomer.cs"),
+        ("GET", "/Product", "GetProduct", False, "StockQuery", "StockDto", "Counting", "IRepository<Stock>", "api/GetProduct.cs"),
+        ("GET", "/Setting/health", "SettingHealth", False, None, None, "", "", "api/SettingHealth.cs"),
+        (None, "/Wide", "Odd", None, "", "", "", "Unit,IRepository<OrderLine>", "api/Odd.cs"),
+    ],
+)
+CATALOGS["fx_asks"] = ("cls string, request string, response string, repos string, file string", [("AskOrder", "OrderAsk", "OrderView", "IReadRepository<Order>,IReadRepository<Client>", "app/AskOrder.cs"), ("AskGhost", "GhostAsk", "void", "IRepository<Nothing>", "app/AskGhost.cs"), ("AskMoney", None, "int", "IRepository<Money>", "app/AskMoney.cs")])
+CATALOGS["fx_screens"] = ("cls string, method string, entities string, file string", [("CartPage", "GET", "Order,Address", "web/CartPage.cs"), ("CartPage", "POST", "Order,Shipper", "web/CartPage.cs"), ("AloneAbout", "GET", "", "web/AboutPage.cs")])
+CATALOGS["fx_dtos"] = ("dto string, file string", [("OrderDto", "api/GetOrder.cs"), ("OrderRequest", "api/PostOrder.cs"), ("StockDto", "api/GetProduct.cs")])
 CATALOGS["fx_files"] = (
     "path string, size int, text string",
     [("src/Api/Program.cs", 900, "using Microsoft.EntityFrameworkCore; builder.Services.AddMediatR(cfg); app.MapGet(\"/orders\", h); CommandHandler QueryHandler"), ("src/Domain/Order.cs", 700, "class Order : Entity { } AggregateRoot ValueObject DomainEvent"), ("src/Infrastructure/Db.cs", 400, "class Db : DbContext { DbSet<Order> Orders; UseSqlServer(x); Repository }"), ("web/app.ts", 1200, "import express from 'express'; router.get('/a', h)"), ("web/view.tsx", 300, "import React from 'react'"), ("svc/main.py", 500, "from fastapi import FastAPI"), ("db/schema.sql", 2500, "CREATE TABLE [dbo].[Order] (id int IDENTITY(1,1)) GO"), ("db/more.sql", 1500, "CREATE TABLE x (id serial primary key)"), ("node_modules/lib/index.js", 9000, "module.exports = {}"), ("bin/Debug/app.dll.cs", 10, "x"), ("appsettings.json", 120, "{\"ConnectionStrings\":{\"Default\":\"Server=sql;Database=shop\"},\"Redis\":\"localhost\"}"), ("appsettings.Dev.json", 60, "{\"Redis\":\"dev\"}"), ("test/OrderTests.cs", 200, "[Fact] public void T() {}"), ("App.csproj", 300, "<Project><ItemGroup><PackageReference Include=\"MediatR\" /><PackageReference Include=\"Microsoft.EntityFrameworkCore.SqlServer\" /></ItemGroup></Project>")],
