@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.operators import ddl as D
@@ -11,7 +14,8 @@ from metaloom.operators.report import markdown_table
 from metaloom.plans import ddl
 from metaloom.plans.fixtures import cte, frame
 from metaloom.plans.registry import add
-from metaloom.sources.scratch import new_dir
+from metaloom.sources.scratch import cut, new_dir
+from metaloom.streaming import cache as K
 from metaloom.streaming import incremental as I
 
 
@@ -39,3 +43,28 @@ def model_documents(s, d):
 
 _MODEL = "SELECT 'dbo' AS schema, 'T' || p_partkey AS tbl, 5 AS n_fields, 'Id' AS first_field, 2 AS n_keys, 'U' || p_partkey AS refs FROM part UNION ALL SELECT 'shop', 'U' || p_partkey, 3, 'Id', 1, 'T' || p_partkey FROM part UNION ALL SELECT 'shop', 'T' || p_partkey, 2, 'Id', 0, '' FROM part WHERE p_size % 5 = 0"
 add("K03_model_document", model_documents, f"{_MODEL} UNION ALL SELECT '', '', CAST(count(*) AS INTEGER), '', 0, '' FROM ({_MODEL})")
+
+_LONG = "[a-z]{9,}"
+
+
+def cache_rounds(s, d):
+    """What four runs over documents add and give: English only, all, all again, all for a new version; then a base."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_file"), "text", "lang")
+    words = lambda df: df.select("source_file", F.explode(F.regexp_extract_all("text", F.lit(_LONG), F.lit(0))).alias("word"))
+    folder, out = new_dir(s, "cache"), []
+    for step, files, version in (("1 en", docs.where("lang = 'en'"), "1"), ("2 all", docs, "1"), ("3 again", docs, "1"), ("4 changed", docs, "2")):
+        before = len(K.generations(s, folder))
+        got = K.refresh(files, folder, words, version).agg(F.count(F.lit(1)).alias("n_rows"))
+        after = K.generations(s, folder)
+        added = K.entries(s, folder).where(F.col("generation").isin(after[before:])).agg(F.count(F.lit(1)).alias("n_new"))
+        out.append(got.join(added).select(F.lit(step).alias("step"), "n_rows", "n_new"))  # one row each
+    out = [cut(o) for o in out]
+    K.compact(s, folder, "2", "word string")
+    base = K.rows(s, folder, "2", "word string").agg(F.count(F.lit(1)).alias("n_rows"))
+    out.append(base.join(K.entries(s, folder).agg(F.count(F.lit(1)).alias("n_new"))).select(F.lit("5 base").alias("step"), "n_rows", "n_new"))
+    return reduce(DataFrame.unionByName, out)
+
+
+add("S12_cache_rounds", cache_rounds, f"""WITH t AS (SELECT coalesce(text, '') AS text, lang = 'en' AS en, len(regexp_extract_all(coalesce(text, ''), '{_LONG}')) AS n FROM documents), u AS (SELECT text, bool_or(coalesce(en, false)) AS en, any_value(n) AS n FROM t GROUP BY text)
+  SELECT '1 en' AS step, (SELECT CAST(sum(n) AS BIGINT) FROM t WHERE en) AS n_rows, (SELECT count(*) FROM u WHERE en) AS n_new UNION ALL SELECT '2 all', (SELECT CAST(sum(n) AS BIGINT) FROM t), (SELECT count(*) FROM u WHERE NOT en) UNION ALL SELECT '3 again', (SELECT CAST(sum(n) AS BIGINT) FROM t), 0
+  UNION ALL SELECT '4 changed', (SELECT CAST(sum(n) AS BIGINT) FROM t), (SELECT count(*) FROM u) UNION ALL SELECT '5 base', (SELECT CAST(sum(n) AS BIGINT) FROM u), (SELECT count(*) FROM u)""")
