@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metaloom.operators.ranks import first_per_group, running_sums
 
 from metaloom.functions.scalar import matches
+from metaloom.operators.signals import rule_hits
 
 #: Folders to skip; languages by extension, with those that count as primary; packages that name frameworks.
 SKIP = (".git", ".vs", "bin", "obj", "node_modules")
@@ -217,7 +218,14 @@ def databases(files: DataFrame) -> DataFrame:
 def _seen(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """One row: for each (name, pattern), whether a listed path, package or source sample has it."""
     texts = listed(files).select(F.col("path").alias("t")).union(packages(files).select("package")).union(source_sample(files).select("sample"))
-    return texts.agg(*[F.coalesce(F.bool_or(matches(F.col("t"), p)), F.lit(False)).alias(n) for n, p in patterns])
+    return _flags(texts, [(n, "(?i)" + p) for n, p in patterns])
+
+
+def _flags(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """One row: for each (name, pattern), whether some text t has it. The texts are read once for all patterns."""
+    hits = rule_hits(texts.select(F.lit(0).alias("path"), F.col("t").alias("text")), patterns).select("rule").distinct()
+    found = hits.agg(F.collect_set("rule").alias("found"))  # the rules' names at most
+    return found.select(*[F.array_contains("found", n).alias(n) for n, _ in patterns])
 
 
 def architectures(files: DataFrame) -> DataFrame:
@@ -266,7 +274,7 @@ def tech_context(files: DataFrame) -> DataFrame:
     langs = listed(files).select(F.try_element_at(code, extension()).alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     rules = [(f"o{i}", p) for i, (_, p, _) in enumerate(ORMS)] + [(f"s{i}", p) for i, (_, p) in enumerate(STYLES)] + [(f"m{i}_{j}", "(?i)" + p) for i, (_, ps, _, _) in enumerate(SHAPES) for j, p in enumerate(ps)] + [(f"n{i}", "(?i)" + x) for i, (_, _, _, x) in enumerate(SHAPES) if x]
     texts = listed(files).select(F.col("text").alias("t"))
-    seen = texts.agg(*[F.coalesce(F.bool_or(F.col("t").rlike(p)), F.lit(False)).alias(n) for n, p in rules])
+    seen = _flags(texts, rules)
     shape = F
     for i, (name, ps, least, x) in enumerate(SHAPES):
         enough = sum((F.col(f"m{i}_{j}").cast("int") for j in range(len(ps))), F.lit(0)) >= least

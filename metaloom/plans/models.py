@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metaloom.operators import model_checks as M
 from metaloom.operators import stack as T
+from metaloom.operators.signals import rule_hits
 from metaloom.plans.fixtures import CATALOGS, cte, frame
 from metaloom.plans.registry import add, for_suppliers, per_supplier, values
 
@@ -100,3 +101,5 @@ add("S08_W08_signal_sample", lambda s, d: T.signal_sample(text_files(s, d)).sele
   u AS (SELECT gno, path, length(left(text, 20000)) AS n, 0 AS src FROM p WHERE NOT contains(path, 'node_modules/') UNION ALL SELECT gno + 12, path, length(left(text, 10000)), 1 FROM c WHERE n <= 15 AND NOT contains(path, 'node_modules/')),
   w AS (SELECT path, n, src, sum(n) OVER o - n AS chars_before, sum(src) OVER o - src AS seen, row_number() OVER o - 1 AS place FROM u WINDOW o AS (ORDER BY gno, path ROWS UNBOUNDED PRECEDING))
   SELECT place, path, CAST(n AS INTEGER) AS n, CAST(chars_before AS BIGINT) AS chars_before FROM w WHERE chars_before <= 500000 AND seen < 30""")
+_RULES = [(f"orm:{n}", p) for n, p, _ in T.ORMS] + [(f"style:{n}", p) for n, p in T.STYLES] + [(f"dialect:{n}", f"(?i){p}") for n, p in T.DIALECTS] + [(f"architecture:{n}:{i}", f"(?i){p}") for n, ps, _, _ in T.ARCHITECTURES for i, p in enumerate(ps)] + [(f"database:{n}", f"(?i){p}") for p, n in T.DB_CONFIG]
+add("T02_T09_rule_hits", lambda s, d: rule_hits(files(s, d), _RULES), f"{cte('fx_files')}, rules AS ({values('rule, pattern', _RULES)}) SELECT path, rule FROM fx_files, rules WHERE regexp_matches(text, pattern)")
