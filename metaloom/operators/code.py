@@ -275,42 +275,50 @@ def spring_endpoints(files: DataFrame) -> DataFrame:
     return one.join(base, "path").select("path", F.upper("m").alias("method"), F.when(full == "", "/").otherwise(full).alias("route"), "auth")
 
 
+#: Annotations of types that are stored.
+STORED = r"@(?:Entity|Embeddable|MappedSuperclass)\b"
+
+
+def _stored(files: DataFrame) -> DataFrame:
+    return scopes.java_types(files).where(F.col("kind").isin("class", "record") & F.col("notes").rlike(STORED))
+
+
 def jpa_entities(files: DataFrame) -> DataFrame:
-    """Entity classes with package, base and interfaces; embeddable ones are value objects."""
-    rows = files.where(F.col("path").endswith(".java") & F.col("text").rlike(r"@(?:Entity|Embeddable|MappedSuperclass)\b"))
-    p = r"\bclass\s+(\w+)(?:\s+extends\s+([\w<>]+))?(?:\s+implements\s+([\w<>, ]+?))?\s*\{"
-    get = lambda k: F.regexp_extract("text", p, k)
-    kind = F.when(F.col("text").rlike(r"\babstract\s+class\b"), "entity").when(F.col("text").rlike(r"@(?:MappedSuperclass|Embeddable)\b"), "value_object").otherwise("entity")
-    return rows.select("path", F.regexp_extract("text", r"(?m)^package\s+([\w.]+)\s*;", 1).alias("package"), get(1).alias("entity"), get(2).alias("base"), F.regexp_replace(get(3), r"\s", "").alias("interfaces"), kind.alias("kind")).where("entity <> ''")
+    """Annotated classes, several a file and inner ones too, with package, base and interfaces; embeddable ones are value
+    objects."""
+    package = files.where(F.col("path").endswith(".java")).select("path", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"))
+    kind = F.when(F.col("notes").rlike(r"\babstract\b"), "entity").when(F.col("notes").rlike(r"@(?:MappedSuperclass|Embeddable)\b"), "value_object").otherwise("entity")
+    return _stored(files).withColumn("kind", kind).join(package, "path").select("path", "package", F.col("name").alias("entity"), _text(F.try_element_at("parents", F.lit(1))).alias("base"), F.array_join("interfaces", ",").alias("interfaces"), "kind")
 
 
-_JAVA_FIELD = r"((?:@\w+(?:\([^)]*\))?\s*)*)(?:private|protected|public)\s+(?:final\s+)?([\w<>\[\], .]+?)\s+(\w+)\s*[;=]"
+def _members(files: DataFrame) -> DataFrame:
+    """(path, source, notes, type, name) of the fields of annotated classes; static ones are not stored."""
+    return _stored(files).select("path", F.col("name").alias("source"), F.explode("fields").alias("f")).select("path", "source", "f.*")
 
 
 def jpa_fields(files: DataFrame) -> DataFrame:
     """Fields of entities: type, key, kind, length and whether null is allowed, by the annotations before them."""
-    rows = found(files.where(F.col("text").rlike(r"@(?:Entity|Embeddable|MappedSuperclass)\b")), ".java", _JAVA_FIELD, {"notes": 1, "type": 2, "name": 3})
-    notes = _text("notes")
+    notes = F.col("notes")
     base = F.trim(F.regexp_extract("type", r"^([\w\[\].]+)", 1))
     kind = F.when(notes.rlike(r"@Id\b"), "primitive").when(notes.rlike(r"@(?:OneToMany|ElementCollection)\b"), "collection").when(notes.rlike(r"@(?:ManyToOne|ManyToMany|OneToOne)\b"), "navigation").when(notes.rlike(r"@Embedded\b"), "embedded").otherwise("primitive")
     length = F.nullif(F.regexp_extract(notes, r"@Column\s*\([^)]*\blength\s*=\s*(\d+)", 1), F.lit("")).cast("int")
-    return rows.select("path", "name", "type", _lookup(JAVA, base, F.lower(base)).alias("norm_type"), notes.rlike(r"@Id\b").alias("is_pk"), kind.alias("kind"), length.alias("max_length"), (~notes.rlike(r"nullable\s*=\s*false|@NotNull\b|@NonNull\b")).alias("is_nullable"), field_risk(F.col("name"), "java").alias("risk"))
+    return _members(files).select("path", "name", "type", _lookup(JAVA, base, F.lower(base)).alias("norm_type"), notes.rlike(r"@Id\b").alias("is_pk"), kind.alias("kind"), length.alias("max_length"), (~notes.rlike(r"nullable\s*=\s*false|@NotNull\b|@NonNull\b")).alias("is_nullable"), field_risk(F.col("name"), "java").alias("risk"))
 
 
 def jpa_relations(files: DataFrame) -> DataFrame:
     """Annotated fields that point at another type; via is the join column, else the field."""
-    owner = jpa_entities(files).select("path", F.col("entity").alias("source"))
-    rows = found(files, ".java", _JAVA_FIELD, {"notes": 1, "type": 2, "name": 3}).join(owner, "path")
-    note = F.regexp_extract(_text("notes"), r"@(OneToMany|ManyToOne|ManyToMany|OneToOne|Embedded|ElementCollection)\b", 1)
-    target = F.regexp_replace(F.regexp_replace("type", r"^(?:List|Set|Collection|Optional)<(\w+)>$", "$1"), "<.*$", "")
-    join = F.regexp_extract(_text("notes"), r"@JoinColumn\s*\(\s*name\s*=\s*\"([^\"]*)\"", 1)
-    out = rows.select("path", "source", target.alias("target"), _lookup(KINDS, note).alias("kind"), F.when(join == "", F.col("name")).otherwise(join).alias("via"))
+    note = F.regexp_extract("notes", r"@(OneToMany|ManyToOne|ManyToMany|OneToOne|Embedded|ElementCollection)\b", 1)
+    target = F.regexp_replace(F.regexp_replace("type", r"^(?:List|Set|Collection|Optional)\s*<\s*(\w+)\s*>$", "$1"), "<.*$", "")
+    join = F.regexp_extract("notes", r"@JoinColumn\s*\(\s*name\s*=\s*\"([^\"]*)\"", 1)
+    out = _members(files).select("path", "source", target.alias("target"), _lookup(KINDS, note).alias("kind"), F.when(join == "", F.col("name")).otherwise(join).alias("via"))
     return out.where("kind IS NOT NULL AND target <> source AND length(target) > 1")
 
 
 def jpa_repositories(files: DataFrame) -> DataFrame:
     """Repository interfaces with their entity."""
-    return found(files, ".java", r"\binterface\s+(\w+)\s+extends\s+(?:JpaRepository|CrudRepository|PagingAndSortingRepository|Repository)<(\w+)", {"repo": 1, "entity": 2}).select("path", "repo", "entity")
+    known = r"^(?:JpaRepository|CrudRepository|PagingAndSortingRepository|Repository)<(\w+)"
+    rows = scopes.java_types(files).where("kind = 'interface'").select("path", F.col("name").alias("repo"), F.try_element_at(F.filter("parents", lambda p: p.rlike(known)), F.lit(1)).alias("p"))
+    return rows.where("p IS NOT NULL").select("path", "repo", F.regexp_extract("p", known, 1).alias("entity"))
 
 
 # ---- Python

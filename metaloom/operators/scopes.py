@@ -1,4 +1,4 @@
-"""Types of C# source text with what belongs to them, from one linear pass over a file.
+"""Types of C# and Java source text with what belongs to them, from one linear pass over a file.
 
 Comments and literals are masked at the same length, so braces and words within them do not count; each brace then has its
 partner from one stack, whatever the layout. A type's body leaves out the types declared within it.
@@ -112,3 +112,135 @@ def types(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return files.where(F.col("path").endswith(".cs")).select("path", "text").mapInArrow(run, SCHEMA)
+
+
+# ---- Java
+
+_JAVA_TOKEN = re.compile(r"[{}();]|(?<![\w.@])(class|interface|enum|record)\s+(\w+)")
+_MEMBER_TOKEN = re.compile(r"[;={}()]")
+_NOTE = re.compile(r"\s*@[\w.]+\s*")
+_WORD_AT_END = re.compile(r"(\w+)\s*\Z")
+_ACCESS = re.compile(r"\s*(?:(?:private|protected|public)\s+)(?:(?:final|transient|volatile)\s+){0,3}")
+JAVA_SCHEMA = "path string, pos int, kind string, name string, notes string, parents array<string>, interfaces array<string>, depth int, outline string, fields array<struct<notes: string, type: string, name: string>>"
+
+
+def _closed(text: str, at: int) -> int:
+    """The place after the parenthesis that closes the one at at; the end where none does."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(text, at):
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return m.end()
+    return len(text)
+
+
+def _java_field(clean: str, mask: str) -> tuple[str, str, str] | None:
+    """(notes, type, name) of the text of a member up to its ; or =, or None."""
+    at = 0
+    while m := _NOTE.match(mask, at):
+        at = m.end()
+        if at < len(mask) and mask[at] == "(":
+            at = _closed(mask, at)
+    access = _ACCESS.match(mask, at)
+    name = _WORD_AT_END.search(mask, max(at, mask.rstrip().rfind(" "), mask.rstrip().rfind("\n"), mask.rstrip().rfind("\t"), mask.rstrip().rfind(">"), mask.rstrip().rfind("]")))
+    if not access or not name or name.start() <= access.end():
+        return None
+    kind = re.sub(r"\s+", " ", mask[access.end() : name.start()].strip())
+    if not kind or kind.startswith("static ") or not re.fullmatch(r"[\w<>\[\], .?]+", kind):
+        return None
+    return clean[:at].strip(), kind, name[1]
+
+
+def _java_fields(clean: str, mask: str) -> list[tuple[str, str, str]]:
+    """The fields of a body that leaves out its inner types: what ends in ; or = outside parentheses and braces."""
+    out, start, parens, braces, value = [], 0, 0, 0, False
+    for m in _MEMBER_TOKEN.finditer(mask):
+        c = m[0]
+        if c in "()":
+            parens = max(0, parens + (1 if c == "(" else -1))
+        elif parens:
+            continue
+        elif c in "{}":
+            braces = max(0, braces + (1 if c == "{" else -1))
+            if c == "}" and braces == 0 and not value:
+                start = m.end()
+        elif braces == 0 and c == "=" and not value:
+            out.append(_java_field(clean[start : m.start()], mask[start : m.start()]))
+            value = True
+        elif braces == 0 and c == ";":
+            if not value:
+                out.append(_java_field(clean[start : m.start()], mask[start : m.start()]))
+            start, value = m.end(), False
+    return [f for f in out if f]
+
+
+def java_types_of(text: str) -> list[tuple]:
+    """(kind, name, notes, parents, interfaces, depth, outline, fields) of each type with a body, in order. notes are the
+    annotations and modifiers before it; braces within parentheses belong to annotations and do not open scopes. Declarations
+    of annotations are none."""
+    clean, mask = masked(text)
+    found, stack, parens, since, head = [], [], 0, 0, None
+    for m in _JAVA_TOKEN.finditer(mask):
+        c = m[0]
+        if c in "()":
+            parens = max(0, parens + (1 if c == "(" else -1))
+        elif parens:
+            continue
+        elif c in "{};":
+            if c == "{":
+                if head:
+                    found.append([*head, m.start(), len(mask), len(stack), m.end()])
+                stack.append(len(found) - 1 if head else -1)
+            elif c == "}" and stack:
+                k = stack.pop()
+                if k >= 0:
+                    found[k][5] = m.start()
+            head, since = None, m.end()
+        elif not head:
+            head = (m[1], m[2], clean[since : m.start()].strip(), (since, m.end()))
+    out, starts = [], [f[3][0] for f in found]
+    for k, (kind, name, notes, (_, name_end), brace, stop, depth, begin) in enumerate(found):
+        line = mask[name_end:brace]
+        parents, interfaces = [], []
+        parts = re.split(r"\b(extends|implements)\b", _without_parameters(line))
+        for word, rest in zip(parts[1::2], parts[2::2]):
+            (interfaces if word == "implements" else parents).extend(listed(rest))
+        pieces, at, child = [], begin, k + 1
+        while child < len(found) and found[child][3][0] < stop:
+            pieces.append((at, found[child][3][0]))
+            at = found[child][5] + 1
+            child = max(child + 1, bisect_left(starts, at))  # past what is declared within the child
+        pieces.append((at, max(at, stop)))
+        body, outline = ("".join(t[a:b] for a, b in pieces) for t in (clean, mask))
+        out.append((kind, name, notes, parents, interfaces, depth, outline, _java_fields(body, outline)))
+    return out
+
+
+def _without_parameters(head: str) -> str:
+    """A head without the type parameters or components right after its name."""
+    text, depth = head.lstrip(), 0
+    if text[:1] not in ("<", "("):
+        return text
+    for m in re.finditer(r"[<>()]", text):
+        depth += 1 if m[0] in "<(" else -1
+        if depth == 0:
+            return _without_parameters(text[m.end() :]) if text[0] == "<" else text[m.end() :]
+    return ""
+
+
+def java_types(files: DataFrame) -> DataFrame:
+    """The types in .java files with the columns of JAVA_SCHEMA; null texts have none."""
+    field = pa.struct([("notes", pa.string()), ("type", pa.string()), ("name", pa.string())])
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.list_(field)]
+    names = "path pos kind name notes parents interfaces depth outline fields".split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                for i, (*t, fields) in enumerate(java_types_of(text or "")):
+                    rows.append((p, i, *t, [dict(zip(("notes", "type", "name"), f)) for f in fields]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return files.where(F.col("path").endswith(".java")).select("path", "text").mapInArrow(run, JAVA_SCHEMA)

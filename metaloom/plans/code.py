@@ -113,3 +113,38 @@ check("P36_sequelize_fields", C.sequelize_fields, "path, entity, name, raw_type,
 add("pages_links", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n")), "SELECT route, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS route FROM pages) GROUP BY route")
 add("documents_words", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))).cast("long").alias("n")), r"SELECT doc_id, len(regexp_extract_all(text, '\w+')) AS n FROM documents")
 add("documents_mails", lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
+#: Java files with inner types, annotations with braces, literals and comments that look like code; every second part's is on one line.
+_JAVA = """package shop.p~k~;
+/* @Entity class Gone~k~ { private int x; } */
+@Entity @Table(name = "t{", indexes = {@Index(columnList = "a")})
+public class Whole~k~<T extends Comparable<T>> extends Base<T> implements Marked<T>, Kept {
+  private static final long serialVersionUID = 1L;
+  @Id private Long id;
+  @Column(name = "}", length = ~k~1) private String email = "private int no;";
+  @OneToMany(mappedBy = "o", cascade = {CascadeType.ALL}) private List<Piece~k~> pieces;
+  @Embedded private Place~k~ place;
+  public String getEmail() { String s = "}"; return s; }
+  @Embeddable public static class Place~k~ { @Column(nullable = false) private String city; }
+  public static class Plain~k~ { private int unseen; }
+  private int last;
+}
+@Entity class Piece~k~ { @ManyToOne @JoinColumn(name = "whole_id") private Whole~k~ whole; }
+interface Pieces~k~ extends Marker, CrudRepository<Piece~k~, Long> { }
+"""
+J = "J~k~.java"
+
+
+def java_files(s, d):
+    text = F.replace(F.lit(_JAVA), F.lit("~k~"), F.col("p_partkey").cast("string"))
+    flat = F.regexp_replace(text, r"\s+", " ")
+    return s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("J"), "p_partkey", F.lit(".java")).alias("path"), F.when(F.col("p_partkey") % 2 == 0, text).otherwise(flat).alias("text"))
+
+
+def check_java(name, operator, schema, rows):
+    add(name, lambda s, d: operator(java_files(s, d)).select(*[c.strip() for c in schema.split(",")]), per_part(schema, rows))
+
+
+check_java("P35_inner_entities", C.jpa_entities, "path, package, entity, base, interfaces, kind", [(J, "shop.p~k~", "Whole~k~", "Base<T>", "Marked<T>,Kept", "entity"), (J, "shop.p~k~", "Place~k~", "", "", "value_object"), (J, "shop.p~k~", "Piece~k~", "", "", "entity")])
+check_java("P35_inner_fields", C.jpa_fields, "path, name, type, is_pk, kind, is_nullable", [(J, "id", "Long", True, "primitive", True), (J, "email", "String", False, "primitive", True), (J, "pieces", "List<Piece~k~>", False, "collection", True), (J, "place", "Place~k~", False, "embedded", True), (J, "last", "int", False, "primitive", True), (J, "city", "String", False, "primitive", False), (J, "whole", "Whole~k~", False, "navigation", True)])
+check_java("P35_inner_relations", C.jpa_relations, "path, source, target, kind, via", [(J, "Whole~k~", "Piece~k~", "one_to_many", "pieces"), (J, "Whole~k~", "Place~k~", "embeds", "place"), (J, "Piece~k~", "Whole~k~", "many_to_one", "whole_id")])
+check_java("P35_inner_repositories", C.jpa_repositories, "path, repo, entity", [(J, "Pieces~k~", "Piece~k~")])

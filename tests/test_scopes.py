@@ -50,3 +50,16 @@ def test_broken_files_take_linear_time(text):
     began = time.process_time()
     scopes.types_of(text)
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text", ["{" * 100_000, "class A { " * 20_000, "@a " * 100_000, "private " * 50_000 + ";", "(" * 200_000, "@a(@a(" * 60_000, "class A<" * 30_000 + "{", "class A { private int x; }" * 10_000, '"' * 200_000])
+def test_broken_java_files_take_linear_time(text):
+    began = time.process_time()
+    scopes.java_types_of("class Z {" + text)
+    assert time.process_time() - began < 5
+
+
+def test_java_types_of_nulls_and_other_files(spark):
+    files = spark.createDataFrame([("a.java", None), ("b.java", ""), ("c.cs", "class A { }"), ("d.java", "@interface N { } enum E implements I { A { int x() { return 1; } }, B; private int code; }")], "path string, text string")
+    got = scopes.java_types(files).collect()
+    assert [(r.path, r.kind, r.name, r.interfaces, [f.name for f in r.fields]) for r in got] == [("d.java", "enum", "E", ["I"], ["code"])]
