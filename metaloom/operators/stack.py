@@ -203,7 +203,8 @@ def _hits(df: DataFrame, column: str, rules: tuple, name: str) -> DataFrame:
 def frameworks(files: DataFrame) -> DataFrame:
     """A framework by the first package (by name) that names it, else by source."""
     by_package = _hits(packages(files), "package", FRAMEWORKS, "framework").groupBy("framework").agg(F.min("package").alias("via"), F.lit(0).alias("o"))
-    by_source = _hits(source_sample(files), "sample", FRAMEWORKS, "framework").select("framework", F.lit("source-code").alias("via"), F.lit(1).alias("o"))
+    in_source = rule_hits(source_sample(files), [(n, "(?i)" + p) for p, n in FRAMEWORKS], text="sample")
+    by_source = in_source.select(F.col("rule").alias("framework"), F.lit("source-code").alias("via"), F.lit(1).alias("o"))
     return by_package.union(by_source.distinct()).groupBy("framework").agg(F.min_by("via", "o").alias("via"))
 
 
