@@ -282,7 +282,8 @@ def procedures(texts: DataFrame) -> DataFrame:
 
 def parameters(procs: DataFrame) -> DataFrame:
     """Parameters within the first PARAMETER_TEXT characters of a body: @name type [= default] [OUTPUT], or without
-    any of these [IN | OUT | INOUT] name type of the first parentheses. pos, name, raw_type, direction, default_value."""
+    any of these [IN | OUT | INOUT] name type of the first parentheses. pos, name, raw_type, direction, default_value, after
+    the columns of procs but for the body."""
     head = F.substring("body", 1, PARAMETER_TEXT)
 
     def zipped(text: Column, pattern: str, **groups: int) -> Column:
@@ -292,9 +293,10 @@ def parameters(procs: DataFrame) -> DataFrame:
     plain = zipped(F.regexp_extract(head, r"(?s)^\s*\(((?:[^()]|\([^()]*\))*)\)", 1), r"(?i)(?:^|,)\s*(?:(IN|OUT|INOUT)\s+)?(\w+)\s+(\w+(?:\s*\([^)]*\))?)\s*()(?=,|$)", way=1, name=2, type=3, default=4)
     order = ("name", "type", "default", "way")
     even = lambda a: F.transform(a, lambda x: F.struct(*[x.getField(n).alias(n) for n in order]))
-    rows = procs.select("proc", F.posexplode(F.when(F.size(marked) > 0, even(marked)).otherwise(even(plain))).alias("pos", "x"))
+    own = [c for c in procs.columns if c != "body"]
+    rows = procs.select(*own, F.posexplode(F.when(F.size(marked) > 0, even(marked)).otherwise(even(plain))).alias("pos", "x"))
     way = F.upper(F.coalesce("x.way", F.lit("")))
-    return rows.select("proc", "pos", F.col("x.name").alias("name"), F.lower("x.type").alias("raw_type"), F.when(way.isin("OUTPUT", "OUT"), "OUT").when(way == "INOUT", "INOUT").otherwise("IN").alias("direction"), F.coalesce("x.default", F.lit("")).alias("default_value"))
+    return rows.select(*own, "pos", F.col("x.name").alias("name"), F.lower("x.type").alias("raw_type"), F.when(way.isin("OUTPUT", "OUT"), "OUT").when(way == "INOUT", "INOUT").otherwise("IN").alias("direction"), F.coalesce("x.default", F.lit("")).alias("default_value"))
 
 
 def summary(texts: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ add("P08_P16_foreign_keys", lambda s, d: D.foreign_keys(parts(s, d)).drop("sourc
 add("P09_indexes", lambda s, d: D.indexes(texts(s, d)).drop("source_file", "schema"), _each("'ix' || k AS idx, 'U' || k AS tbl, 'No,Name' AS cols, p_size % 3 = 0 AS is_unique"))
 add("P10_P13_views", lambda s, d: D.views(texts(s, d)).drop("source_file"), _each("'shop' AS schema, 'V' || k AS view, 'SELECT * FROM [dbo].[T' || k || '] t JOIN U' || k || ' u ON t.Id = u.Id JOIN #tmp x ON 1 = 1' AS definition, 'T' || k || ',U' || k AS sources"))
 add("P15_triggers", lambda s, d: D.triggers(texts(s, d)).drop("source_file"), _each("'trA' || k AS trg, 'T' || k AS tbl, 'AFTER' AS timing, 'INSERT,UPDATE' AS events", "'trB' || k, 'U' || k, 'BEFORE', 'DELETE'"))
-add("P11_P12_procedures", lambda s, d: (lambda p: p.select("schema", "proc", "proc_type").join(D.parameters(p), "proc"))(D.procedures(texts(s, d))), _each("'dbo' AS schema, 'P' || k AS proc, 'PROCEDURE' AS proc_type, 0 AS pos, '@id' AS name, 'int' AS raw_type, 'IN' AS direction, '' AS default_value", "'dbo', 'P' || k, 'PROCEDURE', 1, '@name', 'varchar(' || s || ')', 'IN', q || 'x' || q", "'dbo', 'P' || k, 'PROCEDURE', 2, '@out', 'int', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 0, 'a', 'int', 'IN', ''", "'dbo', 'F' || k, 'FUNCTION', 1, 'b', 'varchar(' || s || ')', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 2, 'c', 'decimal(9,2)', 'IN', ''"))
+add("P11_P12_procedures", lambda s, d: D.parameters(D.procedures(texts(s, d)).drop("source_file")), _each("'dbo' AS schema, 'P' || k AS proc, 'PROCEDURE' AS proc_type, 0 AS pos, '@id' AS name, 'int' AS raw_type, 'IN' AS direction, '' AS default_value", "'dbo', 'P' || k, 'PROCEDURE', 1, '@name', 'varchar(' || s || ')', 'IN', q || 'x' || q", "'dbo', 'P' || k, 'PROCEDURE', 2, '@out', 'int', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 0, 'a', 'int', 'IN', ''", "'dbo', 'F' || k, 'FUNCTION', 1, 'b', 'varchar(' || s || ')', 'OUT', ''", "'dbo', 'F' || k, 'FUNCTION', 2, 'c', 'decimal(9,2)', 'IN', ''"))
 add("A02_ddl_summary", lambda s, d: D.summary(texts(s, d)), "SELECT kind, CAST(count(*) * n + m * count(*) FILTER (p_size % 5 = 0) AS BIGINT) AS n FROM part, (VALUES ('table', 2, 1), ('column', 8, 2), ('constraint', 4, 0), ('foreign_key', 2, 0), ('index', 1, 0), ('view', 1, 0), ('procedure', 1, 0), ('function', 1, 0), ('trigger', 2, 0)) AS t(kind, n, m) GROUP BY kind, n, m")
 
 
