@@ -19,3 +19,17 @@ def test_parameters_need_no_join_and_do_not_mix_schemas(texts):
     rows = D.parameters(D.procedures(texts))
     assert "Join" not in plan(rows)
     assert sorted((r["schema"], r["proc"], r["name"]) for r in rows.collect()) == [("a", "P", "@id"), ("b", "P", "@no"), ("b", "P", "@x")]
+
+
+def test_script_files_hold_few_scripts(spark, tmp_path, monkeypatch):
+    import os
+
+    from metaloom.plans import ddl
+
+    spark.range(3 * ddl.SCRIPTS).selectExpr("id AS p_partkey", "CAST(id % 50 AS int) AS p_size", "'b' AS p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = f"{tmp_path}/scripts"
+    monkeypatch.setattr(ddl, "new_dir", lambda s, what: out)
+    rows = {r["schema"]: (r["n_columns"], r["n_tables"]) for r in ddl.script_files(spark, str(tmp_path)).collect()}
+    n, fifth = 3 * ddl.SCRIPTS, sum(k % 50 % 5 == 0 for k in range(3 * ddl.SCRIPTS))
+    assert rows == {"dbo": (5 * n, n), "shop": (3 * n + 2 * fifth, n + fifth)}
+    assert max(os.path.getsize(f"{out}/{f}") for f in os.listdir(out)) < ddl.SCRIPTS * 4000
