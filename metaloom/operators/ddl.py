@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.scalar import column_risk, normalize_sql_type
+from metaloom.operators.batches import pieces
 from metaloom.sources.scratch import cut
 
 IDENT = r"(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\w+)"
@@ -166,7 +167,7 @@ def statements(texts: DataFrame, default_schema: str = "dbo") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(f, *r) for f, t in zip(batch.column("source_file").to_pylist(), batch.column("text").to_pylist()) for r in _statements(t or "", default_schema)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names_)

@@ -1,8 +1,10 @@
 """Steps whose cost must not grow faster than their input: plans, pieces and files of bounded size."""
 
+import pyarrow as pa
 import pytest
 
 from metaloom.operators import ddl as D
+from metaloom.operators.batches import BYTES, ROWS, pieces
 
 
 def plan(df):
@@ -21,6 +23,14 @@ def test_parameters_need_no_join_and_do_not_mix_schemas(texts):
     assert sorted((r["schema"], r["proc"], r["name"]) for r in rows.collect()) == [("a", "P", "@id"), ("b", "P", "@no"), ("b", "P", "@x")]
 
 
+def test_pieces_are_small_and_whole():
+    long = "x" * (BYTES + 1)
+    texts = ["a"] * (2 * ROWS + 3) + [None, long, long, "b"]
+    got = list(pieces(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])])))
+    assert [t for b in got for t in b.column("text").to_pylist()] == texts
+    assert max(b.num_rows for b in got) <= ROWS and sum(long in b.column("text").to_pylist() and b.num_rows == 1 for b in got) >= 1
+
+
 def test_script_files_hold_few_scripts(spark, tmp_path, monkeypatch):
     import os
 
