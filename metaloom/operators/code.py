@@ -5,7 +5,7 @@ files: (path, text). C# types and their bodies come from metaloom.operators.scop
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.operators import scopes
@@ -93,16 +93,23 @@ def field_risk(name: Column, language: str) -> Column:
 
 # ---- C#
 
+def types(files: DataFrame) -> DataFrame:
+    """The types of C# files with their file's first namespace (ns) and whether it is marked as one of value objects. The
+    operators of C# types below take this in place of files, too: cut() it where several read it."""
+    if "outline" in files.columns:
+        return files
+    return scopes.types(files, ns=F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1), marked=F.col("text").rlike(r"(?i)//\s*ValueObject")).drop("begin", "stop", "depth", "body")
+
+
 def bodies(files: DataFrame) -> DataFrame:
     """(path, pos, kind, name, body) of C# classes, records and structs with a body; its literals are masked."""
-    return scopes.types(files).where("kind <> 'interface' AND body IS NOT NULL").select("path", "pos", "kind", "name", F.col("outline").alias("body"))
+    return types(files).where("kind <> 'interface' AND outline IS NOT NULL").select("path", "pos", "kind", "name", F.col("outline").alias("body"))
 
 
 def classes(files: DataFrame) -> DataFrame:
     """Path, ns, name, kind, bases, interfaces, is_root and is_value of C# types, with or without a body."""
-    ns = files.where(F.col("path").endswith(".cs")).select("path", F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1).alias("ns"), F.col("text").rlike(r"(?i)//\s*ValueObject").alias("marked"))
     is_interface = lambda x: x.rlike("^I[A-Z]")
-    rows = scopes.types(files).join(ns, "path").withColumns({"b": F.filter("listed", lambda x: ~is_interface(x)), "i": F.filter("listed", is_interface)})
+    rows = types(files).withColumns({"b": F.filter("listed", lambda x: ~is_interface(x)), "i": F.filter("listed", is_interface)})
     is_value = F.col("marked") | (F.col("kind") == "record") | F.arrays_overlap(F.concat("b", "i"), F.array(*map(F.lit, VALUES)))
     return rows.select("path", "ns", "name", "kind", F.array_join("b", ",").alias("bases"), F.array_join("i", ",").alias("interfaces"), F.arrays_overlap("i", F.array(*map(F.lit, ROOTS))).alias("is_root"), is_value.alias("is_value"))
 
@@ -166,10 +173,12 @@ def fluent(files: DataFrame) -> DataFrame:
 
 def configured(files: DataFrame) -> DataFrame:
     """Has/Owns lines of a configuration class for source; a With line among the next five turns the kind."""
-    lines = files.where(F.col("path").endswith(".cs")).select("path", F.regexp_extract("text", r"IEntityTypeConfiguration<(\w+)>", 1).alias("source"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(0, 5)
-    many = F.max(F.col("line").contains("WithMany")).over(w)
-    rows = lines.withColumns({"many": many, "has": F.regexp_extract("line", r"\b(HasMany|HasOne|OwnsOne|OwnsMany)\b", 1), "via": F.regexp_extract("line", r"(?:HasMany|HasOne|OwnsOne|OwnsMany)\(\s*\w+\s*=>\s*\w+\.(\w+)", 1)}).where("has <> ''")
+    has = r"\b(HasMany|HasOne|OwnsOne|OwnsMany)\b"
+    listed = files.where(F.col("path").endswith(".cs") & F.col("text").rlike(has)).select("path", F.regexp_extract("text", r"IEntityTypeConfiguration<(\w+)>", 1).alias("source"), F.split("text", "\n").alias("lines"))
+    placed = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"))), lambda x: x["line"].rlike(has))
+    many = lambda x: F.exists(F.slice("lines", x["n"] + 1, 6), lambda y: y.contains("WithMany"))
+    hits = listed.select("path", "source", F.explode(F.transform(placed, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), many(x).alias("many")))).alias("x")).select("path", "source", "x.*")
+    rows = hits.withColumns({"has": F.regexp_extract("line", has, 1), "via": F.regexp_extract("line", r"(?:HasMany|HasOne|OwnsOne|OwnsMany)\(\s*\w+\s*=>\s*\w+\.(\w+)", 1)})
     kind = F.when(F.col("has") == "OwnsOne", "owns_one").when(F.col("has") == "OwnsMany", "owns_many").when(F.col("has") == "HasMany", F.when(F.col("many"), "many_to_many").otherwise("one_to_many")).otherwise(F.when(F.col("many"), "many_to_one").otherwise("one_to_one"))
     return rows.select("path", "source", (F.col("n") + 1).alias("line_no"), "via", kind.alias("kind"))
 
@@ -221,7 +230,7 @@ def requests(files: DataFrame) -> DataFrame:
 def dto_fields(files: DataFrame) -> DataFrame:
     """(path, dto, pos, name, type) of transfer objects: their properties, or a record's positional parameters."""
     ends = F.col("dto").rlike(f"(?i)(?:{DTO_ENDS})$")
-    own = bodies(files).select("path", F.col("name").alias("dto"), F.posexplode(_zip(F.col("body"), r"(?:public|internal)\s+(?:required\s+)?([\w<>?, \[\]]+?)\s+(\w+)\s*\{\s*(?:get|set|init)", {"type": 1, "name": 2})).alias("pos", "x"))
+    own = bodies(files.where(F.col("text").rlike("get|set|init"))).select("path", F.col("name").alias("dto"), F.posexplode(_zip(F.col("body"), r"(?:public|internal)\s+(?:required\s+)?([\w<>?, \[\]]+?)\s+(\w+)\s*\{\s*(?:get|set|init)", {"type": 1, "name": 2})).alias("pos", "x"))
     placed = found(files, ".cs", r"\brecord\s+(\w+)\s*\(([^)]*)\)", {"dto": 1, "listed": 2}).select("path", "dto", F.posexplode(F.split("listed", r",(?![^<]*>)")).alias("pos", "p"))
     placed = placed.select("path", "dto", "pos", F.regexp_extract("p", r"(\w+)\s*(?:=.*)?$", 1).alias("name"), F.trim(F.regexp_extract("p", r"^\s*(.+?)\s+\w+\s*(?:=.*)?$", 1)).alias("type")).where("name <> ''")
     return own.select("path", "dto", "pos", "x.name", "x.type").where(ends).union(placed.where(ends))
@@ -279,16 +288,16 @@ def spring_endpoints(files: DataFrame) -> DataFrame:
 STORED = r"@(?:Entity|Embeddable|MappedSuperclass)\b"
 
 
-def _stored(files: DataFrame) -> DataFrame:
-    return scopes.java_types(files).where(F.col("kind").isin("class", "record") & F.col("notes").rlike(STORED))
+def _stored(files: DataFrame, **more: Column) -> DataFrame:
+    return scopes.java_types(files, **more).where(F.col("kind").isin("class", "record") & F.col("notes").rlike(STORED))
 
 
 def jpa_entities(files: DataFrame) -> DataFrame:
     """Annotated classes, several a file and inner ones too, with package, base and interfaces; embeddable ones are value
     objects."""
-    package = files.where(F.col("path").endswith(".java")).select("path", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"))
+    package = F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
     kind = F.when(F.col("notes").rlike(r"\babstract\b"), "entity").when(F.col("notes").rlike(r"@(?:MappedSuperclass|Embeddable)\b"), "value_object").otherwise("entity")
-    return _stored(files).withColumn("kind", kind).join(package, "path").select("path", "package", F.col("name").alias("entity"), _text(F.try_element_at("parents", F.lit(1))).alias("base"), F.array_join("interfaces", ",").alias("interfaces"), "kind")
+    return _stored(files, package=package).withColumn("kind", kind).select("path", "package", F.col("name").alias("entity"), _text(F.try_element_at("parents", F.lit(1))).alias("base"), F.array_join("interfaces", ",").alias("interfaces"), "kind")
 
 
 def _members(files: DataFrame) -> DataFrame:
