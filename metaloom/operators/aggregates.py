@@ -95,7 +95,7 @@ def mapper_profiles(files: DataFrame) -> DataFrame:
     pair = r"CreateMap\s*<\s*(\w+)\s*,\s*(\w+)\s*>"
     at = lambda g: F.regexp_extract_all("body", F.lit(pair), F.lit(g))
     maps = F.zip_with(at(1), at(2), lambda a, b: F.concat(a, F.lit(">"), b))
-    return C.bodies(files).select("path", "name", _joined(F.array_distinct(maps)).alias("mappings")).where("mappings <> ''")
+    return C.bodies(files.where(F.col("text").contains("CreateMap"))).select("path", "name", _joined(F.array_distinct(maps)).alias("mappings")).where("mappings <> ''")
 
 
 def anti_corruption_layers(entities: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from metaloom.plans import code
 from metaloom.plans import governance as GV
 from metaloom.plans.fixtures import cte, frame
 from metaloom.plans.registry import ORACLES, add, for_suppliers, per_part, per_supplier
+from metaloom.sources.scratch import cut
 
 _C = ("namespace", "entity", "path")
 #: (namespace, entity, path, its aggregate)
@@ -27,11 +28,17 @@ add("X09_aggregate_of_package", lambda s, d: _made(_PACKAGES, "package string, e
 add("X09_aggregate_of_module", lambda s, d: _made(_MODULES, "path string, entity string")(s, d).select("entity", A.aggregate_of_module(F.col("path"), F.col("entity")).alias("aggregate")), per_supplier("entity, aggregate", [r[1:] for r in _MODULES]))
 
 
-def classes(s, d):
-    return C.classes(code.files(s, d)).where("is_root OR is_value").select(F.col("name").alias("entity"), "is_root")
+def _of_code(operator):
+    """A query of an operator over classes, properties and constructor parameters of the made files, read once."""
+
+    def query(s, d):
+        found = cut(C.types(code.files(s, d)))
+        classes = C.classes(found).where("is_root OR is_value").select(F.col("name").alias("entity"), "is_root")
+        return operator(classes, C.properties(found), C.constructor_parameters(found))
+
+    return query
 
 
-_of_code = lambda operator: lambda s, d: operator(classes(s, d), C.properties(code.files(s, d)), C.constructor_parameters(code.files(s, d)))
 add("D01_guarded_roots", _of_code(A.guarded_roots), per_part("entity, exposed, has_encapsulation_issue, has_guard_clauses", [("Order~k~", "Lines", True, True)]))
 add("D03_invariants_of_code", _of_code(A.invariants_of), per_part("entity, kind, names", [("Order~k~", "constructor_guard", "n,name"), ("Order~k~", "private_setter_invariant", "Id")]))
 add("D06_layers", lambda s, d: A.anti_corruption_layers(frame(s, d, "fx_entities"), A.mapper_profiles(code.files(s, d))), f"{cte('fx_entities')} SELECT entity AS name, 'snapshot_acl' AS kind, '' AS mappings FROM fx_entities WHERE entity LIKE '%Ordered%' UNION ALL {per_part('name, kind, mappings', [('M', 'automapper_profile', 'Order~k~>OrderDto')])}")
