@@ -13,7 +13,7 @@ from metaloom.operators import stack as T
 from metaloom.plans import code, models
 from metaloom.plans.fixtures import cte, frame
 from metaloom.plans.registry import add, for_suppliers, per_part, per_supplier, values
-from metaloom.sources.scratch import new_dir
+from metaloom.sources.scratch import cut, new_dir
 
 ents, fields, rels, eps, hands = ((lambda n: (lambda s, d: frame(s, d, n)))(n) for n in ("fx_entities", "fx_fields", "fx_rels", "fx_endpoints", "fx_handlers"))
 _WORDS = [("HasMany m2m", "many_to_many"), ("ONE_TO_MANY", "one_to_many"), ("n_to_1", "many_to_one"), ("1_to_1", "one_to_one"), ("Owned type", "embeds"), ("cross_ref", "references"), ("?", "one_to_many")]
@@ -33,8 +33,9 @@ add("G20_enriched", lambda s, d: A.enriched(rels(s, d), fields(s, d), ents(s, d)
 def of_code(s, d):
     """Relations of the made C# files: a configuration names its target by the property that it goes through."""
     files = code.files(s, d)
-    types = C.classes(files).select(F.col("name").alias("entity"), F.lit("").alias("aggregate"), F.col("is_value"))
-    props = C.properties(files).select("entity", "name", "category", "target")
+    found = cut(C.types(files))
+    types = C.classes(found).select(F.col("name").alias("entity"), F.lit("").alias("aggregate"), F.col("is_value"))
+    props = C.properties(found).select("entity", "name", "category", "target")
     by_property = props.select(F.col("entity").alias("source"), F.col("name").alias("via"), F.nullif("target", F.lit("")).alias("t"))
     configured = C.configured(files).join(by_property, ["source", "via"], "left").select("source", F.coalesce("t", "via").alias("target"), "kind", "via")
     return A.code_relations(configured, props, types)
@@ -69,8 +70,9 @@ add("G15_injections", lambda s, d: A.injections(eps(s, d), hands(s, d)), f"{cte(
 def named_types(s, d):
     """G18 over the made C# files."""
     files = code.files(s, d)
-    types = C.classes(files)
-    uses = C.properties(files).where("target <> ''").select(F.col("path").alias("file"), F.col("target").alias("type")).join(types.select(F.col("path").alias("file"), "ns").distinct(), "file")
+    found = cut(C.types(files))
+    types = C.classes(found)
+    uses = C.properties(found).where("target <> ''").select(F.col("path").alias("file"), F.col("target").alias("type")).join(types.select(F.col("path").alias("file"), "ns").distinct(), "file")
     usings = C.symbols(files).where("kind = 'using'").select(F.col("path").alias("file"), F.col("name").alias("ns")).union(uses.select("file", F.lit("Shop.Shared")).distinct())
     shared = s.createDataFrame([("Shop.Shared", "Address")], "ns string, name string")
     return A.resolved_names(uses, types.select("ns", "name").union(shared), usings)

@@ -10,6 +10,7 @@ from metaloom.operators import flows as W
 from metaloom.plans import code
 from metaloom.plans.fixtures import cte, frame
 from metaloom.plans.registry import add, per_part
+from metaloom.sources.scratch import cut
 
 
 def _arrays(df, *names):
@@ -74,8 +75,9 @@ def of_code(s, d):
     ends = C.endpoint_classes(files).withColumns({"services": F.array().cast("array<string>"), "repos": typed, "file": F.col("path"), "path": F.col("route")})
     found = C.controllers(files).withColumns({"services": F.array().cast("array<string>"), "repos": typed, "file": F.col("path"), "path": F.col("route"), "request": F.lit(""), "response": F.lit("")})
     hands = C.handlers(files).withColumns({"repos": typed, "file": F.col("path")})
-    rooted = C.classes(files).where("is_root OR is_value").select(F.col("name").alias("entity"), F.when(F.col("is_value"), "value_object").otherwise("entity").alias("kind"), F.col("path").alias("file"))
-    props = C.properties(files).select("entity", F.lit(0).alias("pos"), F.col("name").alias("field"), "type", (F.col("category") == "navigation").alias("is_nav"))
+    types = cut(C.types(files))
+    rooted = C.classes(types).where("is_root OR is_value").select(F.col("name").alias("entity"), F.when(F.col("is_value"), "value_object").otherwise("entity").alias("kind"), F.col("path").alias("file"))
+    props = C.properties(types).select("entity", F.lit(0).alias("pos"), F.col("name").alias("field"), "type", (F.col("category") == "navigation").alias("is_nav"))
     flows, _ = W.trace(ends.unionByName(found.select(*ends.columns)), hands, rooted, props)
     return flows.select("kind", "flow", "auth", "file", "times", "n_steps", "has_gaps", "confidence", F.array_join("boundaries", ",").alias("boundaries"))
 

@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 
+from metaloom.operators import code as C
 from metaloom.operators import ddl as D
 from metaloom.operators.batches import BYTES, ROWS, pieces
 
@@ -43,3 +44,44 @@ def test_script_files_hold_few_scripts(spark, tmp_path, monkeypatch):
     n, fifth = 3 * ddl.SCRIPTS, sum(k % 50 % 5 == 0 for k in range(3 * ddl.SCRIPTS))
     assert rows == {"dbo": (5 * n, n), "shop": (3 * n + 2 * fifth, n + fifth)}
     assert max(os.path.getsize(f"{out}/{f}") for f in os.listdir(out)) < ddl.SCRIPTS * 4000
+
+
+def test_types_of_files_carry_what_their_file_says(spark):
+    files = spark.createDataFrame([("a.cs", "namespace A.B;\nclass X : Base { }\nclass Y { }"), ("a.cs", "// ValueObject\nrecord Z(int A);"), ("b.cs", None)], "path string, text string")
+    rows = C.classes(files)
+    assert "Join" not in plan(rows)
+    assert sorted((r["ns"], r["name"], r["is_value"]) for r in rows.collect()) == [("", "Z", True), ("A.B", "X", False), ("A.B", "Y", False)]
+    java = spark.createDataFrame([("A.java", "package p.q;\n@Entity class A extends B { private int x; }"), ("A.java", "@Entity class C { }")], "path string, text string")
+    found = C.jpa_entities(java)
+    assert "Join" not in plan(found)
+    assert sorted((r["package"], r["entity"]) for r in found.collect()) == [("", "C"), ("p.q", "A")]
+
+
+def test_made_files_are_dealt_and_known_to_be_large(spark):
+    from metaloom.plans import code
+
+    for made in (code.files, code.java_files):
+        df = made(spark, "/root/testdata/sf0.01")
+        assert df.rdd.getNumPartitions() > 4
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        assert size > 10 << 20
+
+
+def test_a_file_tells_its_relations_without_a_shuffle(spark):
+    lines = ["class C : IEntityTypeConfiguration<A> { }", "b.HasMany(o => o.Xs)", *[""] * 5, ".WithMany();", "b.HasMany(o => o.Ys)", *[""] * 4, ".WithMany();", "b.OwnsOne(o => o.Z);"]
+    files = spark.createDataFrame([("a.cs", "\n".join(lines)), ("a.cs", "b.HasOne(o => o.W);"), ("b.cs", "class D { }"), ("c.cs", None)], "path string, text string")
+    rows = C.configured(files)
+    assert "Exchange" not in plan(rows)
+    found = sorted((r["source"], r["line_no"], r["via"], r["kind"]) for r in rows.collect())
+    assert found == [("", 1, "W", "one_to_one"), ("A", 2, "Xs", "one_to_many"), ("A", 9, "Ys", "many_to_many"), ("A", 15, "Z", "owns_one")]
+
+
+@pytest.mark.parametrize("name", ["D01_guarded_roots", "D03_invariants_of_code", "G14_code_flows", "G18_resolved_names", "G21_code_relations"])
+def test_types_of_files_are_read_once(spark, monkeypatch, name):
+    from metaloom import plans
+    from metaloom.operators import scopes
+
+    calls, real = [], scopes.types
+    monkeypatch.setattr(scopes, "types", lambda *a, **k: calls.append(1) or real(*a, **k))
+    plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
