@@ -85,3 +85,31 @@ def test_types_of_files_are_read_once(spark, monkeypatch, name):
     monkeypatch.setattr(scopes, "types", lambda *a, **k: calls.append(1) or real(*a, **k))
     plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_clones_of_equal_sets_are_not_compared(spark, monkeypatch):
+    """All pairs, by brute force, of sets cut into several items and blocks, with names in both orders; items meet, not owners."""
+    import random
+
+    from metaloom.operators import redundancy as R
+
+    monkeypatch.setattr(R, "ITEM", 2)
+    monkeypatch.setattr(R, "BLOCK", 3)
+    monkeypatch.setattr(R, "PARTS", 2)
+    rng = random.Random(5)
+    kinds = [sorted(rng.sample("abcdefgh", rng.randint(1, 8))) for _ in range(6)] + [list("abcdefg"), list("abcdefgh"), list("bcdefgh")]
+    sets = {f"{rng.randint(0, 10**6):06d}": rng.choice(kinds) for _ in range(60)}
+    members = spark.createDataFrame([(o, f) for o, s in sets.items() for f in s] + [("n", None), (None, "a")], "owner string, feature string")
+    want = {}
+    for a in sets:
+        for b in sets:
+            x, y = set(sets[a]), set(sets[b])
+            if a < b and min(len(x), len(y)) >= 2 and len(x & y) / len(x | y) >= 0.7 - 1e-12:
+                want[a, b] = (len(x & y), len(x | y), ",".join(sorted(x & y)), ",".join(sorted(x - y)), ",".join(sorted(y - x)))
+    got = R.clones(members).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.common, r.total) for r in got} == {k: v[:2] for k, v in want.items()}
+    found = R.clone_findings(members).collect()
+    assert len(found) == len(want) and {(r.a, r.b): (r.shared, r.unique_a, r.unique_b) for r in found} == {k: v[2:] for k, v in want.items()}
+    monkeypatch.undo()
+    equal = spark.range(2000).selectExpr("id AS owner", "explode(array(1, 2, 3)) AS feature")
+    assert R._alike(equal, 0.7, 2).count() < 3000 and R.clones(equal).count() == 2000 * 1999 // 2
