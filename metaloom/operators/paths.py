@@ -249,7 +249,9 @@ def distances(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
 
 def ancestor_counts(edges: DataFrame) -> DataFrame:
     """(node, n_ancestors) of nodes that others reach: pairs are only made between components, and a component's nodes
-    are counted, not paired."""
+    are counted, not paired. A component that nothing reaches and that leads to one other only counts as part of what stands
+    above that one; one that leads nowhere and hangs on one other only has that one's ancestors and its nodes. So leaves
+    make no pairs either."""
     with workspace(edges.sparkSession):
         known = components(edges)
         pairs = edges.select("src", "dst").distinct()
@@ -258,7 +260,16 @@ def ancestor_counts(edges: DataFrame) -> DataFrame:
         sizes = cut(names.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
         of = lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
         condensed = pairs.join(of("src"), "src").join(of("dst"), "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
-        reach = distances(condensed)
-        above = reach.join(sizes.withColumnRenamed("component", "src"), "src").groupBy(F.col("dst").alias("component")).agg(F.sum("n").alias("above"))
-        total = sizes.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.col("n") - 1).alias("n_ancestors")).where("n_ancestors > 0")
+        condensed = cut(condensed.distinct())
+        one = lambda df, a, b: df.groupBy(a).agg(F.min(b).alias(b), F.max(b).alias("_last")).where(F.col(b) == F.col("_last")).select(a, b)
+        tops = cut(one(condensed, "src", "dst").join(condensed.select(F.col("dst").alias("src")).distinct(), "src", "left_anti"))
+        lower = condensed.join(tops.select("src"), "src", "left_anti")
+        ends = cut(one(lower, "dst", "src").join(lower.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti"))
+        hung = tops.join(sizes.withColumnRenamed("component", "src"), "src").groupBy(F.col("dst").alias("component")).agg(F.sum("n").alias("hung"))
+        weights = cut(sizes.join(hung, "component", "left").select("component", "n", F.coalesce("hung", F.lit(0)).alias("hung")))
+        reach = distances(lower.join(ends.select("dst"), "dst", "left_anti"))
+        over = reach.join(weights.select(F.col("component").alias("src"), (F.col("n") + F.col("hung")).alias("w")), "src").groupBy(F.col("dst").alias("component")).agg(F.sum("w").alias("over"))
+        inner = cut(weights.join(over, "component", "left").select("component", "n", (F.coalesce("over", F.lit(0)) + F.col("hung")).alias("above")))
+        given = ends.join(inner.select(F.col("component").alias("src"), (F.col("above") + F.col("n")).alias("given")), "src").select(F.col("dst").alias("component"), "given")
+        total = inner.join(given, "component", "left").select("component", (F.col("above") + F.coalesce("given", F.lit(0)) + F.col("n") - 1).alias("n_ancestors")).where("n_ancestors > 0")
         return keep(names.join(total, "component").select("node", "n_ancestors"))

@@ -113,3 +113,23 @@ def test_clones_of_equal_sets_are_not_compared(spark, monkeypatch):
     monkeypatch.undo()
     equal = spark.range(2000).selectExpr("id AS owner", "explode(array(1, 2, 3)) AS feature")
     assert R._alike(equal, 0.7, 2).count() < 3000 and R.clones(equal).count() == 2000 * 1999 // 2
+
+
+def test_leaves_make_no_pairs_of_ancestors(spark, monkeypatch):
+    import random
+
+    from metaloom.operators import paths
+
+    seen, real = [], paths.distances
+    monkeypatch.setattr(paths, "distances", lambda e, *a: seen.append(e.count()) or real(e, *a))
+    fan = [(f"t{i}", "hub") for i in range(30)] + [("hub", f"e{i}") for i in range(30)] + [("t0", "hub"), ("u", "v")]
+    rng = random.Random(11)
+    mixed = [(f"n{rng.randint(0, 15)}", f"n{rng.randint(0, 15)}") for _ in range(22)]
+    for edges in (fan, mixed, [*mixed, ("x", "n1"), ("n2", "y"), ("n3", "y"), ("x", "y")]):
+        nodes = {x for e in edges for x in e}
+        above = {n: {a for a, b in edges if b == n} for n in nodes}
+        for _ in nodes:
+            above = {n: above[n].union(*(above[a] for a in above[n])) for n in nodes}
+        want = {n: len(a - {n}) for n, a in above.items() if a - {n}}
+        assert {r.node: r.n_ancestors for r in paths.ancestor_counts(spark.createDataFrame(edges, "src string, dst string")).collect()} == want
+    assert seen[0] == 0
