@@ -22,10 +22,10 @@ def access(facts: DataFrame) -> DataFrame:
 
 def edges(tables: DataFrame, views: DataFrame, facts: DataFrame, fks: DataFrame) -> DataFrame:
     """(src, dst, edge, via) of views (view, source), procedures and keys (tbl, ref_tbl, cols). A view's source is a
-    table, else a view, else left out."""
+    table, else a view, else left out. All sides grow with the catalog, so none is broadcast."""
     known = tables.select(F.col("tbl").alias("source"), F.lit(True).alias("is_table")).distinct()
     others = views.select(F.col("view").alias("source"), F.lit(True).alias("is_view")).distinct()
-    v = views.join(known, "source", "left").join(others, "source", "left").where("is_table OR is_view")
+    v = views.join(known.hint("merge"), "source", "left").join(others.hint("merge"), "source", "left").where("is_table OR is_view")
     view = F.concat(F.lit("VIEW:"), F.col("view"))
     of_views = v.select(F.when(F.col("is_table"), F.col("source")).otherwise(F.concat(F.lit("VIEW:"), "source")).alias("src"), view.alias("dst"), F.when(F.col("is_table"), "view_reads").otherwise("view_reads_view").alias("edge"), F.col("view").alias("via"))
     proc = F.concat(F.lit("PROC:"), F.col("proc"))

@@ -7,6 +7,7 @@ What a call writes on the way goes at its end, but for its result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,19 +74,26 @@ def chains(edges: DataFrame, starts: int = START_TABLES, max_nodes: int = MAX_NO
         return keep(out.select(F.array_join("path", "→").alias("path"), F.array_join("kinds", ",").alias("kinds"), (F.size("path") - 1).alias("depth"), write.alias("has_write"), F.when(write, "MEDIUM").otherwise("LOW").alias("risk")))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the graph. A file of many alike names is far smaller than its rows, so that Spark
+    would take such a table for one to broadcast, and each task would hold it whole."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges without those that begin where none ends or end where none begins, until there are none to drop: a round for each
     two edges of the longest path outside components."""
-    now, count = edges, -1
+    now, before = edges, -1
     while True:
-        now = cut(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        ended = _met(now, now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        now = cut(_met(ended, now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         after = now.count()
-        if after in (count, 0):
+        if after in (before, 0):
             return now
-        count = after
+        before = after
 
 
-#: Edges that one task may take, some 100 MB there: what is left of a graph is finished in one step once it is this small.
+#: Edges that one task may take, some 100 MB there: graphs and blocks of this size are finished in one step.
 LOCAL_EDGES = 300_000
 
 
@@ -132,34 +140,87 @@ def _tarjan(pairs: list[tuple]) -> dict:
 
 
 def _finished(edges: DataFrame) -> DataFrame:
-    """(node, component) of a graph of LOCAL_EDGES edges at most, in one task."""
+    """(node, component) of edges (src, dst, block) in which a block's rows follow each other, LOCAL_EDGES at most."""
     kind = edges.schema["src"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple] = []
-        for batch in batches:
-            pairs += zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())
-        found = _tarjan(pairs)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()))], ["node", "component"])
+        block, pairs = None, []
 
-    return edges.coalesce(1).mapInArrow(run, StructType([StructField("node", kind), StructField("component", kind)]))
+        def done() -> Iterator[pa.RecordBatch]:
+            if found := _tarjan(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()))], ["node", "component"])
+
+        for batch in batches:
+            for of, a, b in zip(*(batch.column(c).to_pylist() for c in ("block", "src", "dst"))):
+                if of != block:
+                    yield from done()
+                    block, pairs = of, []
+                pairs.append((a, b))
+        yield from done()
+
+    return edges.mapInArrow(run, StructType([StructField("node", kind), StructField("component", kind)]))
+
+
+def _blocks(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """(src, dst, block): edges by the weakly connected part that they lie in.
+
+    In each round a node goes over into its smallest neighbour, itself included, and edges are kept between what is left, under
+    new random numbers, so that rounds go with the logarithm of the nodes and get smaller. Nodes are hashes throughout: equal
+    ones only put two parts into one block. rounds gets the edges before each."""
+    step = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
+    between = lambda df: cut(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    step, ups = between(step), []
+    for n in count(1):
+        if rounds is not None:
+            rounds.append(step.count())
+        least = step.union(step.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        up = cut(least.select("a", F.xxhash64(F.least("a", "b"), F.lit(n)).alias("up")))
+        ups.append(up)
+        half = _met(step, up, "a").select("b", F.col("up").alias("_a"))
+        step = between(_met(half, up.withColumnRenamed("a", "b"), "b").select(F.col("_a").alias("a"), F.col("up").alias("b")))
+        if step.isEmpty():
+            break
+    block = ups.pop()
+    while ups:
+        block = _met(ups.pop(), block.select(F.col("a").alias("up"), F.col("up").alias("last")), "up", "left").select("a", F.coalesce("last", "up").alias("up"))
+        block = cut(block)
+    named = edges.select("src", "dst", F.xxhash64("src").alias("a"))
+    return cut(_met(named, block, "a").select("src", "dst", F.col("up").alias("block")))
+
+
+#: Edges of small blocks that a task sorts and reads one after the other.
+DEALT_EDGES = 250_000
+
+
+def _settled(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """((node, component) of the blocks of LOCAL_EDGES edges at most, edges of the larger ones)."""
+    blocks = _blocks(edges)
+    large = F.broadcast(cut(blocks.groupBy("block").count().where(F.col("count") > LOCAL_EDGES).select("block")))  # few, as each has many edges
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, size // DEALT_EDGES + 1)
+    small = blocks.join(large, "block", "left_anti").repartition(tasks, "block").sortWithinPartitions("block")
+    return cut(_finished(small)), cut(blocks.join(large, "block", "left_semi").select("src", "dst"))
 
 
 def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, component) of the nodes on cycles; component is the smallest node of the strongly connected component. A
     node with an edge to itself alone is a component of its own.
 
-    What cannot lie on a cycle is trimmed first. Then each node takes the smallest node that reaches it as its colour (with
-    jumps to the colour's own colour), a component is what reaches its colour's node within the colour, and what is left
-    goes on within its colour, until LOCAL_EDGES edges are left at most, which one task finishes. rounds gets the edges left
-    before each pass; without cycles there is none after the trim. Edges with a null end lie on no cycle."""
+    A graph of LOCAL_EDGES edges at most is one task's. A larger one is dealt by its weakly connected blocks, of which a task
+    takes those up to that size, one after the other. Of a larger block, what cannot lie on a cycle is trimmed. Then each node
+    takes the smallest node that reaches it as its colour (with jumps to the colour's own colour), a component is what reaches
+    its colour's node within the colour, and what is left goes on within its colour. rounds gets the edges left before each
+    such pass; without cycles there is none after the trim. Edges with a null end lie on no cycle."""
     with workspace(edges.sparkSession):
-        loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-        now, found = cut(edges.select("src", "dst").where("src <> dst").distinct()), []
+        given = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+        loops = given.where("src = dst").select(F.col("src").alias("node"))
+        now, found = given.where("src <> dst"), []
         while (size := now.count()) > 0:
             if size <= LOCAL_EDGES:
-                found.append(cut(_finished(now)))
+                found.append(cut(_finished(now.select("src", "dst", F.lit(0).alias("block")).coalesce(1))))
+                break
+            few, now = _settled(now, size)
+            found.append(few)
+            if now.isEmpty():
                 break
             now = _trimmed(now)
             if now.isEmpty():
@@ -168,36 +229,37 @@ def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
                 rounds.append(now.count())
             colour = cut(now.select(F.col("src").alias("node")).union(now.select("dst")).distinct().withColumn("c", F.col("node")))
             while True:
-                told = now.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "c")
+                told = _met(now, colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "c")
                 least = colour.union(told).groupBy("node").agg(F.min("c").alias("c"))
-                jumped = least.join(colour.select(F.col("node").alias("c"), F.col("c").alias("j")), "c").select("node", F.least("c", "j").alias("c"))
+                jumped = _met(least, colour.select(F.col("node").alias("c"), F.col("c").alias("j")), "c").select("node", F.least("c", "j").alias("c"))
                 after = cut(jumped)
-                moved = after.join(colour, ["node", "c"], "left_anti").isEmpty()
+                moved = _met(after, colour, ["node", "c"], "left_anti").isEmpty()
                 colour = after
                 if moved:
                     break
-            coloured = now.join(colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")
+            coloured = _met(_met(now, colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src"), colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")
             inside = cut(coloured.where("a = b").select("src", "dst", F.col("a").alias("c")))
             front = inside.where("dst = c").select(F.col("src").alias("node"), "c").distinct()
             front = cut(front.union(inside.where("src = c OR dst = c").select(F.col("c").alias("node"), "c")).distinct())
             reach = front
             while True:
-                front = cut(inside.join(front.withColumnRenamed("node", "dst"), ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct().join(reach, ["node", "c"], "left_anti"))
+                behind = _met(inside, front.withColumnRenamed("node", "dst"), ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct()
+                front = cut(_met(behind, reach, ["node", "c"], "left_anti"))
                 if front.isEmpty():
                     break
                 reach = reach.union(front)
             hit = inside.select(F.col("dst").alias("node")).distinct()
-            own = cut(reach.join(hit, "node", "left_semi").select("node", F.col("c").alias("component")))
-            own = cut(own.join(own.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component"))
+            own = cut(_met(reach, hit, "node", "left_semi").select("node", F.col("c").alias("component")))
+            own = cut(_met(own, own.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component"))
             found.append(own)
-            left = inside.join(reach.select(F.col("node").alias("src")), "src", "left_anti").join(reach.select(F.col("node").alias("dst")), "dst", "left_anti")
+            left = _met(_met(inside, reach.select(F.col("node").alias("src")), "src", "left_anti"), reach.select(F.col("node").alias("dst")), "dst", "left_anti")
             now = cut(left.select("src", "dst"))
         out = loops.select("node", F.col("node").alias("component"))
         if found:
             several = found[0]
             for f in found[1:]:
                 several = several.union(f)
-            out = several.union(out.join(several.select("node"), "node", "left_anti"))
+            out = several.union(_met(out, several.select("node"), "node", "left_anti"))
         return keep(out)
 
 

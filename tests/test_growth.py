@@ -133,3 +133,51 @@ def test_leaves_make_no_pairs_of_ancestors(spark, monkeypatch):
         want = {n: len(a - {n}) for n, a in above.items() if a - {n}}
         assert {r.node: r.n_ancestors for r in paths.ancestor_counts(spark.createDataFrame(edges, "src string, dst string")).collect()} == want
     assert seen[0] == 0
+
+
+def test_components_deal_small_blocks_and_broadcast_no_graph(spark, monkeypatch):
+    """Rings, trees and one part beyond the limit, against brute force: only that part makes a pass, and no join that grows
+    with the graph is a broadcast."""
+    import random
+
+    from metaloom.operators import paths
+
+    plans, cut = [], paths.cut
+    monkeypatch.setattr(paths, "LOCAL_EDGES", 12)
+    monkeypatch.setattr(paths, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    rng = random.Random(3)
+    small = [(f"r{k}_{i}", f"r{k}_{(i + 1) % (k % 5 + 2)}") for k in range(40) for i in range(k % 5 + 2)]
+    small += [(f"t{k}_{i}", f"t{k}_{i // 2}") for k in range(9) for i in range(9)] + [(None, "r0_0"), ("r0_0", None), ("z", "z"), ("r1_0", "r1_0")]
+    large = [(f"b{i}", f"b{i + 1}") for i in range(20)] + [(f"b{rng.randrange(21)}", f"b{rng.randrange(21)}") for _ in range(9)]
+    for pairs in (small, small + large):
+        rounds: list[int] = []
+        got = {r.node: r.component for r in paths.components(spark.createDataFrame(pairs, "src string, dst string"), rounds).collect()}
+        real = [p for p in pairs if None not in p]
+        above = {n: {b for a, b in real if a == n} for p in real for n in p}
+        for _ in range(8):
+            above = {n: x.union(*(above[b] for b in x)) for n, x in above.items()}
+        assert got == {n: min(b for b in x if n in above[b]) for n, x in above.items() if n in x}
+        assert bool(rounds) == (pairs is not small)
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("[block#" in line for line in joins) and any("SortMergeJoin" in p for p in plans)
+
+
+def test_blocks_are_weak_parts_in_few_rounds(spark):
+    from metaloom.operators import paths
+
+    pairs = [(a, b) if a % 3 else (b, a) for a, b in ((k, k + 1) for k in range(500))] + [(1000, 1001), (1002, 1001)] + [(2000, 2000 + k) for k in range(1, 300)]
+    rounds: list[int] = []
+    rows = paths._blocks(spark.createDataFrame(pairs, "src long, dst long"), rounds).collect()
+    assert sorted((r.src, r.dst) for r in rows) == sorted(pairs)
+    assert len({r.block for r in rows}) == len({(r.src // 1000, r.block) for r in rows}) == 3
+    assert len(rounds) < 30 and rounds == sorted(rounds, reverse=True)
+
+
+def test_lineage_edges_broadcast_no_tables(spark):
+    from metaloom.operators import lineage as L
+    from metaloom.sources.scratch import cut
+
+    made = lambda rows, names: cut(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split())))
+    rows = L.edges(made([("T",)], "tbl"), made([("V", "T"), ("W", "V"), ("W", "gone")], "view source"), made([("P", "T", "", "")], "proc reads writes deletes"), made([("T", "U", "a")], "tbl ref_tbl cols"))
+    assert "BroadcastHashJoin" not in plan(rows)
+    assert sorted(map(tuple, rows.collect())) == [("T", "PROC:P", "proc_reads", "P"), ("T", "U", "fk_reference", "a"), ("T", "VIEW:V", "view_reads", "V"), ("VIEW:V", "VIEW:W", "view_reads_view", "W")]
