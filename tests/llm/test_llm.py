@@ -268,6 +268,48 @@ def test_groups_just_below_the_threshold_are_compared_in_tiles(spark, monkeypatc
     assert near_copies.near_copy_components(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_near_copies_shuffle_each_key_once_and_no_sets_of_others(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [f"t{k}" for k in range(120)]
+    texts = []
+    for k in range(40):  # a cluster of texts just below the threshold
+        x = list(base)
+        for at in range(5 + 3 * (k % 11), 120, 40):
+            x[at] = f"own{k}x{at}"
+        texts.append(" ".join(x))
+    for k in range(60):  # long texts with copies, of no cluster
+        x = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+        texts += [" ".join(x), " ".join([*x, *(f"more{k}x{j}" for j in range(100))])]
+    sizes = [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
+    keys = sum(n - -int(-(0.8 * n - 1e-6) // 1) + 1 for n in sizes)
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        each = context.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    moved, cut = {}, near_copies.cut
+
+    def spy(df, what="step", stays=False):
+        before = written()
+        out = cut(df, what, stays)
+        moved[what] = moved.get(what, 0) + written() - before
+        return out
+
+    monkeypatch.setattr(near_copies, "cut", spy)
+    monkeypatch.setattr(near_copies, "PARTNERS", 2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table's joins, on a small one
+    try:
+        got = {r.doc_id: r.component_id for r in near_copies.near_copy_components(docs_of(spark, texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert all(got[i] == i - i % 2 for i in range(40, 160))
+    assert keys * 10 < moved["shared"] < keys * 30
+    assert 0 < moved["members"] < 4 * 8 * sum(sizes[:40]) < 8 * sum(sizes[40:])
+
+
 def test_tile_finds_what_joins_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 200).astype(np.uint64)
