@@ -22,6 +22,7 @@ columns pass through where a caller keeps them. Empty input gives an empty resul
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     n = cells.count()
     if n <= max_cells:
         rows = _cells_on_driver(cells.collect(), targets, budget) if n else []
-        raked = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _weight double, _p double")
+        kinds = {"_source": pa.string(), "_lang": pa.string(), "_topic": pa.string(), "_weight": pa.float64(), "_p": pa.float64()}
+        # an Arrow table, as a list of rows would start Python workers on the executors that stay idle
+        raked = spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds)))
         joined = marked.join(F.broadcast(raked), ["_source", "_lang", "_topic"])  # max_cells rows at most
     else:
         raked = _cells_by_spark(cells, targets, budget).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

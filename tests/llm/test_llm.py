@@ -620,3 +620,42 @@ def test_pipeline_runs_and_keeps_columns(spark):
             docs = out
         else:
             assert out.count() == docs.count()
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, monkeypatch):
+    import corpus_pipeline
+    from metaloom.llm.shared import BATCH_ROWS, cut
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    def most(df):
+        return max(r.n for r in df.mapInArrow(sizes, "n long").collect())
+
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        docs = docs_of(spark, [f"we met at the harbour {i}" for i in range(3000)]).coalesce(1)
+        for stage in (corpus_pipeline.toxicity, corpus_pipeline.decontamination):
+            spark.conf.set(BATCH_ROWS, 10_000)
+            assert most(cut(docs).coalesce(1)) > 256
+            assert most(stage(spark, docs, SF)) <= 256
+        spark.conf.set(BATCH_ROWS, 10_000)
+        seen = []
+        write, read = corpus_pipeline.write_shards, corpus_pipeline.read_documents
+        monkeypatch.setattr(corpus_pipeline, "write_shards", lambda d, *a: (seen.append(most(d)), write(d, *a)))
+        monkeypatch.setattr(corpus_pipeline, "read_documents", lambda s, out: (seen.append(int(s.conf.get(BATCH_ROWS))), read(s, out))[1])
+        assert corpus_pipeline.tokens(spark, docs, SF).count() == 3000
+        assert seen[0] <= 256 and seen[1] <= 4 and spark.conf.get(BATCH_ROWS) == "10000"
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def test_mixing_starts_no_python_workers(spark):
+    docs = table(spark, SF, "documents")
+    mixed = mixing.mix(docs)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert mixed.where("_p is null or _weight is null").count() == 0 and mixed.count() == docs.count()
