@@ -9,6 +9,9 @@ Of m fingerprints that are all near one another about m links are rows: the fing
 meet the smallest of them, and what these stars join is one component. The join on variants then reports only links
 between different components, so none that joins anything is missed.
 
+Spark sizes a table by its files, also after an explode makes 64 rows of one, and would broadcast what does not fit the
+driver. So joins over tables that grow with the documents are asked to sort and merge.
+
 Null, empty and blank texts have no words and get fingerprint 0, linked like any other. Repeated rows fall in the same
 class, and ties do not matter: a component's name is its smallest doc_id. Texts of any length are read whole, in blocks of
 hashes. Extra columns of the input are ignored. Empty input gives an empty result.
@@ -85,14 +88,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     whole = segment_keys(prints)
     heads = whole.groupBy("key").agg(F.min("fp").alias("head"))
-    star = whole.join(heads, (whole["key"] == heads["key"]) & (F.col("head") < F.col("fp")) & near("head", "fp"))
+    star = whole.join(heads.hint("merge"), (whole["key"] == heads["key"]) & (F.col("head") < F.col("fp")) & near("head", "fp"))
     star = cut(star.select(F.col("head").alias("u"), F.col("fp").alias("v")).distinct(), "star")
     comp = components(star).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    rows = variants(cut(prints.join(comp, "fp", "left").select("fp", "c"), "known"))
+    rows = variants(cut(prints.join(comp.hint("merge"), "fp", "left").select("fp", "c"), "known"))
     a = rows.select(F.col("key").alias("ka"), F.col("fp").alias("u"), F.col("c").alias("ca"))
     b = rows.select(F.col("key").alias("kb"), F.col("fp").alias("v"), F.col("c").alias("cb"))
     apart = F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))
-    across = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("u") < F.col("v")) & apart & link_condition(F.col("u"), F.col("v"), F.col("ka"), radius))
+    across = a.join(b.hint("merge"), (F.col("ka") == F.col("kb")) & (F.col("u") < F.col("v")) & apart & link_condition(F.col("u"), F.col("v"), F.col("ka"), radius))
     return star.union(across.select("u", "v"))
 
 
@@ -109,7 +112,7 @@ def _fingerprint_components(docs: DataFrame, width: int, radius: int) -> DataFra
     fps = cut(fingerprints(docs, width), "fps")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comp = components(links(classes, radius))
-    known = cut(classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")), "known")
+    known = cut(classes.join(comp.hint("merge"), classes["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")), "known")
     first = known.groupBy("c").agg(F.min("rep").alias("component_id"))
-    home = known.join(first, "c").select("fp", "component_id")
-    return fps.join(home, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    home = known.join(first.hint("merge"), "c").select("fp", "component_id")
+    return fps.join(home.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

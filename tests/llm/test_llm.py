@@ -185,6 +185,19 @@ def test_a_large_group_of_near_prints_costs_few_rows(spark):
     assert reach(len(prints), got) == reach(len(prints), want) and len(got) < len(want) / 4
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """A table of few bytes may be exploded into many rows; Spark sizes it by its files."""
+    rng = random.Random(12)
+    docs = docs_of(spark, [" ".join(f"w{rng.randrange(99)}" for _ in range(9)) for _ in range(60)] * 2)
+    plans, cut = [], simhash_dedup.cut
+    monkeypatch.setattr(simhash_dedup, "cut", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *a, **k))
+    classes = cut(simhash_dedup.fingerprints(docs).groupBy("fp").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep"), "classes")
+    across = simhash_dedup.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in across and "SortMergeJoin" in across
+    simhash_dedup.simhash_components(docs).count()
+    assert len(plans) > 4 and not any("Broadcast" in p for p in [across, *plans])
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(11)
     words = [f"v{k}" for k in range(900)]
