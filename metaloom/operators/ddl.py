@@ -22,7 +22,7 @@ from metaloom.sources.scratch import cut
 
 IDENT = r"(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\w+)"
 NAME = rf"(?:({IDENT})\s*\.\s*)?({IDENT})"
-KEPT_VIEW, KEPT_BODY, PARAMETER_TEXT = 2000, 3000, 500
+KEPT_VIEW = 2000
 
 
 def bare(name: Column) -> Column:
@@ -276,22 +276,29 @@ def triggers(texts: DataFrame) -> DataFrame:
 
 def procedures(texts: DataFrame) -> DataFrame:
     """Schema, name, kind and body of CREATE [OR ALTER | OR REPLACE] PROCEDURE and FUNCTION, up to a line's GO or the
-    next CREATE; KEPT_BODY characters of it."""
+    next CREATE."""
     kind = F.when(F.upper("constraint").startswith("PROC"), "PROCEDURE").otherwise("FUNCTION")
-    return _of(texts, "procedure").select("source_file", "schema", F.col("tbl").alias("proc"), kind.alias("proc_type"), F.substring("clause", 1, KEPT_BODY).alias("body"))
+    return _of(texts, "procedure").select("source_file", "schema", F.col("tbl").alias("proc"), kind.alias("proc_type"), F.col("clause").alias("body"))
+
+
+#: What a body says before its statements: the parentheses that it begins with, or all up to AS, BEGIN or RETURNS outside of
+#: quoted text and names (AS may follow a parameter's name). Possessive, as a repeated choice that Java may go back on takes stack.
+_LISTED = r"(?is)^\s*\((?:[^()']++|'[^']*+'|\((?:[^()']++|'[^']*+')*+\))*+\)"
+_BEFORE = r"""(?is)^(?:'[^']*+'|"[^"]*+"|`[^`]*+`|\[[^\]]*+\]|@\w++\s++AS\b|@\w++|(?!(?:AS|BEGIN|RETURNS)\b)\w++|\W)*+"""
 
 
 def parameters(procs: DataFrame) -> DataFrame:
-    """Parameters within the first PARAMETER_TEXT characters of a body: @name type [= default] [OUTPUT], or without
+    """Parameters that a body declares before its statements, however long: @name type [= default] [OUTPUT], or without
     any of these [IN | OUT | INOUT] name type of the first parentheses. pos, name, raw_type, direction, default_value, after
     the columns of procs but for the body."""
-    head = F.substring("body", 1, PARAMETER_TEXT)
+    listed = F.regexp_extract("body", _LISTED, 0)
+    head = F.when(listed != "", listed).otherwise(F.regexp_extract("body", _BEFORE, 0))
 
     def zipped(text: Column, pattern: str, **groups: int) -> Column:
         return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for n, g in groups.items()])
 
-    marked = zipped(head, r"(?i)(@\w+)\s+(\w+(?:\s*\([^)]*\))?)(?:\s*=\s*('[^']*'|[^,\n)\s]+))?\s*(OUTPUT|OUT|READONLY)?\s*(?=[,\n)]|\bAS\b)", name=1, type=2, default=3, way=4)
-    plain = zipped(F.regexp_extract(head, r"(?s)^\s*\(((?:[^()]|\([^()]*\))*)\)", 1), r"(?i)(?:^|,)\s*(?:(IN|OUT|INOUT)\s+)?(\w+)\s+(\w+(?:\s*\([^)]*\))?)\s*()(?=,|$)", way=1, name=2, type=3, default=4)
+    marked = zipped(head, r"(?i)(@\w+)\s+(\w+(?:\s*\([^)]*\))?)(?:\s*=\s*('[^']*'|[^,\n)\s]+))?\s*(OUTPUT|OUT|READONLY)?\s*(?=[,\n)]|\bAS\b|$)", name=1, type=2, default=3, way=4)
+    plain = zipped(F.regexp_extract(listed, r"(?s)^\s*\((.*)\)$", 1), r"(?i)(?:^|,)\s*(?:(IN|OUT|INOUT)\s+)?(\w+)\s+(\w+(?:\s*\([^)]*\))?)\s*()(?=,|$)", way=1, name=2, type=3, default=4)
     order = ("name", "type", "default", "way")
     even = lambda a: F.transform(a, lambda x: F.struct(*[x.getField(n).alias(n) for n in order]))
     own = [c for c in procs.columns if c != "body"]

@@ -24,6 +24,23 @@ def test_parameters_need_no_join_and_do_not_mix_schemas(texts):
     assert sorted((r["schema"], r["proc"], r["name"]) for r in rows.collect()) == [("a", "P", "@id"), ("b", "P", "@no"), ("b", "P", "@x")]
 
 
+def test_parameters_of_any_length_and_none_of_the_body(spark):
+    many = [f"@p{k} varchar({k + 1}) = 'a AS b, ('" if k % 2 else f"@p{k} int OUTPUT" for k in range(3000)]
+    plain = ", ".join(f"IN q{k} decimal(9,{k})" for k in range(3000))
+    inside = "AS BEGIN DECLARE @no int, @neither varchar(9)\nSELECT 1 END"
+    script = f"CREATE PROCEDURE a {', '.join(many)} {inside}\nGO\nCREATE PROC b ({', '.join(many)})\n{inside}\nGO\nCREATE FUNCTION c ({plain}) RETURNS int BEGIN DECLARE @no int, @x int; RETURN 1; END\nGO\n"
+    script += f"CREATE PROCEDURE d {inside}\nGO\nCREATE PROCEDURE e @as int, @of AS int, @unset varchar(max) WITH RECOMPILE {inside}\nGO\nCREATE FUNCTION f (@a int) RETURNS @t TABLE (id int) {inside}\n"
+    procs = D.procedures(spark.createDataFrame([("f", script)], "source_file string, text string"))
+    assert max(len(r.body) for r in procs.collect()) > 60_000
+    got = {}
+    for r in sorted(D.parameters(procs).collect(), key=lambda r: r.pos):
+        got.setdefault(r.proc, []).append((r.name, r.raw_type, r.direction, r.default_value))
+    want = [(f"@p{k}", f"varchar({k + 1})", "IN", "'a AS b, ('") if k % 2 else (f"@p{k}", "int", "OUT", "") for k in range(3000)]
+    assert got["a"] == want and got["b"] == want
+    assert got["c"] == [(f"q{k}", f"decimal(9,{k})", "IN", "") for k in range(3000)]
+    assert "d" not in got and [x[0] for x in got["f"]] == ["@a"] and got["e"][0] == ("@as", "int", "IN", "")
+
+
 def test_pieces_are_small_and_whole():
     long = "x" * (BYTES + 1)
     texts = ["a"] * (2 * ROWS + 3) + [None, long, long, "b"]
