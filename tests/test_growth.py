@@ -132,6 +132,44 @@ def test_clones_of_equal_sets_are_not_compared(spark, monkeypatch):
     assert R._alike(equal, 0.7, 2).count() < 3000 and R.clones(equal).count() == 2000 * 1999 // 2
 
 
+@pytest.mark.parametrize("limit", [64, 3, 0])
+def test_clones_that_differ_in_rare_features_only_are_compared_once(spark, monkeypatch, limit):
+    """All pairs, by brute force, of sets with features that one owner, a few or many have; sets that differ in rare ones only
+    meet as items of many owners; no table of the operator that grows goes through the driver."""
+    import random
+
+    from metaloom.operators import redundancy as R
+
+    monkeypatch.setattr(R, "RARE", limit)
+    rng = random.Random(limit)
+    sets = {}
+    for k in range(70):
+        base = rng.choice(["abcdef", "abcd", "gh", "acegh"])
+        some = {f for f in base if rng.random() < 0.9} | {f"r{k % 20}" for _ in range(rng.random() < 0.5)} | {f"u{k}" for _ in range(rng.random() < 0.3)} | {f"s{k % 6}" for _ in range(rng.random() < 0.3)}
+        sets[f"{rng.randint(0, 10**6):06d}"] = some
+    members = spark.createDataFrame([(o, f) for o, s in sets.items() for f in s], "owner string, feature string")
+    want = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and min(len(x), len(y)) >= 2 and len(x & y) / len(x | y) >= 0.7 - 1e-12:
+                want[a, b] = (len(x & y), len(x | y), ",".join(sorted(x & y)), ",".join(sorted(x - y)), ",".join(sorted(y - x)))
+    got = R.clones(members).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.common, r.total) for r in got} == {k: v[:2] for k, v in want.items()}
+    found = R.clone_findings(members).collect()
+    assert len(found) == len(want) and {(r.a, r.b): (r.shared, r.unique_a, r.unique_b) for r in found} == {k: v[2:] for k, v in want.items()}
+
+
+def test_sets_with_a_feature_of_their_own_meet_as_few_items(spark, monkeypatch):
+    from metaloom.operators import redundancy as R
+
+    plans, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    members = spark.range(2000).selectExpr("id AS owner", "explode(array('a', 'b', 'c', 'd', 'e', 'f', concat('own', id))) AS feature")
+    alike = R._alike(members, 0.7, 2)
+    assert alike.count() < 3000 and R.clones(members).count() == 2000 * 1999 // 2
+    assert not any("Broadcast" in p for p in [plan(alike), *plans])
+
+
 def test_leaves_make_no_pairs_of_ancestors(spark, monkeypatch):
     import random
 
